@@ -1,0 +1,102 @@
+"""Run registered queries in Spark and their SQL in DuckDB; compare results.
+
+Usage: ``python tests/compare.py [base_dir] [name ...]``.  Prints one line
+per query: row counts, column names and an order-insensitive value check.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import decimal
+import math
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents "
+    "embeddings pages benchmark labels conversations"
+).split()
+
+
+def duck_connect(base_dir: str):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in TABLES:
+        path = f"{base_dir}/{t}.parquet"
+        if os.path.exists(path):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return round(v, 6)
+    if isinstance(v, decimal.Decimal):
+        return round(float(v), 6)
+    if isinstance(v, dt.datetime):
+        return v.replace(tzinfo=None).isoformat()
+    if isinstance(v, dt.date):
+        return v.isoformat()
+    return v
+
+
+def _rows(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
+
+
+def compare(spark, con, name: str, base_dir: str) -> tuple[bool, str]:
+    from basketlens.plans import oracle_sql, queries
+
+    t0 = time.time()
+    df = queries()[name](spark, base_dir)
+    s_cols = df.columns
+    s_rows = [tuple(r) for r in df.collect()]
+    t1 = time.time()
+    sql = oracle_sql().get(name)
+    if sql is None:
+        return True, f"{name}: spark rows={len(s_rows)} (no oracle) {t1 - t0:.2f}s"
+    res = con.execute(sql)
+    d_cols = [c[0] for c in res.description]
+    d_rows = res.fetchall()
+    ok_cols = sorted(s_cols) == sorted(d_cols)
+    ok_n = len(s_rows) == len(d_rows)
+    a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
+    ok_v = a == b
+    msg = f"{name}: rows {len(s_rows)}/{len(d_rows)} cols {'ok' if ok_cols else (s_cols, d_cols)} values {'ok' if ok_v else 'DIFF'} {t1 - t0:.2f}s"
+    if not ok_v and ok_n:
+        diffs = [(x, y) for x, y in zip(a, b) if x != y][:3]
+        msg += f"\n   first diffs: {diffs}"
+    return ok_cols and ok_n and ok_v, msg
+
+
+def main(argv: list[str]) -> int:
+    from basketlens.plans import queries
+    from basketlens.session import build_session
+
+    base_dir = argv[0] if argv else "/root/testdata/sf0.01"
+    names = argv[1:] or list(queries())
+    spark = build_session("local[8]", 8)
+    con = duck_connect(base_dir)
+    bad = 0
+    for name in names:
+        try:
+            ok, msg = compare(spark, con, name, base_dir)
+        except Exception as e:  # report and go on
+            ok, msg = False, f"{name}: ERROR {type(e).__name__}: {str(e)[:400]}"
+        bad += not ok
+        print(("OK   " if ok else "FAIL ") + msg, flush=True)
+    print(f"{len(names) - bad}/{len(names)} match")
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))
