@@ -127,13 +127,14 @@ def most_active_users(orders: DataFrame, k: int = 10) -> DataFrame:
 def seasonality(orders: DataFrame) -> DataFrame:
     """Month's share of its year's distinct orders, rounded to 2 places.
 
-    Orders are reduced to distinct (year, month, id_o) once; both the month
-    counts and the year totals come from that frame.  The year totals have
+    Orders are reduced to distinct (year, month, id_o) once; the month
+    counts and the year totals are both computed from that frame (its
+    shuffle is reused, so the orders are read once).  The year totals have
     one row per calendar year, so broadcasting them is bounded.
     """
-    dated = orders.select(F.year("o_date").alias("year"), F.month("o_date").alias("month"), "id_o")
-    months = dated.groupBy("year", "month").agg(F.count_distinct("id_o").alias("orders"))
-    years = dated.groupBy("year").agg(F.count_distinct("id_o").alias("total"))
+    pairs = orders.select(F.year("o_date").alias("year"), F.month("o_date").alias("month"), "id_o").distinct()
+    months = pairs.groupBy("year", "month").agg(F.count("id_o").alias("orders"))
+    years = pairs.groupBy("year").agg(F.count_distinct("id_o").alias("total"))
     return months.join(F.broadcast(years), "year", "left").select(
         "year", "month", round_money(safe_ratio("orders", "total")).alias("seasonal_factor")
     )

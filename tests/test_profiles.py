@@ -1,0 +1,92 @@
+"""Score bands and segment maps (pure Python twins and Spark expressions)."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from basketlens.functions.bands import score, score_value
+from basketlens.functions.profiles import JOURNEY, MARKET, RF_BASIC, UNDEFINED, all_codes, segment_map_frame
+
+
+@pytest.mark.parametrize(
+    "days,expected",
+    [(0, 5), (29, 5), (30, 4), (59, 4), (60, 3), (99, 3), (100, 2), (365, 2), (366, 1)],
+)
+def test_journey_recency_boundaries(days, expected):
+    assert score_value(days, JOURNEY.r_rules) == expected
+
+
+@pytest.mark.parametrize(
+    "orders,expected", [(1, 1), (2, 2), (10, 2), (11, 3), (20, 3), (21, 4), (50, 4), (51, 5), (0, 0)]
+)
+def test_journey_frequency_boundaries(orders, expected):
+    assert score_value(orders, JOURNEY.f_rules) == expected
+
+
+@pytest.mark.parametrize(
+    "money,expected",
+    [(0, 1), (500, 1), (500.1, 2), (1000, 2), (10000, 3), (50000, 4), (50000.1, 5), (-1, 0)],
+)
+def test_monetary_boundaries(money, expected):
+    assert score_value(money, JOURNEY.m_rules) == expected
+    assert score_value(money, MARKET.m_rules) == expected
+
+
+def test_market_recency_as_written_never_scores_3_or_4():
+    seen = {score_value(d, MARKET.r_rules) for d in range(0, 2000)}
+    assert seen == {1, 2, 5}
+    assert score_value(364, MARKET.r_rules) == 1
+    assert score_value(365, MARKET.r_rules) == 2
+    assert score_value(366, MARKET.r_rules) == 5
+
+
+def test_market_frequency_as_written():
+    assert [score_value(n, MARKET.f_rules) for n in (1, 2, 3, 10, 11, 20, 21, 50, 51)] == [1, 1, 2, 2, 3, 3, 4, 4, 5]
+
+
+def test_rf_basic_bands():
+    assert [score_value(d, RF_BASIC.r_rules, RF_BASIC.r_default) for d in (0, 3, 4, 30, 31)] == [3, 3, 2, 2, 1]
+    assert [score_value(n, RF_BASIC.f_rules, RF_BASIC.f_default) for n in (1, 20, 21, 100, 101)] == [1, 1, 2, 2, 3]
+
+
+def test_segment_map_sizes():
+    codes = all_codes()
+    assert len(codes) == 125
+    journey = [JOURNEY.segment_of(c) for c in codes]
+    market = [MARKET.segment_of(c) for c in codes]
+    assert sum(s != UNDEFINED for s in journey) == 99
+    assert sum(s == UNDEFINED for s in journey) == 26
+    assert sum(s != UNDEFINED for s in market) == 67
+    assert sum(s == UNDEFINED for s in market) == 58
+
+
+def test_segment_lists_do_not_overlap():
+    for profile in (JOURNEY, MARKET):
+        seen = {}
+        for seg in profile.segments:
+            for code in set(seg.codes):
+                assert code not in seen, (profile.name, code, seen.get(code), seg.name)
+                seen[code] = seg.name
+
+
+def test_journey_unmapped_codes():
+    unmapped = [c for c in all_codes() if JOURNEY.segment_of(c) == UNDEFINED]
+    assert unmapped == [
+        "131", "132", "133", "135", "141", "142", "143", "151", "152", "153", "331", "332", "351",
+        "352", "353", "431", "432", "451", "452", "453", "532", "541", "542", "551", "552", "553",
+    ]
+
+
+def test_spark_segment_expression_matches_python(spark):
+    for profile in (JOURNEY, MARKET):
+        df = segment_map_frame(spark, profile)
+        got = df.select("code", "segment", profile.segment_expr(F.col("code")).alias("expr")).collect()
+        assert len(got) == 125
+        assert all(r["segment"] == r["expr"] for r in got)
+
+
+def test_spark_score_matches_python(spark):
+    values = list(range(-2, 400))
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    for rules in (JOURNEY.r_rules, MARKET.r_rules, JOURNEY.f_rules, MARKET.f_rules):
+        got = {r["v"]: r["s"] for r in df.select("v", score("v", rules).alias("s")).collect()}
+        assert all(got[v] == score_value(v, rules) for v in values)
