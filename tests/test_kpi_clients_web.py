@@ -1,0 +1,168 @@
+"""Order KPIs, cohorts, clients and channel analytics on literal frames."""
+
+import datetime as dt
+import decimal
+
+from basketlens.operators import (
+    active_users,
+    average_check,
+    channel_growth,
+    channel_revenue_share,
+    churned_user_count,
+    churned_users,
+    cohort_revenue,
+    first_transaction,
+    frequent_recent_buyers,
+    limit_utilisation,
+    most_active_users,
+    order_period,
+    order_period_rows,
+    order_volume,
+    orders_per_user,
+    seasonality,
+    top_channels,
+    transaction_totals,
+    user_cohorts,
+)
+from tests.conftest import orders_df
+
+D = dt.date
+
+
+def test_period_rows_merge_equal_bounds(spark):
+    o = orders_df(spark, [("1", "a", "5", "2017-01-01"), ("2", "b", "5", "2017-01-01")])
+    assert [r["period_from_to"] for r in order_period_rows(o).collect()] == [D(2017, 1, 1)]
+    r = order_period(o).collect()[0]
+    assert (r["period_from"], r["period_to"], r["period_days"]) == (D(2017, 1, 1), D(2017, 1, 1), 0)
+    o2 = orders_df(spark, [("1", "a", "5", "2017-01-01"), ("2", "b", "5", "2017-03-01")])
+    assert sorted(r["period_from_to"] for r in order_period_rows(o2).collect()) == [D(2017, 1, 1), D(2017, 3, 1)]
+    assert order_period(o2).collect()[0]["period_days"] == 59
+
+
+def test_volume_and_checks(spark):
+    o = orders_df(spark, [
+        ("1", "a", "10", "2017-01-01"),
+        ("1", "a", "20", "2017-01-01"),
+        ("2", "b", "5.555", "2017-01-02"),
+        ("3", None, "7", "2017-02-01"),
+    ])
+    r = order_volume(o).collect()[0]
+    assert (r["number_rows"], r["unique_order_ids"], r["unique_user_ids"]) == (4, 3, 2)
+    rows = {(x["year"], x["month"]): x["average"] for x in average_check(o, "row").collect()}
+    assert rows == {(2017, 1): 11.85, (2017, 2): 7.0}  # (10+20+5.56)/3 = 11.853
+    orders = {(x["year"], x["month"]): x["average_check"] for x in average_check(o, "order").collect()}
+    assert orders == {(2017, 1): 10.28, (2017, 2): 7.0}  # checks 15.00 and 5.56
+
+
+def test_orders_per_user(spark):
+    o = orders_df(spark, [
+        ("1", "a", "1", "2017-01-01"),
+        ("2", "a", "1", "2017-01-05"),
+        ("3", "a", "1", "2017-02-01"),
+        ("4", "b", "1", "2017-01-09"),
+        ("5", None, "1", "2017-01-09"),
+    ])
+    assert {r["year"]: r["average_orders"] for r in orders_per_user(o, "year").collect()} == {2017: 2.0}
+    by_month = {(r["year"], r["month"]): r["average_orders"] for r in orders_per_user(o, "month").collect()}
+    assert by_month == {(2017, 1): 1.5, (2017, 2): 1.0}
+
+
+def test_churn(spark):
+    o = orders_df(spark, [
+        ("1", "both", "1", "2016-03-01"),
+        ("2", "both", "1", "2017-03-01"),
+        ("3", "first", "1", "2016-03-01"),
+        ("4", "first", "1", "2016-04-01"),  # twice in the first year: listed once
+        ("5", "second", "1", "2017-05-01"),
+        ("6", None, "1", "2016-05-01"),  # NULL user: dropped
+    ])
+    assert [r["user_id"] for r in churned_users(o, 2016).collect()] == ["first"]
+    assert churned_user_count(o, 2016, 2017).collect()[0]["churned_users"] == 1
+
+
+def test_most_active_ties_by_user(spark):
+    o = orders_df(spark, [("1", "b", "1", "2017-01-01"), ("2", "a", "1", "2017-01-01"),
+                          ("3", "c", "1", "2017-01-01"), ("4", "c", "1", "2017-01-02")])
+    assert [(r["user_id"], r["orders_amount"]) for r in most_active_users(o, 2).collect()] == [("c", 2), ("a", 1)]
+
+
+def test_seasonality_sums_to_one(spark):
+    o = orders_df(spark, [(str(i), "a", "1", f"2017-{1 + i % 12:02d}-01") for i in range(40)])
+    rows = seasonality(o).collect()
+    assert len(rows) == 12
+    assert abs(sum(r["seasonal_factor"] for r in rows) - 1) < 0.05
+
+
+def test_cohorts_and_activity(spark):
+    o = orders_df(spark, [
+        ("1", "a", "10", "2017-01-15"),
+        ("2", "a", "20", "2017-03-15"),
+        ("3", "b", "5", "2017-02-01"),
+        ("4", "c", "1", "2017-04-30"),  # last date: not in the cohorts
+        ("5", "a", "7", "2017-06-01"),  # after the cutoff: revenue only
+    ])
+    cohorts = {r["user_id"]: r["cohort"] for r in user_cohorts(o, D(2017, 5, 1)).collect()}
+    assert cohorts == {"a": "1701", "b": "1702"}
+    rev = {(r["cohort"], r["period"]): r["sum_price"] for r in cohort_revenue(o, user_cohorts(o, D(2017, 5, 1))).collect()}
+    assert rev == {("1701", "1701"): 10, ("1701", "1703"): 20, ("1701", "1706"): 7, ("1702", "1702"): 5}
+    since = sorted(r["user_id"] for r in active_users(o, since=D(2017, 4, 30)).collect())
+    assert since == ["a", "c"]
+    before = sorted(r["user_id"] for r in active_users(o, before=D(2017, 4, 30)).collect())
+    assert before == ["a", "b"]
+
+
+def test_frequent_recent_buyers(spark):
+    rows = [(str(i), "a", "1", f"2017-04-{10 + i:02d}") for i in range(4)]  # 4 rows in window
+    rows += [("10", "a", "1", "2017-04-10")]  # same day again, new order
+    rows += [(str(20 + i), "b", "1", "2017-04-29") for i in range(5)]  # 5 rows, one day
+    rows += [(str(30 + i), "c", "1", "2017-04-30") for i in range(5)]  # only on the last date
+    o = orders_df(spark, rows)
+    got = {r["user_id"]: (r["frequency"], r["first_date"], r["order_rows"])
+           for r in frequent_recent_buyers(o, D(2017, 4, 30), 30, 3).collect()}
+    assert got == {"a": (1.25, D(2017, 4, 10), 5), "b": (5.0, D(2017, 4, 29), 5)}
+
+
+def test_clients(spark):
+    clients = spark.createDataFrame(
+        [(1, "100"), (2, "0"), (3, "100"), (4, "100"), (5, "-50"), (6, "100")],
+        "id_client long, limit_sum string",
+    ).selectExpr("id_client", "cast(limit_sum as decimal(12,2)) as limit_sum")
+    tx = spark.createDataFrame(
+        [(2, "2020-01-01", "10:00:00", "5"), (3, "2020-01-02", "09:00:00", "70"),
+         (4, "2020-01-03", "08:00:00", "70.1"), (5, "2020-01-04", "07:00:00", "10"),
+         (6, "2020-01-05", "23:59:59", "40"), (6, "2020-01-05", "00:00:01", "40")],
+        "id_client long, transaction_date string, transaction_time string, transaction_sum string",
+    ).selectExpr("id_client", "cast(transaction_date as date) as transaction_date", "transaction_time",
+                 "cast(transaction_sum as decimal(12,2)) as transaction_sum")
+    first = {r["id_client"]: r["datetime"] for r in first_transaction(clients, tx).collect()}
+    assert first[1] is None
+    assert first[6] == dt.datetime(2020, 1, 5, 0, 0, 1)
+    used = {r["id_client"]: r["used_pct"] for r in limit_utilisation(clients, tx, 70).collect()}
+    assert used == {4: 70.1}  # 70 % exactly is not listed; zero limit drops out; negative is negative
+    per_client = {r["id_client"]: r["used_pct"] for r in limit_utilisation(clients, tx, 70, per="client").collect()}
+    assert per_client == {4: 70.1, 6: 80.0}
+    t = transaction_totals(tx).collect()[0]
+    assert (t["transactions_count"], t["transactions_sum"], t["transactions_average"]) == (
+        6, decimal.Decimal("235.10"), 39.18)
+
+
+def test_channels_golden_growth(spark):
+    visits = spark.createDataFrame(
+        [("referral", 2020, i) for i in range(17)] + [("referral", 2019, 100)]
+        + [("organic", 2020, i) for i in range(30)] + [("organic", 2019, i) for i in range(20)]
+        + [("new", 2020, 1)],
+        "channel string, year int, user_id long",
+    )
+    top = [(r["channel"], r["growth_pct"]) for r in channel_growth(visits, 2020, 2019, k=3).collect()]
+    assert top == [("referral", 1600.0), ("organic", 50.0), ("new", None)]
+    assert [r["channel"] for r in top_channels(visits, k=2, year=2020).collect()] == ["organic", "referral"]
+
+
+def test_revenue_shares_sum_to_100(spark):
+    sales = spark.createDataFrame(
+        [("direct", 2020, 1, "81.41"), ("search", 2020, 2, "24.59"), ("ads", 2020, 3, "6.03"), ("x", 2019, 4, "9")],
+        "channel string, year int, user_id long, revenue string",
+    ).selectExpr("channel", "year", "user_id", "cast(revenue as decimal(12,2)) as revenue")
+    rows = channel_revenue_share(sales, 2020, k=3).collect()
+    assert [r["channel"] for r in rows] == ["direct", "search", "ads"]
+    assert abs(sum(r["share_pct"] for r in rows) - 100) < 0.02
