@@ -21,6 +21,26 @@ BASE_CONF: dict[str, str] = {
 }
 
 
+# Settings for a large cluster (100 TB inputs, ~1000 executors).  Shuffle
+# partitions start high and AQE coalesces them to ~256 MB; file splits are
+# 256 MB; skewed join partitions are split; tasks and stages retry so a lost
+# executor only re-runs its tasks, and decommissioning executors hand their
+# shuffle blocks over instead of losing them.
+CLUSTER_CONF: dict[str, str] = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+}
+
+
 def build_session(
     master: str = "local[8]",
     shuffle_partitions: int = 8,
@@ -30,8 +50,8 @@ def build_session(
     """Create (or reuse) a session with the library's settings.
 
     On a cluster, pass ``master=None`` so that ``spark-submit`` decides, and
-    size ``shuffle_partitions`` to the data (roughly input bytes / 128 MB);
-    AQE then coalesces partitions that turn out small.
+    ``extra_conf=CLUSTER_CONF`` (it overrides ``shuffle_partitions``); AQE
+    then coalesces partitions that turn out small.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
