@@ -22,7 +22,7 @@ from basketlens.operators.segments import (
     segment_revenue_by_month,
     user_rfm,
 )
-from basketlens.operators.journey import rfm_snapshots, segment_sizes, snapshot_users
+from basketlens.operators.journey import rfm_snapshots, segment_sizes, snapshot_scores, snapshot_users
 from basketlens.operators.cohorts import (
     active_users,
     cohort_revenue,
@@ -66,6 +66,7 @@ __all__ = [
     "seasonality",
     "segment_revenue_by_month",
     "segment_sizes",
+    "snapshot_scores",
     "snapshot_users",
     "top_channels",
     "traffic_by_weekday",

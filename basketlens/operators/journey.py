@@ -86,6 +86,13 @@ def snapshot_users(orders: DataFrame, cutoffs: Sequence[dt.date | str]) -> DataF
     )
 
 
+def snapshot_scores(
+    orders: DataFrame, cutoffs: Sequence[dt.date | str], profile: RfmProfile = JOURNEY
+) -> DataFrame:
+    """Scored users per snapshot (codes and segments, no group counts)."""
+    return score_rfm(snapshot_users(orders, cutoffs), profile)
+
+
 def rfm_snapshots(
     orders: DataFrame, cutoffs: Sequence[dt.date | str], profile: RfmProfile = JOURNEY
 ) -> DataFrame:
@@ -93,12 +100,12 @@ def rfm_snapshots(
     ``snapshot, segment, user_id, rfm_code, count_by_rfm, count_by_group,
     days, orders, sum_price, share_of_turnover`` (counts and shares per
     snapshot).  Write it with ``sources.write_snapshots``."""
-    scored = score_rfm(snapshot_users(orders, cutoffs), profile)
-    return with_group_counts(scored, keys=("snapshot",))
+    return with_group_counts(snapshot_scores(orders, cutoffs, profile), keys=("snapshot",))
 
 
 def segment_sizes(snapshots: DataFrame, groups: Sequence[str] | None = None) -> DataFrame:
     """Tidy table ``snapshot, segment, count_by_group`` (users per segment per
-    snapshot), optionally only for ``groups`` (e.g. VIP and undefined)."""
+    snapshot), optionally only for ``groups`` (e.g. VIP and undefined).
+    Takes stored snapshots or :func:`snapshot_scores`."""
     src = snapshots if groups is None else snapshots.where(F.col("segment").isin(list(groups)))
     return src.groupBy("snapshot", "segment").agg(F.count(F.lit(1)).alias("count_by_group"))

@@ -45,8 +45,8 @@ def _daily(spark: SparkSession, base: str) -> DataFrame:
     return T.daily_traffic(T.load_table(spark, base, "events"))
 
 
-def _sales(spark: SparkSession, base: str) -> DataFrame:
-    return T.channel_sales(T.load_table(spark, base, "orders"), T.load_table(spark, base, "customer"))
+def _sales(spark: SparkSession, base: str, years: tuple[int, ...]) -> DataFrame:
+    return T.channel_sales(T.load_table(spark, base, "orders"), T.load_table(spark, base, "customer"), years)
 
 
 def _rfm_scaled_scores(spark: SparkSession, base: str) -> DataFrame:
@@ -57,6 +57,10 @@ def _snapshots(spark: SparkSession, base: str) -> DataFrame:
     return ops.rfm_snapshots(_orders(spark, base), P.SNAPSHOT_CUTOFFS, P.JOURNEY_SCALED)
 
 
+def _snapshot_scores(spark: SparkSession, base: str) -> DataFrame:
+    return ops.snapshot_scores(_orders(spark, base), P.SNAPSHOT_CUTOFFS, P.JOURNEY_SCALED)
+
+
 def _ingest_orders(spark: SparkSession, base: str) -> DataFrame:
     return parse_orders(format_orders_text(_orders(spark, base))).good
 
@@ -113,8 +117,8 @@ _RAW: dict[str, Query] = {
     "rfm_group_rollup": lambda s, b: ops.rfm_group_counts(_rfm_scaled_scores(s, b), rollup=True),
     "paying_users": lambda s, b: ops.paying_users(_orders(s, b)),
     "rfm_snapshots": _snapshots,
-    "segment_sizes": lambda s, b: ops.segment_sizes(_snapshots(s, b)),
-    "segment_sizes_subset": lambda s, b: ops.segment_sizes(_snapshots(s, b), P.SNAPSHOT_GROUPS),
+    "segment_sizes": lambda s, b: ops.segment_sizes(_snapshot_scores(s, b)),
+    "segment_sizes_subset": lambda s, b: ops.segment_sizes(_snapshot_scores(s, b), P.SNAPSHOT_GROUPS),
     # clients and transactions
     "transaction_totals": lambda s, b: ops.transaction_totals(
         T.order_transactions(T.load_table(s, b, "orders"))
@@ -142,10 +146,14 @@ _RAW: dict[str, Query] = {
     "peak_traffic_day": lambda s, b: ops.peak_traffic_days(_daily(s, b)),
     "traffic_by_weekday": lambda s, b: ops.traffic_by_weekday(_daily(s, b)),
     "top_channels_traffic": lambda s, b: ops.top_channels(
-        T.channel_visits(T.load_table(s, b, "events")), k=3, year=P.TRAFFIC_YEAR
+        T.channel_visits(T.load_table(s, b, "events"), [P.TRAFFIC_YEAR]), k=3, year=P.TRAFFIC_YEAR
+    ),
+    "top_channels_revenue": lambda s, b: ops.channel_revenue_share(
+        _sales(s, b, (P.CHANNEL_YEAR,)), P.CHANNEL_YEAR, k=3
+    ),
+    "channel_growth": lambda s, b: ops.channel_growth(
+        _sales(s, b, (P.CHANNEL_YEAR, P.CHANNEL_PREV_YEAR)), P.CHANNEL_YEAR, P.CHANNEL_PREV_YEAR, k=1
     ),
-    "top_channels_revenue": lambda s, b: ops.channel_revenue_share(_sales(s, b), P.CHANNEL_YEAR, k=3),
-    "channel_growth": lambda s, b: ops.channel_growth(_sales(s, b), P.CHANNEL_YEAR, P.CHANNEL_PREV_YEAR, k=1),
     # ingest round trips
     "ingest_orders": _ingest_orders,
     "ingest_daily_traffic": _ingest_daily,

@@ -18,12 +18,29 @@ read to the used columns and pushes date bounds through the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONEY = "decimal(12,2)"
 
 
+def _in_years(ts: str, years: Iterable[int] | None) -> Column | None:
+    """``ts`` within one of ``years``, as timestamp ranges (pushed to the
+    Parquet scan; ``year(ts) in (...)`` would not be)."""
+    if years is None:
+        return None
+    cond = None
+    for y in sorted(set(years)):
+        lo = F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz")
+        hi = F.lit(dt.datetime(y + 1, 1, 1)).cast("timestamp_ntz")
+        c = (F.col(ts) >= lo) & (F.col(ts) < hi)
+        cond = c if cond is None else cond | c
+    return cond
+
+
 def load_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     """``<base_dir>/<name>.parquet`` (a file or a folder of part files)."""
     return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
@@ -85,8 +102,12 @@ def daily_traffic(events: DataFrame) -> DataFrame:
     )
 
 
-def channel_visits(events: DataFrame) -> DataFrame:
-    """Visits ``(channel, year, user_id)``; the channel is the event type."""
+def channel_visits(events: DataFrame, years: Iterable[int] | None = None) -> DataFrame:
+    """Visits ``(channel, year, user_id)``; the channel is the event type.
+    ``years`` restricts the scan to those calendar years."""
+    cond = _in_years("ts", years)
+    if cond is not None:
+        events = events.where(cond)
     return events.select(
         F.col("event_type").alias("channel"),
         F.year("ts").alias("year"),
@@ -94,14 +115,18 @@ def channel_visits(events: DataFrame) -> DataFrame:
     )
 
 
-def channel_sales(orders: DataFrame, customer: DataFrame) -> DataFrame:
+def channel_sales(orders: DataFrame, customer: DataFrame, years: Iterable[int] | None = None) -> DataFrame:
     """Sales per client and year with the client's channel (market segment):
     ``(channel, year, user_id, revenue)``.
 
     Orders are summed per ``(client, year)`` *before* the join, so the join
     sees one row per client-year whatever the skew of orders per client
     (map-side partial aggregation absorbs a client holding many orders).
+    ``years`` restricts the orders scan to those calendar years.
     """
+    cond = _in_years("o_orderdate", years)
+    if cond is not None:
+        orders = orders.where(cond)
     per_client_year = (
         orders.select(
             F.col("o_custkey").alias("user_id"),
