@@ -29,6 +29,15 @@ class Rule:
     low_inclusive: bool = True
     high_inclusive: bool = True
 
+    def sql(self, value: str) -> str:
+        """The rule as SQL text over the expression ``value``."""
+        parts = []
+        if self.low is not None:
+            parts.append(f"{value} {'>=' if self.low_inclusive else '>'} {_num(self.low)}")
+        if self.high is not None:
+            parts.append(f"{value} {'<=' if self.high_inclusive else '<'} {_num(self.high)}")
+        return " AND ".join(parts) if parts else "TRUE"
+
     def condition(self, value: Column) -> Column:
         cond = F.lit(True)
         if self.low is not None:
@@ -46,6 +55,11 @@ class Rule:
         return True
 
 
+def _num(x: float) -> str:
+    """Exact SQL literal (``500.1`` is a decimal literal, not a double)."""
+    return str(int(x)) if float(x).is_integer() else repr(x)
+
+
 def between(score: int, low: float, high: float) -> Rule:
     return Rule(score, low, high)
 
@@ -66,10 +80,21 @@ def equal(score: int, value: float) -> Rule:
     return Rule(score, value, value)
 
 
+def score_sql(value: str, rules: Sequence[Rule], default: int = 0) -> str:
+    """:func:`score` as SQL text over the column or expression ``value``."""
+    if not rules:
+        return str(default)
+    whens = " ".join(f"WHEN {rule.sql(value)} THEN {rule.score}" for rule in rules)
+    return f"CASE {whens} ELSE {default} END"
+
+
 def score(value: Column | str, rules: Sequence[Rule], default: int = 0) -> Column:
     """First rule whose range holds gets its score; ``default`` otherwise
-    (also for NULL values)."""
-    v = F.col(value) if isinstance(value, str) else value
+    (also for NULL values).  For a column name the expression is built from
+    SQL text (one call into the JVM instead of one per literal)."""
+    if isinstance(value, str):
+        return F.expr(score_sql(f"`{value}`", rules, default))
+    v = value
     expr = None
     for rule in rules:
         cond = rule.condition(v)

@@ -44,8 +44,19 @@ class RfmProfile:
                 return seg.name
         return self.default_segment
 
-    def segment_expr(self, code: Column) -> Column:
-        """``code`` -> segment as one CASE over IN lists (Catalyst makes InSet)."""
+    def segment_sql(self, code: str) -> str:
+        """SQL text of the code -> segment CASE over the expression ``code``."""
+        whens = " ".join(
+            f"WHEN {code} IN ({', '.join(repr(c) for c in dict.fromkeys(seg.codes))}) THEN {seg.name!r}"
+            for seg in self.segments
+        )
+        return f"CASE {whens} ELSE {self.default_segment!r} END" if whens else repr(self.default_segment)
+
+    def segment_expr(self, code: Column | str) -> Column:
+        """``code`` -> segment as one CASE over IN lists (Catalyst makes InSet).
+        A string is taken as a SQL expression."""
+        if isinstance(code, str):
+            return F.expr(self.segment_sql(code))
         expr = None
         for seg in self.segments:
             cond = code.isin(list(dict.fromkeys(seg.codes)))
@@ -89,7 +100,22 @@ class RfProfile:
     r_default: int = 1
     f_default: int = 3
 
-    def segment_expr(self, code: Column, orders: Column) -> Column:
+    def segment_sql(self, code: str, orders: str) -> str:
+        def lst(codes: tuple[str, ...]) -> str:
+            return ", ".join(repr(c) for c in codes)
+
+        return (
+            f"CASE WHEN {code} IN ({lst(self.good_codes)}) THEN {self.good_name!r} "
+            f"WHEN {code} IN ({lst(self.bad_codes)}) THEN {self.bad_name!r} "
+            f"WHEN {orders} < {self.lost_max_orders} AND {code} NOT IN ({lst(self.lost_excluded_codes)}) "
+            f"THEN {self.lost_name!r} ELSE {self.default_segment!r} END"
+        )
+
+    def segment_expr(self, code: Column | str, orders: Column | str) -> Column:
+        if isinstance(code, str) and isinstance(orders, str):
+            return F.expr(self.segment_sql(code, orders))
+        code = F.expr(code) if isinstance(code, str) else code
+        orders = F.col(orders) if isinstance(orders, str) else orders
         return (
             F.when(code.isin(list(self.good_codes)), F.lit(self.good_name))
             .when(code.isin(list(self.bad_codes)), F.lit(self.bad_name))

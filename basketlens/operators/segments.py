@@ -66,19 +66,18 @@ def user_rfm(orders: DataFrame, cutoff: DateLike | None = None) -> DataFrame:
 def score_rfm(per_user: DataFrame, profile: RfmProfile = JOURNEY) -> DataFrame:
     """Add ``r_score, f_score, m_score``, ``rfm_code`` (``R5-F4-M3``) and
     ``segment`` to a frame with ``days, orders, sum_price``."""
-    r = score("days", profile.r_rules)
-    f = score("orders", profile.f_rules)
-    m = score("sum_price", profile.m_rules)
-    scored = per_user.select("*", r.alias("r_score"), f.alias("f_score"), m.alias("m_score"))
-    code = F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")])
+    scored = per_user.select(
+        "*",
+        score("days", profile.r_rules).alias("r_score"),
+        score("orders", profile.f_rules).alias("f_score"),
+        score("sum_price", profile.m_rules).alias("m_score"),
+    )
+    digits = "concat(cast(r_score AS STRING), cast(f_score AS STRING), cast(m_score AS STRING))"
     return scored.select(
         "*",
-        F.concat(
-            F.lit("R"), F.col("r_score").cast("string"),
-            F.lit("-F"), F.col("f_score").cast("string"),
-            F.lit("-M"), F.col("m_score").cast("string"),
-        ).alias("rfm_code"),
-        profile.segment_expr(code).alias("segment"),
+        F.expr("concat('R', cast(r_score AS STRING), '-F', cast(f_score AS STRING), '-M', cast(m_score AS STRING))")
+        .alias("rfm_code"),
+        profile.segment_expr(digits).alias("segment"),
     )
 
 
@@ -173,16 +172,19 @@ def rf_segments(orders: DataFrame, cutoff: DateLike | None, profile: RfProfile =
     per_user = rows.groupBy("user_id").agg(
         F.max("o_date").alias("last_order"), F.count_distinct("id_o").alias("orders")
     )
-    days = days_between(last, "last_order")
-    r = score(days, profile.r_rules, default=profile.r_default)
-    f = score("orders", profile.f_rules, default=profile.f_default)
-    code = F.concat(r.cast("string"), f.cast("string"))
-    return per_user.select(
+    with_days = per_user.select("user_id", days_between(last, "last_order").alias("days"), "orders")
+    scored = with_days.select(
+        "*",
+        score("days", profile.r_rules, default=profile.r_default).alias("r_score"),
+        score("orders", profile.f_rules, default=profile.f_default).alias("f_score"),
+    )
+    code = "concat(cast(r_score AS STRING), cast(f_score AS STRING))"
+    return scored.select(
         "user_id",
-        days.alias("days"),
+        "days",
         "orders",
-        code.alias("rf_code"),
-        profile.segment_expr(code, F.col("orders")).alias("segment"),
+        F.expr(code).alias("rf_code"),
+        profile.segment_expr(code, "orders").alias("segment"),
     )
 
 

@@ -19,10 +19,12 @@ read to the used columns and pushes date bounds through the
 from __future__ import annotations
 
 import datetime as dt
+import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MONEY = "decimal(12,2)"
 
@@ -41,9 +43,32 @@ def _in_years(ts: str, years: Iterable[int] | None) -> Column | None:
     return cond
 
 
+_SCHEMAS: dict[tuple[str, int, int], StructType] = {}
+
+
+def _stat_key(path: str) -> tuple[str, int, int] | None:
+    try:
+        st = os.stat(path)
+    except OSError:  # not a local path (object store, HDFS): no caching
+        return None
+    return (path, st.st_mtime_ns, st.st_size)
+
+
 def load_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """``<base_dir>/<name>.parquet`` (a file or a folder of part files)."""
-    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    """``<base_dir>/<name>.parquet`` (a file or a folder of part files).
+
+    The schema read from the Parquet footer is remembered per file (keyed by
+    path, modification time and size), so later reads pass it explicitly
+    and skip schema inference; a changed file is inferred again.
+    """
+    path = f"{base_dir.rstrip('/')}/{name}.parquet"
+    key = _stat_key(path)
+    if key is not None and key in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    df = spark.read.parquet(path)
+    if key is not None:
+        _SCHEMAS[key] = df.schema
+    return df
 
 
 def order_log(orders: DataFrame) -> DataFrame:
