@@ -12,10 +12,13 @@ from basketlens.sources.tables import (
 )
 from basketlens.sources.ingest import (
     ParseResult,
+    ingest_daily_traffic_table,
+    ingest_orders_table,
     load_daily_traffic,
     load_orders,
     parse_daily_traffic,
     parse_orders,
+    store_parsed,
 )
 from basketlens.sources.snapshots import read_snapshot, write_snapshots
 
@@ -26,6 +29,8 @@ __all__ = [
     "clients_frame",
     "daily_traffic",
     "event_transactions",
+    "ingest_daily_traffic_table",
+    "ingest_orders_table",
     "load_daily_traffic",
     "load_orders",
     "load_table",
@@ -34,5 +39,6 @@ __all__ = [
     "parse_daily_traffic",
     "parse_orders",
     "read_snapshot",
+    "store_parsed",
     "write_snapshots",
 ]

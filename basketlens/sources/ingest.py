@@ -51,12 +51,13 @@ def parse_grouped_int(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{Z}\s]", "").try_cast("int")
 
 
-def parse_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> ParseResult:
-    """Type a raw orders frame ``(id_o, user_id, price, o_date)`` of strings.
+ORDERS_TYPED = ("id_o", "user_id", "price", "o_date")
+TRAFFIC_TYPED = ("day", "users")
 
-    Good rows: ``id_o string, user_id string, price decimal(10,1), o_date date``.
-    Rejected rows keep the raw columns plus ``reject_reason``.
-    """
+
+def tag_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> DataFrame:
+    """Raw orders with typed twins ``_id_o, _user_id, _price, _o_date`` and
+    ``reject_reason`` (NULL for a good row)."""
     id_o = F.trim(F.col("id_o"))
     user_id = F.trim(F.col("user_id"))
     price = parse_decimal_comma(F.col("price"))
@@ -75,7 +76,7 @@ def parse_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> P
         reason.when(price.isNull(), F.lit("bad price"))
         .when(o_date.isNull(), F.lit("bad date"))
     )
-    tagged = raw.select(
+    return raw.select(
         "*",
         id_o.alias("_id_o"),
         user_id.alias("_user_id"),
@@ -83,34 +84,66 @@ def parse_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> P
         o_date.alias("_o_date"),
         reason.alias("reject_reason"),
     )
-    good = tagged.where(F.col("reject_reason").isNull()).select(
-        F.col("_id_o").alias("id_o"),
-        F.col("_user_id").alias("user_id"),
-        F.col("_price").alias("price"),
-        F.col("_o_date").alias("o_date"),
-    )
-    rejected = tagged.where(F.col("reject_reason").isNotNull()).select(
-        "id_o", "user_id", "price", "o_date", "reject_reason"
-    )
+
+
+def _split(tagged: DataFrame, typed: tuple[str, ...]) -> ParseResult:
+    good = tagged.where(F.col("reject_reason").isNull()).select(*[F.col(f"_{c}").alias(c) for c in typed])
+    rejected = tagged.where(F.col("reject_reason").isNotNull()).select(*typed, "reject_reason")
     return ParseResult(good, rejected)
 
 
-def parse_daily_traffic(raw: DataFrame) -> ParseResult:
-    """Type a raw traffic frame ``(day, users)`` of strings.
+def parse_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> ParseResult:
+    """Type a raw orders frame ``(id_o, user_id, price, o_date)`` of strings.
 
-    An empty day is skipped (neither loaded nor rejected); empty users
-    count as 0.  Good rows: ``day date, users int``.
+    Good rows: ``id_o string, user_id string, price decimal(10,1), o_date date``.
+    Rejected rows keep the raw columns plus ``reject_reason``.  (Lazy
+    frames; to produce both from one pass use :func:`store_parsed`.)
     """
+    return _split(tag_orders(raw, id_max_length), ORDERS_TYPED)
+
+
+def tag_daily_traffic(raw: DataFrame) -> DataFrame:
+    """Raw traffic rows (empty days skipped) with typed twins ``_day, _users``
+    and ``reject_reason``."""
     rows = raw.where(~_blank(F.col("day")))
     users_text = F.coalesce(F.nullif(F.trim(F.col("users")), F.lit("")), F.lit("0"))
     day = parse_day_month_year(F.col("day"))
     users = parse_grouped_int(users_text)
     reason = F.when(day.isNull(), F.lit("bad day")).when(users.isNull(), F.lit("bad users"))
-    tagged = rows.select("*", day.alias("_day"), users.alias("_users"), reason.alias("reject_reason"))
-    good = tagged.where(F.col("reject_reason").isNull()).select(
-        F.col("_day").alias("day"), F.col("_users").alias("users")
+    return rows.select("*", day.alias("_day"), users.alias("_users"), reason.alias("reject_reason"))
+
+
+def parse_daily_traffic(raw: DataFrame) -> ParseResult:
+    """Type a raw traffic frame ``(day, users)`` of strings.
+
+    An empty day is skipped (neither loaded nor rejected); empty users
+    count as 0.  Good rows: ``day date, users int``.
+    """
+    return _split(tag_daily_traffic(raw), TRAFFIC_TYPED)
+
+
+def store_parsed(spark: SparkSession, tagged: DataFrame, typed: tuple[str, ...], path: str) -> ParseResult:
+    """Write good and rejected rows in *one* pass, as partitions
+    ``status=good`` / ``status=rejected`` of one Parquet table, and return
+    both read back.
+
+    Each input row is read and typed once (two lazy filters over the same
+    input would parse every row twice), the write commits as one job, and
+    later steps read the stored table, not the text export.
+    """
+    ok = F.col("reject_reason").isNull()
+    out = tagged.select(
+        *[F.when(ok, F.col(f"_{c}")).alias(c) for c in typed],
+        *[F.when(~ok, F.col(c)).alias(f"raw_{c}") for c in typed],
+        "reject_reason",
+        F.when(ok, F.lit("good")).otherwise(F.lit("rejected")).alias("status"),
+    )
+    out.write.mode("overwrite").partitionBy("status").parquet(path)
+    stored = spark.read.parquet(path)
+    good = stored.where(F.col("status") == "good").select(*typed)
+    rejected = stored.where(F.col("status") == "rejected").select(
+        *[F.col(f"raw_{c}").alias(c) for c in typed], "reject_reason"
     )
-    rejected = tagged.where(F.col("reject_reason").isNotNull()).select("day", "users", "reject_reason")
     return ParseResult(good, rejected)
 
 
@@ -169,6 +202,19 @@ def load_daily_traffic(
     return _finish(parse_daily_traffic(read_daily_traffic_csv(spark, path)), on_error)
 
 
+def ingest_orders_table(
+    spark: SparkSession, src: str, dest: str, id_max_length: int | None = ID_MAX_LENGTH
+) -> ParseResult:
+    """Job: orders export at ``src`` -> typed table at ``dest`` (with its
+    quarantine partition), one pass over the text."""
+    return store_parsed(spark, tag_orders(read_orders_csv(spark, src), id_max_length), ORDERS_TYPED, dest)
+
+
+def ingest_daily_traffic_table(spark: SparkSession, src: str, dest: str) -> ParseResult:
+    """Job: daily traffic export at ``src`` -> typed table at ``dest``."""
+    return store_parsed(spark, tag_daily_traffic(read_daily_traffic_csv(spark, src)), TRAFFIC_TYPED, dest)
+
+
 def format_orders_text(orders: DataFrame) -> DataFrame:
     """The order log written the way the export writes it (all strings):
     decimal comma, ``dd.MM.yyyy``.  Used for round trips on stored tables."""

@@ -120,3 +120,25 @@ def test_orders_text_round_trip(spark):
         ("1", "7", decimal.Decimal("12.3"), dt.date(2016, 2, 1)),
         ("2", "7", decimal.Decimal("3.0"), dt.date(2016, 12, 31)),
     ]
+
+
+def test_ingest_jobs_store_good_and_rejected(spark, scratch):
+    from basketlens.sources.ingest import ingest_daily_traffic_table, ingest_orders_table
+
+    path = os.path.join(scratch, "orders.csv")
+    with open(path, "w", newline="") as fh:
+        fh.write('"id_o";"user_id";"price";"o_date"\r\n')
+        for row in RAW_ORDERS:
+            fh.write(";".join(row) + "\r\n")
+    res = ingest_orders_table(spark, path, os.path.join(scratch, "orders_table"))
+    assert [tuple(r) for r in res.good.collect()] == [("1", "10", decimal.Decimal("12.3"), dt.date(2016, 2, 1))]
+    assert sorted((r["id_o"], r["price"], r["reject_reason"]) for r in res.rejected.collect()) == [
+        ("12345678", "1,0", "id_o too long"), ("2", "x", "bad price")]
+    tpath = os.path.join(scratch, "traffic.csv")
+    with open(tpath, "w", encoding="utf-8", newline="") as fh:
+        fh.write("day,users\n")
+        for day, users in RAW_TRAFFIC:
+            fh.write(f"{day},{users}\n")
+    tres = ingest_daily_traffic_table(spark, tpath, os.path.join(scratch, "traffic_table"))
+    assert tres.good.count() == 5 and tres.rejected.count() == 1
+    assert str(tres.good.schema["users"].dataType) == "IntegerType()"
