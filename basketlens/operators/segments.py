@@ -92,20 +92,27 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     Each row gets its code's and its segment's user count (every row, not
     one arbitrary row per group).  The share is the user's sum over the sum
     of all users (per ``keys``, e.g. per snapshot), rounded to 2 places.
-    The count frames have at most (codes x keys) and (segments x keys) rows.
+
+    All three come from one small lookup grouped by (keys, segment, code):
+    at most 6^3 codes per key value whatever the number of users, joined
+    back to the users with a single broadcast join.
     """
     k = list(keys)
-    by_group = scored.groupBy(*k, "segment").agg(
-        F.count(F.lit(1)).alias("count_by_group"), F.sum("sum_price").alias("group_sum")
+    per_code = scored.groupBy(*k, "segment", "rfm_code").agg(
+        F.count(F.lit(1)).alias("count_by_rfm"), F.sum("sum_price").alias("code_sum")
     )
-    by_code = scored.groupBy(*k, "rfm_code").agg(F.count(F.lit(1)).alias("count_by_rfm"))
+    per_group = per_code.groupBy(*k, "segment").agg(F.sum("count_by_rfm").alias("count_by_group"))
+    lookup = per_code.join(per_group, [*k, "segment"])
+    extra: list[str] = []
     if k:
-        totals = by_group.groupBy(*k).agg(F.sum("group_sum").alias("overall_sum"))
-        by_group = by_group.join(totals, k)
+        totals = per_code.groupBy(*k).agg(F.sum("code_sum").alias("overall_sum"))
+        lookup = lookup.join(totals, k)
         overall = F.col("overall_sum")
+        extra = ["overall_sum"]
     else:
-        overall = by_group.agg(F.sum("group_sum")).scalar()
-    joined = scored.join(F.broadcast(by_group), [*k, "segment"]).join(F.broadcast(by_code), [*k, "rfm_code"])
+        overall = per_code.agg(F.sum("code_sum")).scalar()
+    lookup = lookup.select(*k, "segment", "rfm_code", "count_by_rfm", "count_by_group", *extra)
+    joined = scored.join(F.broadcast(lookup), [*k, "segment", "rfm_code"])
     return joined.select(
         *k,
         "segment",
