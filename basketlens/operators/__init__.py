@@ -26,6 +26,7 @@ from basketlens.operators.journey import rfm_snapshots, segment_sizes, snapshot_
 from basketlens.operators.cohorts import (
     active_users,
     cohort_revenue,
+    cohort_revenue_by_cutoff,
     frequent_recent_buyers,
     user_cohorts,
 )
@@ -46,6 +47,7 @@ __all__ = [
     "churned_user_count",
     "churned_users",
     "cohort_revenue",
+    "cohort_revenue_by_cutoff",
     "first_transaction",
     "frequent_recent_buyers",
     "last_order_date",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.calendar import as_date, period_label
@@ -41,6 +41,34 @@ def cohort_revenue(orders: DataFrame, cohorts: DataFrame) -> DataFrame:
     )
 
 
+def cohort_revenue_by_cutoff(orders: DataFrame, cutoff: DateLike | None = None) -> DataFrame:
+    """:func:`cohort_revenue` with the cohorts of :func:`user_cohorts`, in
+    one pass over the orders and without a join.
+
+    The monthly sums per user also carry each user-month's first order day
+    before the last date; a window over the user's months (partitioned by
+    ``user_id``: many small partitions, at most one row per month for even
+    the heaviest user) gives every user-month the user's cohort.
+    """
+    last = last_order_date(orders, cutoff)
+    before = F.col("o_date") < last if cutoff is not None else F.lit(True)
+    monthly = (
+        orders.where(F.col("user_id").isNotNull())
+        .groupBy("user_id", period_label("o_date").alias("period"))
+        .agg(
+            F.sum("price").alias("sum_price"),
+            F.min(F.when(before, F.col("o_date"))).alias("first_before"),
+        )
+    )
+    first_day = F.min("first_before").over(Window.partitionBy("user_id"))
+    return (
+        monthly.select("period", "sum_price", first_day.alias("first_day"))
+        .where(F.col("first_day").isNotNull())
+        .groupBy(period_label("first_day").alias("cohort"), "period")
+        .agg(F.sum("sum_price").alias("sum_price"))
+    )
+
+
 def active_users(
     orders: DataFrame,
     since: DateLike | Column | None = None,

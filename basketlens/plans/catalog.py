@@ -80,8 +80,7 @@ def _recent_before(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _cohort_revenue(spark: SparkSession, base: str) -> DataFrame:
-    o = _orders(spark, base)
-    return ops.cohort_revenue(o, ops.user_cohorts(o, P.COHORT_CUTOFF))
+    return ops.cohort_revenue_by_cutoff(_orders(spark, base), P.COHORT_CUTOFF)
 
 
 _RAW: dict[str, Query] = {

@@ -11,6 +11,7 @@ from basketlens.operators import (
     churned_user_count,
     churned_users,
     cohort_revenue,
+    cohort_revenue_by_cutoff,
     first_transaction,
     frequent_recent_buyers,
     limit_utilisation,
@@ -105,6 +106,8 @@ def test_cohorts_and_activity(spark):
     assert cohorts == {"a": "1701", "b": "1702"}
     rev = {(r["cohort"], r["period"]): r["sum_price"] for r in cohort_revenue(o, user_cohorts(o, D(2017, 5, 1))).collect()}
     assert rev == {("1701", "1701"): 10, ("1701", "1703"): 20, ("1701", "1706"): 7, ("1702", "1702"): 5}
+    fused = {(r["cohort"], r["period"]): r["sum_price"] for r in cohort_revenue_by_cutoff(o, D(2017, 5, 1)).collect()}
+    assert fused == rev
     since = sorted(r["user_id"] for r in active_users(o, since=D(2017, 4, 30)).collect())
     assert since == ["a", "c"]
     before = sorted(r["user_id"] for r in active_users(o, before=D(2017, 4, 30)).collect())

@@ -1,6 +1,6 @@
 """Print plan statistics (scans, shuffles, reuse, broadcasts) per query.
 
-Usage: ``python tools/plan_stats.py [base_dir] [--full name]``.
+Usage: ``python tools/plan_stats.py [base_dir] [--full name] [--markdown]``.
 The final (adaptive) plan is read after running the query once.
 """
 
@@ -56,6 +56,9 @@ def main(argv):
     base = "/root/testdata/sf0.01"
     full = None
     args = list(argv)
+    markdown = "--markdown" in args
+    if markdown:
+        args.remove("--markdown")
     if "--full" in args:
         i = args.index("--full")
         full = args[i + 1]
@@ -65,6 +68,10 @@ def main(argv):
     spark = build_session("local[8]", 8)
     cat = queries()
     names = [full] if full else list(cat)
+    if markdown:
+        keys = list(PATTERNS)
+        print("| query | " + " | ".join(keys) + " |")
+        print("| --- | " + " | ".join("---" for _ in keys) + " |")
     for name in names:
         df = cat[name](spark, base)
         if full:
@@ -72,6 +79,9 @@ def main(argv):
             continue
         text = plan_text(df)
         stats = {k: len(re.findall(p, text)) for k, p in PATTERNS.items()}
+        if markdown:
+            print(f"| `{name}` | " + " | ".join(str(stats[k]) for k in PATTERNS) + " |")
+            continue
         print(f"{name:28s} " + " ".join(f"{k}={v}" for k, v in stats.items() if v))
 
 
