@@ -18,7 +18,6 @@ read to the used columns and pushes date bounds through the
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 from collections.abc import Iterable
 
@@ -36,8 +35,9 @@ def _in_years(ts: str, years: Iterable[int] | None) -> Column | None:
         return None
     cond = None
     for y in sorted(set(years)):
-        lo = F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz")
-        hi = F.lit(dt.datetime(y + 1, 1, 1)).cast("timestamp_ntz")
+        # text literals: independent of the Python and the session time zone
+        lo = F.lit(f"{y:04d}-01-01 00:00:00").cast("timestamp_ntz")
+        hi = F.lit(f"{y + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")
         c = (F.col(ts) >= lo) & (F.col(ts) < hi)
         cond = c if cond is None else cond | c
     return cond
