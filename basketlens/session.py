@@ -18,6 +18,10 @@ BASE_CONF: dict[str, str] = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    # Generated code is cached by its text; the default 100 entries are too
+    # few for a suite of multi-stage queries run one after the other, so
+    # plans kept being recompiled.  Static: takes effect at session start.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
@@ -46,18 +50,24 @@ def build_session(
     shuffle_partitions: int = 8,
     app_name: str = "basketlens",
     extra_conf: dict[str, str] | None = None,
+    local_memory: str = "8g",
 ) -> SparkSession:
     """Create (or reuse) a session with the library's settings.
 
     On a cluster, pass ``master=None`` so that ``spark-submit`` decides, and
     ``extra_conf=CLUSTER_CONF`` (it overrides ``shuffle_partitions``); AQE
-    then coalesces partitions that turn out small.
+    then coalesces partitions that turn out small.  With a ``local`` master
+    all tasks run inside the driver JVM, whose heap (``local_memory``) is
+    then the only memory setting that matters; it applies when this call
+    starts the JVM.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = local_memory
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -13,8 +13,8 @@ scans in each query's final plan (the RFM table target: one scan of the
 orders for the per-user aggregate, plus one narrow date scan).
 
 Each query runs fully (``noop`` sink: every row is produced, nothing is
-collected) once to warm up, then ``BENCH_RUNS`` times; the per-query value
-is the median.  Prints one JSON line:
+collected).  The whole suite runs once to warm up, then ``BENCH_RUNS``
+interleaved rounds; the per-query value is the median of its rounds.  Prints one JSON line:
 ``{"metric": "total_median_sec", "value": ..., "unit": "sec", "queries": {...}, "sf": ...}``.
 """
 
@@ -61,14 +61,27 @@ def main() -> None:
 
     results: dict[str, float] = {}
     failed: dict[str, str] = {}
-    for name in names:
-        def run(name=name):
-            catalog[name](spark, base_dir).write.format("noop").mode("overwrite").save()
 
+    def run(name: str, base: str = base_dir) -> None:
+        catalog[name](spark, base).write.format("noop").mode("overwrite").save()
+
+    # One warm-up round over the whole suite (JIT, class loading, schema
+    # cache), then BENCH_RUNS interleaved rounds; each query's value is the
+    # median of its rounds.
+    live = []
+    for name in names:
         try:
-            results[name] = round(_median_time(run, runs), 4)
+            run(name)
+            live.append(name)
         except Exception as e:  # keep going; report the failure
             failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    times: dict[str, list[float]] = {name: [] for name in live}
+    for _ in range(runs):
+        for name in live:
+            t0 = time.perf_counter()
+            run(name)
+            times[name].append(time.perf_counter() - t0)
+    results = {name: round(statistics.median(ts), 4) for name, ts in times.items()}
 
     growth: dict[str, dict[str, float]] = {}
     small_dir = os.environ.get("BENCH_SMALL_SF_DIR") or re.sub(r"sf[0-9.]+", "sf0.01", base_dir)
@@ -77,9 +90,7 @@ def main() -> None:
             if name not in results:
                 continue
             try:
-                small = _median_time(
-                    lambda n=name: catalog[n](spark, small_dir).write.format("noop").mode("overwrite").save(), runs
-                )
+                small = _median_time(lambda n=name: run(n, small_dir), runs)
                 growth[name] = {"small_sec": round(small, 4), "bench_sec": results[name],
                                 "ratio": round(results[name] / small, 3) if small else None}
             except Exception as e:
