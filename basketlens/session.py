@@ -73,7 +73,8 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local"):
+        checkpoint_dir(spark)  # tests and local runs: a scratch folder if unset
     return spark
 
 
@@ -90,6 +91,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if fallback is None and not sc.master.startswith("local"):
+        # a folder on the driver's disk is not visible to executors
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store) on a cluster")
     path = fallback or tempfile.mkdtemp(prefix="basketlens-ckpt-")
     os.makedirs(path, exist_ok=True)
     sc.setCheckpointDir(path)
