@@ -50,8 +50,7 @@ def cohort_revenue_by_cutoff(orders: DataFrame, cutoff: DateLike | None = None)
     ``user_id``: many small partitions, at most one row per month for even
     the heaviest user) gives every user-month the user's cohort.
     """
-    last = last_order_date(orders, cutoff)
-    before = F.col("o_date") < last if cutoff is not None else F.lit(True)
+    before = F.col("o_date") < last_order_date(orders, cutoff) if cutoff is not None else F.lit(True)
     monthly = (
         orders.where(F.col("user_id").isNotNull())
         .groupBy("user_id", period_label("o_date").alias("period"))
