@@ -74,7 +74,7 @@ def _rfm_ctes(cutoff: str | None, r_case: str, f_case: str, m_case: str, seg_cas
         window = "price > 0 AND o_date < (SELECT last_date FROM vars)"
     return f"""{O_CTE},
 {vars_},
-overall AS (SELECT SUM(price) AS overall_sum FROM o WHERE {window}),
+overall AS (SELECT SUM(price) AS overall_sum FROM o WHERE {window} AND user_id IS NOT NULL),
 r AS (SELECT user_id, MAX(o_date) AS maxdate,
              date_diff('day', MAX(o_date), (SELECT last_date FROM vars)) AS days
       FROM o WHERE {window} AND user_id IS NOT NULL GROUP BY user_id),
