@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.session import checkpoint_dir
+
 
 def daily_traffic_stream(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Streaming ``(day, users)`` from a streaming frame with ``ts, user_id``.
@@ -44,12 +46,19 @@ def daily_traffic_stream(events: DataFrame, lateness: str = "1 day") -> DataFram
 def start_daily_traffic(
     events: DataFrame,
     sink_path: str,
-    checkpoint_path: str,
+    checkpoint_path: str | None = None,
     lateness: str = "1 day",
     trigger_available_now: bool = False,
 ):
     """Run :func:`daily_traffic_stream` into a Parquet table (append mode:
-    one final row per day).  Returns the ``StreamingQuery``."""
+    one final row per day).  Returns the ``StreamingQuery``.
+
+    The checkpoint (offsets and state) defaults to a folder under the
+    shared ``spark.checkpoint.dir``, so a restarted query resumes where it
+    stopped, on any machine.
+    """
+    if checkpoint_path is None:
+        checkpoint_path = f"{checkpoint_dir(events.sparkSession).rstrip('/')}/streams/daily_traffic"
     writer = (
         daily_traffic_stream(events, lateness)
         .writeStream.format("parquet")
