@@ -192,3 +192,13 @@ def test_snapshot_sink_and_reader(spark, scratch):
     write_snapshots(rfm_snapshots(o, [CUTOFF], JOURNEY), path)
     assert read_snapshot(spark, path).select("snapshot").distinct().count() == 2
     assert read_snapshot(spark, path, "2020-12-01").count() == n_dec
+
+
+def test_snapshot_before_all_data_is_empty(spark):
+    o = orders_df(spark, boundary_rows())
+    cutoffs = ["2000-01-01", "2021-01-01", "2021-01-01"]  # text, repeated, one before every order
+    snaps = rfm_snapshots(o, cutoffs, JOURNEY).collect()
+    assert {r["snapshot"] for r in snaps} == {CUTOFF}
+    single = sorted(tuple(r) for r in rfm_table(o, CUTOFF, JOURNEY).collect())
+    assert sorted(tuple(r)[1:] for r in snaps) == single
+    assert rfm_table(o, dt.date(2000, 1, 1), JOURNEY).count() == 0
