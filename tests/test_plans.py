@@ -52,9 +52,23 @@ def test_rfm_reads_orders_once_for_user_measures(plans):
         assert "ReusedExchange" in text, name
 
 
-def test_no_window_without_partition(plans):
-    for name, text in plans.items():
-        assert "Window [" not in text or "partitionSpec=[]" not in text, name
+def test_windows_are_partitioned_by_a_high_cardinality_key(spark):
+    """Every Window node is partitioned, and only by the user (never by a
+    segment, a year or nothing, which would put whole groups in one task)."""
+    from basketlens.plans import queries
+
+    cat = queries()
+    for name in cat:
+        df = cat[name](spark, SMALL)
+        df.collect()
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        lines = text.splitlines()
+        for i, line in enumerate(lines):
+            if re.match(r"\(\d+\) Window\b", line):
+                args = next(x for x in lines[i + 1:i + 4] if x.startswith("Arguments:"))
+                # Arguments: [window expressions], [partition spec], [order spec]
+                partition_spec = args.split("], [")[1]
+                assert partition_spec.startswith("user_id#"), (name, args)
 
 
 @pytest.mark.parametrize("name", sorted(__import__("basketlens.plans", fromlist=["ORACLE"]).ORACLE))
