@@ -37,3 +37,16 @@ def test_snapshot_report_reads_back_stored_table(spark, scratch):
     assert per_snapshot[cutoffs[0]] <= per_snapshot[cutoffs[1]]
     back = stored(spark, sizes, "sizes")
     assert back.count() == sizes.count()
+
+
+def test_command_line(spark, scratch, capsys):
+    from basketlens.__main__ import main
+
+    assert main(["list"]) == 0
+    assert "rfm_snapshots" in capsys.readouterr().out
+    assert main(["sql", "paying_users"]) == 0
+    assert "COUNT(DISTINCT user_id)" in capsys.readouterr().out
+    assert main(["run", "nope", "--data", SMALL]) == 2
+    out = f"{scratch}/weekday"
+    assert main(["run", "traffic_by_weekday", "--data", SMALL, "--out", out, "--master", "local[2]"]) == 0
+    assert spark.read.parquet(out).count() == 7
