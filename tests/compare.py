@@ -48,6 +48,13 @@ def _norm(v):
     return v
 
 
+# Spark simple type -> DuckDB type name of the same values
+TYPE_NAMES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+}
+
+
 def _rows(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
@@ -64,14 +71,16 @@ def compare(spark, con, name: str, base_dir: str) -> tuple[bool, str]:
     sql = oracle_sql().get(name)
     if sql is None:
         return True, f"{name}: spark rows={len(s_rows)} (no oracle) {t1 - t0:.2f}s"
-    res = con.execute(sql)
-    d_cols = [c[0] for c in res.description]
-    d_rows = res.fetchall()
-    ok_cols = sorted(s_cols) == sorted(d_cols)
+    rel = con.sql(sql)
+    d_cols = rel.columns
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
+    d_rows = rel.fetchall()
+    s_types = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    ok_cols = sorted(s_cols) == sorted(d_cols) and all(s_types[c] == d_types.get(c) for c in s_cols)
     ok_n = len(s_rows) == len(d_rows)
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
     ok_v = a == b
-    msg = f"{name}: rows {len(s_rows)}/{len(d_rows)} cols {'ok' if ok_cols else (s_cols, d_cols)} values {'ok' if ok_v else 'DIFF'} {t1 - t0:.2f}s"
+    msg = f"{name}: rows {len(s_rows)}/{len(d_rows)} cols {'ok' if ok_cols else (s_types, d_types)} values {'ok' if ok_v else 'DIFF'} {t1 - t0:.2f}s"
     if not ok_v and ok_n:
         diffs = [(x, y) for x, y in zip(a, b) if x != y][:3]
         msg += f"\n   first diffs: {diffs}"
