@@ -100,7 +100,8 @@ def rfm_snapshots(
     ``snapshot, segment, user_id, rfm_code, count_by_rfm, count_by_group,
     days, orders, sum_price, share_of_turnover`` (counts and shares per
     snapshot).  Write it with ``sources.write_snapshots``."""
-    return with_group_counts(snapshot_scores(orders, cutoffs, profile), keys=("snapshot",))
+    n_snapshots = len(_sorted_cutoffs(cutoffs))
+    return with_group_counts(snapshot_scores(orders, cutoffs, profile), keys=("snapshot",), key_values=n_snapshots)
 
 
 def segment_sizes(snapshots: DataFrame, groups: Sequence[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.calendar import days_between, year_range
 from basketlens.functions.numeric import round_decimal, round_money, safe_ratio
+from basketlens.functions.bounds import MAX_CALENDAR_YEARS, bounded_broadcast
 
 
 def order_period(orders: DataFrame) -> DataFrame:
@@ -135,6 +136,6 @@ def seasonality(orders: DataFrame) -> DataFrame:
     pairs = orders.select(F.year("o_date").alias("year"), F.month("o_date").alias("month"), "id_o").distinct()
     months = pairs.groupBy("year", "month").agg(F.count("id_o").alias("orders"))
     years = pairs.groupBy("year").agg(F.count_distinct("id_o").alias("total"))
-    return months.join(F.broadcast(years), "year", "left").select(
+    return months.join(bounded_broadcast(years, MAX_CALENDAR_YEARS), "year", "left").select(
         "year", "month", round_money(safe_ratio("orders", "total")).alias("seasonal_factor")
     )

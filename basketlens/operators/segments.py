@@ -19,6 +19,7 @@ from basketlens.functions.bands import score
 from basketlens.functions.calendar import as_date, days_between, period_label
 from basketlens.functions.numeric import round_money, safe_ratio
 from basketlens.functions.profiles import JOURNEY, RF_BASIC, RfmProfile, RfProfile
+from basketlens.functions.bounds import MAX_SCORE_CODES, bounded_broadcast
 
 DateLike = dt.date | str
 
@@ -86,7 +87,7 @@ def rfm_scores(orders: DataFrame, cutoff: DateLike | None = None, profile: RfmPr
     return score_rfm(user_rfm(orders, cutoff), profile)
 
 
-def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values: int = 1) -> DataFrame:
     """Attach ``count_by_rfm``, ``count_by_group`` and ``share_of_turnover``.
 
     Each row gets its code's and its segment's user count (every row, not
@@ -94,8 +95,9 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     of all users (per ``keys``, e.g. per snapshot), rounded to 2 places.
 
     All three come from one small lookup grouped by (keys, segment, code):
-    at most 6^3 codes per key value whatever the number of users, joined
-    back to the users with a single broadcast join.
+    at most 6^3 codes per key value (``key_values`` of them, e.g. the
+    number of snapshots) whatever the number of users, joined back to the
+    users with a single broadcast join.
     """
     k = list(keys)
     per_code = scored.groupBy(*k, "segment", "rfm_code").agg(
@@ -112,7 +114,7 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     else:
         overall = per_code.agg(F.sum("code_sum")).scalar()
     lookup = lookup.select(*k, "segment", "rfm_code", "count_by_rfm", "count_by_group", *extra)
-    joined = scored.join(F.broadcast(lookup), [*k, "segment", "rfm_code"])
+    joined = scored.join(bounded_broadcast(lookup, MAX_SCORE_CODES * key_values), [*k, "segment", "rfm_code"])
     return joined.select(
         *k,
         "segment",

@@ -74,3 +74,12 @@ def test_hot_client_join_is_split(scratch):
                     "spark.sql.adaptive.coalescePartitions.enabled"):
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_broadcast_hint_only_with_small_bound(spark):
+    from basketlens.functions.bounds import MAX_BROADCAST_ROWS, bounded_broadcast
+
+    small = spark.range(10)
+    hinted = bounded_broadcast(small, 216)._jdf.queryExecution().analyzed().toString()
+    plain = bounded_broadcast(small, MAX_BROADCAST_ROWS + 1)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
