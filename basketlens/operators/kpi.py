@@ -30,8 +30,10 @@ def order_period_rows(orders: DataFrame) -> DataFrame:
     One aggregation, then the two values are exploded: no second scan.
     """
     bounds = orders.agg(F.min("o_date").alias("lo"), F.max("o_date").alias("hi"))
-    values = F.filter(F.array_distinct(F.array("lo", "hi")), lambda d: d.isNotNull())
-    return bounds.select(F.explode(values).alias("period_from_to"))
+    return (
+        bounds.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("period_from_to"))
+        .where(F.col("period_from_to").isNotNull())
+    )
 
 
 def order_volume(orders: DataFrame) -> DataFrame:
