@@ -87,8 +87,19 @@ def tag_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> Dat
 
 
 def _split(tagged: DataFrame, typed: tuple[str, ...]) -> ParseResult:
-    good = tagged.where(F.col("reject_reason").isNull()).select(*[F.col(f"_{c}").alias(c) for c in typed])
-    rejected = tagged.where(F.col("reject_reason").isNotNull()).select(*typed, "reject_reason")
+    """Good rows (typed) and rejected rows (raw text and reason).
+
+    The typed values and the reason leave the parsing step through a
+    one-element ``inline``; the row filters then read those columns.  (A
+    filter over a plain projection is pushed below it with the parse
+    expressions copied in, so every row would be parsed twice.)
+    """
+    once = tagged.select(
+        *typed,
+        F.inline(F.array(F.struct(*[F.col(f"_{c}").alias(f"typed_{c}") for c in typed], "reject_reason"))),
+    )
+    good = once.where(F.col("reject_reason").isNull()).select(*[F.col(f"typed_{c}").alias(c) for c in typed])
+    rejected = once.where(F.col("reject_reason").isNotNull()).select(*typed, "reject_reason")
     return ParseResult(good, rejected)
 
 
@@ -97,7 +108,8 @@ def parse_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> P
 
     Good rows: ``id_o string, user_id string, price decimal(10,1), o_date date``.
     Rejected rows keep the raw columns plus ``reject_reason``.  (Lazy
-    frames; to produce both from one pass use :func:`store_parsed`.)
+    frames, each parses its rows once; to produce both from one read of the
+    input use :func:`store_parsed`.)
     """
     return _split(tag_orders(raw, id_max_length), ORDERS_TYPED)
 
