@@ -130,14 +130,29 @@ def most_active_users(orders: DataFrame, k: int = 10) -> DataFrame:
 def seasonality(orders: DataFrame) -> DataFrame:
     """Month's share of its year's distinct orders, rounded to 2 places.
 
-    Orders are reduced to distinct (year, month, id_o) once; the month
-    counts and the year totals are both computed from that frame (its
-    shuffle is reused, so the orders are read once).  The year totals have
-    one row per calendar year, so broadcasting them is bounded.
+    One aggregation per (year, order) keeps the order's set of months (at
+    most 12).  Exploding the sets gives the distinct orders per month; the
+    number of (year, order) rows is the year's distinct orders, so an order
+    spanning months counts once in its year.  Both read the same per-order
+    shuffle (reused), so the orders are read and shuffled once.  The
+    per-year totals have one row per calendar year.
     """
-    pairs = orders.select(F.year("o_date").alias("year"), F.month("o_date").alias("month"), "id_o").distinct()
-    months = pairs.groupBy("year", "month").agg(F.count("id_o").alias("orders"))
-    years = pairs.groupBy("year").agg(F.count_distinct("id_o").alias("total"))
+    per_order = (
+        orders.select(F.year("o_date").alias("year"), F.month("o_date").alias("month"), "id_o")
+        .where(F.col("year").isNotNull())  # an order without a date has no month either
+        .groupBy("year", "id_o")
+        .agg(F.collect_set("month").alias("months"))
+    )
+    months = (
+        per_order.select("year", "id_o", F.explode("months").alias("month"))
+        .groupBy("year", "month")
+        .agg(F.count("id_o").alias("orders"))
+    )
+    # size(months) > 0 always holds for a dated order; stating it keeps both
+    # branches on the same per-order aggregate, so its shuffle is shared
+    years = per_order.groupBy("year").agg(
+        F.count(F.when(F.size("months") > 0, F.col("id_o"))).alias("total")
+    )
     return months.join(bounded_broadcast(years, MAX_CALENDAR_YEARS), "year", "left").select(
         "year", "month", round_money(safe_ratio("orders", "total")).alias("seasonal_factor")
     )
