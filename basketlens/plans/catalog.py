@@ -62,7 +62,9 @@ def _snapshot_scores(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _ingest_orders(spark: SparkSession, base: str) -> DataFrame:
-    return parse_orders(format_orders_text(_orders(spark, base))).good
+    # the stored ids are bigints without a declared length: no length check
+    # (at larger scales order keys pass 7 digits and would all be rejected)
+    return parse_orders(format_orders_text(_orders(spark, base)), id_max_length=None).good
 
 
 def _ingest_daily(spark: SparkSession, base: str) -> DataFrame:

@@ -293,8 +293,7 @@ FROM both_years ORDER BY growth_pct DESC NULLS LAST, channel LIMIT 1""",
        CAST(ROUND(CAST(o_totalprice AS DECIMAL(12,2)), 1) AS DOUBLE) AS price,
        CAST(o_orderdate AS DATE) AS o_date
 FROM orders
-WHERE length(CAST(o_orderkey AS VARCHAR)) <= 7 AND length(CAST(o_custkey AS VARCHAR)) <= 7
-  AND o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL""",
+WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL""",
     "ingest_daily_traffic": f"""WITH {DAILY_CTE}
 SELECT day, CAST(users AS INTEGER) AS users FROM daily WHERE day IS NOT NULL""",
 }
