@@ -79,3 +79,21 @@ def test_matches_sql_oracle(spark, name):
     con = duck_connect(SMALL)
     ok, msg = compare(spark, con, name, SMALL)
     assert ok, msg
+
+
+def test_building_a_query_runs_no_job(spark):
+    """Queries are lazy: constructing them (scalars included) starts no job,
+    so nothing is computed or collected on the driver before execution."""
+    from basketlens.plans import queries
+
+    cat = queries()
+    for name in cat:  # warm the schema cache first; reading a footer is not a job either
+        cat[name](spark, SMALL)
+    sc = spark.sparkContext
+    sc.setJobGroup("build-only", "construct every registered query")
+    try:
+        for name in cat:
+            cat[name](spark, SMALL)
+        assert list(sc.statusTracker().getJobIdsForGroup("build-only")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
