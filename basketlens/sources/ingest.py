@@ -134,14 +134,21 @@ def parse_daily_traffic(raw: DataFrame) -> ParseResult:
     return _split(tag_daily_traffic(raw), TRAFFIC_TYPED)
 
 
-def store_parsed(spark: SparkSession, tagged: DataFrame, typed: tuple[str, ...], path: str) -> ParseResult:
+def store_parsed(
+    spark: SparkSession,
+    tagged: DataFrame,
+    typed: tuple[str, ...],
+    path: str,
+    mode: Literal["overwrite", "append"] = "overwrite",
+) -> ParseResult:
     """Write good and rejected rows in *one* pass, as partitions
     ``status=good`` / ``status=rejected`` of one Parquet table, and return
     both read back.
 
     Each input row is read and typed once (two lazy filters over the same
     input would parse every row twice), the write commits as one job, and
-    later steps read the stored table, not the text export.
+    later steps read the stored table, not the text export.  ``mode='append'``
+    adds a new export (say, the next day's) to the table in one commit.
     """
     ok = F.col("reject_reason").isNull()
     out = tagged.select(
@@ -150,7 +157,7 @@ def store_parsed(spark: SparkSession, tagged: DataFrame, typed: tuple[str, ...],
         "reject_reason",
         F.when(ok, F.lit("good")).otherwise(F.lit("rejected")).alias("status"),
     )
-    out.write.mode("overwrite").partitionBy("status").parquet(path)
+    out.write.mode(mode).partitionBy("status").parquet(path)
     stored = spark.read.parquet(path)
     good = stored.where(F.col("status") == "good").select(*typed)
     rejected = stored.where(F.col("status") == "rejected").select(
@@ -215,16 +222,22 @@ def load_daily_traffic(
 
 
 def ingest_orders_table(
-    spark: SparkSession, src: str, dest: str, id_max_length: int | None = ID_MAX_LENGTH
+    spark: SparkSession,
+    src: str,
+    dest: str,
+    id_max_length: int | None = ID_MAX_LENGTH,
+    mode: Literal["overwrite", "append"] = "overwrite",
 ) -> ParseResult:
     """Job: orders export at ``src`` -> typed table at ``dest`` (with its
     quarantine partition), one pass over the text."""
-    return store_parsed(spark, tag_orders(read_orders_csv(spark, src), id_max_length), ORDERS_TYPED, dest)
+    return store_parsed(spark, tag_orders(read_orders_csv(spark, src), id_max_length), ORDERS_TYPED, dest, mode)
 
 
-def ingest_daily_traffic_table(spark: SparkSession, src: str, dest: str) -> ParseResult:
+def ingest_daily_traffic_table(
+    spark: SparkSession, src: str, dest: str, mode: Literal["overwrite", "append"] = "overwrite"
+) -> ParseResult:
     """Job: daily traffic export at ``src`` -> typed table at ``dest``."""
-    return store_parsed(spark, tag_daily_traffic(read_daily_traffic_csv(spark, src)), TRAFFIC_TYPED, dest)
+    return store_parsed(spark, tag_daily_traffic(read_daily_traffic_csv(spark, src)), TRAFFIC_TYPED, dest, mode)
 
 
 def format_orders_text(orders: DataFrame) -> DataFrame:

@@ -142,3 +142,17 @@ def test_ingest_jobs_store_good_and_rejected(spark, scratch):
     tres = ingest_daily_traffic_table(spark, tpath, os.path.join(scratch, "traffic_table"))
     assert tres.good.count() == 5 and tres.rejected.count() == 1
     assert str(tres.good.schema["users"].dataType) == "IntegerType()"
+
+
+def test_ingest_append_adds_a_new_export(spark, scratch):
+    from basketlens.sources.ingest import ingest_daily_traffic_table
+
+    table = os.path.join(scratch, "traffic_table")
+    for i, rows in enumerate((RAW_TRAFFIC[:3], RAW_TRAFFIC[3:])):
+        path = os.path.join(scratch, f"day{i}.csv")
+        with open(path, "w", encoding="utf-8", newline="") as fh:
+            fh.write("day,users\n")
+            for day, users in rows:
+                fh.write(f"{day},{users}\n")
+        res = ingest_daily_traffic_table(spark, path, table, mode="append" if i else "overwrite")
+    assert res.good.count() == 5 and res.rejected.count() == 1
