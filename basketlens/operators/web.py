@@ -5,7 +5,9 @@ Inputs: daily traffic ``(day, users)``, channel visits
 ``(channel, year, user_id, revenue)`` (see ``sources.tables``).  Every
 result is first reduced to one row per day or channel, so the final
 steps (maximum, shares, top-k) work on frames bounded by the calendar or
-by the number of channels.
+by the number of channels.  The ``year`` arguments filter a derived
+column; build the inputs with ``channel_visits(events, years)`` /
+``channel_sales(orders, customer, years)`` so the bound also reaches the scan.
 """
 
 from __future__ import annotations
