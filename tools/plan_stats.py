@@ -49,6 +49,32 @@ def plan_text(df) -> str:
     return "\n".join(keep)
 
 
+def scan_widths(df) -> list[int]:
+    """Number of columns read by each Parquet scan of the final plans
+    (a 1-column scan is the narrow date scan behind a scalar subquery)."""
+    df.collect()
+    jvm = df.sparkSession._jvm
+    text = jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    final_ids, final = set(), False
+    for line in text.splitlines():
+        if "== Final Plan ==" in line:
+            final = True
+        elif "== Initial Plan ==" in line or line.startswith("("):
+            final = False
+        elif final:
+            m = re.search(r"Scan parquet\s+\((\d+)\)", line)
+            if m:
+                final_ids.add(m.group(1))
+    lines = text.splitlines()
+    widths = []
+    for i, line in enumerate(lines):
+        m = re.match(r"\((\d+)\) Scan parquet", line)
+        if m and (not final_ids or m.group(1) in final_ids):
+            out = next((x for x in lines[i + 1:i + 3] if x.startswith("Output [")), "Output [0]")
+            widths.append(int(re.match(r"Output \[(\d+)\]", out).group(1)))
+    return widths
+
+
 def main(argv):
     from basketlens.plans import queries
     from basketlens.session import build_session
