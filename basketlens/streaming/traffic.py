@@ -26,12 +26,14 @@ def daily_traffic_stream(events: DataFrame, lateness: str = "1 day") -> DataFram
     time, so a key's state is dropped once the watermark passes the end of
     its day: state holds at most the users of the open days.
     """
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
     day_window = F.window("ts", "1 day")
     keyed = (
         events.where(F.col("user_id").isNotNull())
-        # watermarks need a session-zone timestamp; with the session in UTC
-        # the instant and the calendar day are those of the stored value
-        .withColumn("ts", F.col("ts").cast("timestamp"))
+        # Watermarks need a zoned timestamp.  The stored wall-clock time is
+        # read as UTC, so one-day windows (aligned to UTC) are the stored
+        # calendar days whatever the session zone (identity in UTC).
+        .withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone))
         .withWatermark("ts", lateness)
         .select(day_window.alias("w"), "user_id", "ts")
     )
@@ -39,7 +41,7 @@ def daily_traffic_stream(events: DataFrame, lateness: str = "1 day") -> DataFram
     return (
         firsts.groupBy("w")
         .agg(F.count(F.lit(1)).alias("users"))
-        .select(F.col("w.start").cast("date").alias("day"), "users")
+        .select(F.to_utc_timestamp(F.col("w.start"), zone).cast("date").alias("day"), "users")
     )
 
 
