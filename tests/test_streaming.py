@@ -50,3 +50,33 @@ def test_command_line(spark, scratch, capsys):
     out = f"{scratch}/weekday"
     assert main(["run", "traffic_by_weekday", "--data", SMALL, "--out", out, "--master", "local[2]"]) == 0
     assert spark.read.parquet(out).count() == 7
+
+
+def test_stream_days_in_another_session_zone(scratch):
+    """The streaming days are the stored calendar days in any session zone
+    (run in a separate process: the shared test session stays in UTC)."""
+    import os
+    import subprocess
+    import sys
+    import textwrap
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {root!r})
+        from pyspark.sql import SparkSession
+        from basketlens.sources.tables import daily_traffic
+        from basketlens.streaming.traffic import start_daily_traffic
+        spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+                 .config("spark.sql.session.timeZone", "America/Los_Angeles").getOrCreate())
+        ev = spark.read.parquet({SMALL!r} + "/events.parquet")
+        ev.repartition(2).write.parquet({scratch!r} + "/in")
+        q = start_daily_traffic(spark.readStream.schema(ev.schema).parquet({scratch!r} + "/in"),
+                                {scratch!r} + "/out", {scratch!r} + "/ckpt", trigger_available_now=True)
+        q.awaitTermination(300)
+        got = {{r["day"]: r["users"] for r in spark.read.parquet({scratch!r} + "/out").collect()}}
+        exp = {{r["day"]: r["users"] for r in daily_traffic(ev).collect()}}
+        print("OK" if got and all(exp.get(k) == v for k, v in got.items()) else "MISMATCH")
+    """)
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=600)
+    assert out.stdout.strip().endswith("OK"), out.stdout[-2000:] + out.stderr[-2000:]
