@@ -157,6 +157,7 @@ def _candidates(window: int, ranges: int, cells: int):
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         rng, cell = _cell(hashes, ranges, cells)
         again = {r: unpack_sorted(c) for r, c in zip(told["rng"].to_pylist(), told["cells"].to_pylist(), strict=True)}
+        more = more_bits(words, window)
         rows = []
         for r, i in _by_range(rng, ranges):
             if r not in again:
@@ -168,20 +169,19 @@ def _candidates(window: int, ranges: int, cells: int):
             own = np.unique(text[i])
             spot = np.empty(len(i), dtype=[("doc", "<i4"), ("at", "<i4")])
             spot["doc"], spot["at"] = np.searchsorted(own, text[i]), at[i]
-            rows.append((chunk, r, docs[own].tobytes() + spot.tobytes() + np.int64(len(own)).tobytes(), hashes[i].tobytes(), second(words, i, window, text, at).tobytes()))
+            rows.append((chunk, r, docs[own].tobytes() + spot.tobytes() + np.int64(len(own)).tobytes(), hashes[i].tobytes(), more[words.first[text[i]] + at[i]].tobytes()))
         return _rows(_FOUND_ARROW, rows)
 
     return run
 
 
-def second(words: Words, i: np.ndarray, window: int, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """32 more bits of the windows i: from other word hashes than the first 64 bits."""
+def more_bits(words: Words, window: int) -> np.ndarray:
+    """32 more bits of the window that starts at each word, from other sums than the first 64 bits."""
     own = mix(words.hashes(), 0xABCDEF)
-    start = words.first[text[i]] + at[i]
-    out = np.zeros(len(i), dtype=U)
+    out = np.zeros(max(0, len(own) - window + 1), dtype=U)
     with np.errstate(over="ignore"):
         for k in range(window):
-            out = out * U(0xD6E8FEB86659FD93) + own[start + k]
+            out = out * U(0xD6E8FEB86659FD93) + own[k : k + len(out)]
     return (mix(out, 0x5555) >> U(32)).astype(np.uint32)
 
 
