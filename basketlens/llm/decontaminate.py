@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.runtime import checkpoint, pick, ship
+from basketlens.llm.tokens import spread
 from basketlens.llm.words import U, grams, mix, slices, words_of
 
 SHINGLE = 5
@@ -56,7 +58,6 @@ class Items:
     needed: np.ndarray
     sketch: np.ndarray
     owner: np.ndarray
-    smallest: int
 
     @property
     def sizes(self) -> np.ndarray:
@@ -82,7 +83,7 @@ def make_items(rows: list, threshold: float) -> Items:
     order = np.argsort(sketch, kind="stable")
     needed = np.ceil(threshold * size - 1e-9).astype(np.int64)
     ids = np.array([0 if r[0] is None else r[0] for r in rows], dtype=np.int64)
-    return Items(ids, np.array([r[0] is None for r in rows]), np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), needed, sketch[order], owner[order], int(needed.min()))
+    return Items(ids, np.array([r[0] is None for r in rows]), np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), needed, sketch[order], owner[order])
 
 
 def _filter(values: np.ndarray) -> np.ndarray:
@@ -91,42 +92,54 @@ def _filter(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def find(items: Items, maybe: np.ndarray, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, shared shingles) of each text and each item that it contains."""
+    hashes, _, first = grams(words_of(texts), n, short_as_one=True)
+    size = items.sizes
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    hit = np.flatnonzero(maybe[hashes >> U(64 - _FILTER_BITS)])
+    left, right = (np.searchsorted(items.sketch, hashes[hit], side) for side in ("left", "right"))
+    hit, left, count = hit[right > left], left[right > left], (right - left)[right > left]
+    pairs = np.unique(np.repeat(text[hit], count) * len(size) + items.owner[spread(left, count)])
+    rows, last, own = [], -1, None
+    for p in pairs.tolist():
+        d, i = divmod(p, len(size))
+        if first[d + 1] - first[d] < items.needed[i]:  # too short for the item
+            continue
+        if d != last:
+            last, own = d, np.unique(hashes[first[d] : first[d + 1]])
+        shingles = items.shingles[items.first[i] : items.first[i + 1]]
+        spot = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
+        shared = int((own[spot] == shingles).sum())
+        if shared >= items.needed[i]:
+            rows.append((d, i, shared))
+    return tuple(np.array(rows, dtype=np.int64).reshape(-1, 3).T)
+
+
 def _search(items_of, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = items_of.value
         maybe = _filter(items.sketch)
-        size = items.sizes
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, _, first = grams(words_of(part["text"]), n, short_as_one=True)
-                # documents too short for every item of the block are skipped
-                text = np.repeat(np.arange(part.num_rows), np.diff(first))
-                hit = np.flatnonzero(maybe[hashes >> U(64 - _FILTER_BITS)])
-                left = np.searchsorted(items.sketch, hashes[hit], "left")
-                right = np.searchsorted(items.sketch, hashes[hit], "right")
-                hit, left, right = hit[right > left], left[right > left], right[right > left]
-                count = right - left
-                doc = np.repeat(text[hit], count)
-                at = np.repeat(left - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else left
-                pairs = np.unique(doc * len(size) + items.owner[at])
-                rows, last, own = [], -1, None
-                for p in pairs.tolist():
-                    d, i = divmod(p, len(size))
-                    if first[d + 1] - first[d] < items.needed[i]:
-                        continue
-                    if d != last:
-                        last, own = d, np.unique(hashes[first[d] : first[d + 1]])
-                    shingles = items.shingles[items.first[i] : items.first[i + 1]]
-                    spot = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
-                    shared = int((own[spot] == shingles).sum())
-                    if shared >= items.needed[i]:
-                        rows.append((d, i, shared))
-                if rows:
-                    d, i, shared = (np.array(c) for c in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([
-                        part["doc_id"].take(pa.array(d)), pa.array(items.ids[i], mask=items.null_id[i]),
-                        pa.array(shared, pa.int32()), pa.array(size[i], pa.int32()),
-                    ], names=["doc_id", "item_id", "n_shared", "n_shingles"])
+                d, i, shared = find(items, maybe, part["text"], n)
+                yield pa.RecordBatch.from_arrays([
+                    part["doc_id"].take(pa.array(d)), pa.array(items.ids[i], mask=items.null_id[i]),
+                    pa.array(shared, pa.int32()), pa.array(items.sizes[i], pa.int32()),
+                ], names=["doc_id", "item_id", "n_shared", "n_shingles"])
+
+    return run
+
+
+def _without(items_of, n: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: Items = items_of.value
+        maybe = _filter(items.sketch)
+        for batch in batches:
+            for part in slices(batch, at):
+                keep = np.ones(part.num_rows, dtype=bool)
+                keep[find(items, maybe, part.column(at), n)[0]] = False
+                yield part.filter(pa.array(keep))
 
     return run
 
@@ -141,22 +154,31 @@ def _item_sets(n: int):
     return run
 
 
-def contained_items(documents: DataFrame, benchmark: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_shingles) of each document and each item that it contains."""
-    spark = documents.sparkSession
+def item_blocks(benchmark: DataFrame, n: int, threshold: float) -> Iterator:
+    """Broadcast blocks of items."""
+    spark = benchmark.sparkSession
     ship(spark)
-    docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), "text")
     sets = checkpoint(items.mapInArrow(_item_sets(n), "item_id long, shingles binary").where("length(shingles) > 0"))
     total = sets.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0
     blocks = int(-(-total // BLOCK_SHINGLES))
     sets = sets.withColumn("block", F.pmod(F.xxhash64("item_id", "shingles"), F.lit(max(1, blocks))))
-    found = None
     for b in range(blocks):
         rows = sets.where(F.col("block") == b).select("item_id", "shingles").collect()
-        if not rows:
-            continue
-        search = _search(spark.sparkContext.broadcast(make_items([tuple(r) for r in rows], threshold)), n)
-        part = docs.mapInArrow(search, _PAIR)
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], _PAIR) if found is None else found
+        if rows:
+            yield spark.sparkContext.broadcast(make_items([tuple(r) for r in rows], threshold))
+
+
+def contained_items(documents: DataFrame, benchmark: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_shingles) of each document and each item that it contains."""
+    docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = [docs.mapInArrow(_search(items, n), _PAIR) for items in item_blocks(benchmark, n, threshold)]
+    return reduce(DataFrame.union, found) if found else documents.sparkSession.createDataFrame([], _PAIR)
+
+
+def without_items(documents: DataFrame, benchmark: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, that contain no item; nothing is shuffled."""
+    kept = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))
+    for items in item_blocks(benchmark, n, threshold):
+        kept = kept.mapInArrow(_without(items, n, documents.columns.index("text")), kept.schema)
+    return kept.toDF(*documents.columns)

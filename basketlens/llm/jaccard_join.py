@@ -25,7 +25,7 @@ memory stays bounded while no link is lost.
 
 Nulls: a null text has no shingles.  Documents with a null doc_id are
 represented by a negative number made from their shingles.  Repeated rows are
-copies of one another.  An empty table gives no rows.
+copies of one another; rows of one doc_id with different texts share a class.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -257,15 +257,16 @@ def _blocked(members: DataFrame, size: str, key: str) -> DataFrame:
 
 
 def similar_documents(documents: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: (doc_id, same_id, class_id, n_links, n_linked_texts).
+    """One row per document: (doc_id, same_id, class_id, n_links, n_linked_texts, row_key).
 
     ``same_id``: smallest doc_id with the same shingle set.  ``class_id``: the
     smallest doc_id that can be reached over links.  ``n_links``: other
     documents at the threshold or above, copies counted;
     ``n_linked_texts``: those of other shingle sets, each set once.
+    ``row_key``: hash of doc_id and text.
     """
     ship(documents.sparkSession)
-    docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
+    docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
     signed = checkpoint(docs.mapInArrow(_sign(n), _SIGNED))
     signed = signed.withColumn("own", F.coalesce("doc_id", -F.abs(F.shiftright("s1", 1)) - 1))
     least = F.min(F.struct("own", "key", "doc_id"))
@@ -303,4 +304,16 @@ def similar_documents(documents: DataFrame, n: int = SHINGLE, threshold: float =
         F.coalesce("root", "node", "own").alias("class_id"),
         (F.coalesce(F.col("copies") - 1, zero) + F.coalesce("docs", zero)).alias("n_links"),
         F.coalesce("texts", zero).alias("n_linked_texts"),
+        signed["key"].alias("row_key"),
     )
+
+
+def one_of_each(documents: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns: of each class that of the smallest doc_id."""
+    found = similar_documents(documents, n, threshold)
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.coalesce("doc_id", "same_id"), "row_key"))["row_key"].alias("row_key"))
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    docs = documents.toDF(*names)
+    doc_id, text = (names[documents.columns.index(c)] for c in ("doc_id", "text"))
+    docs = docs.withColumn("row_key", F.xxhash64(F.col(doc_id).cast("long"), text))
+    return docs.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).drop("row_key").toDF(*documents.columns)

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from basketlens.llm.runtime import pick, ship
 from basketlens.llm.words import U, Words, grams, mix, words_of
@@ -228,67 +229,95 @@ def _covered(words: Words, keys: np.ndarray, goes: np.ndarray, window: int) -> n
     return np.cumsum(step)[:-1] > 0
 
 
-def kept_texts(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept words of each text joined by one space: (bytes, bounds of the texts)."""
-    n = len(words.data)
-    step = np.zeros(n + 1, dtype=np.int8)
-    step[words.starts[keep]] += 1
-    step[words.ends[keep] + 1] -= 1  # one white-space byte after each kept word
+def _cut_out(data: np.ndarray, text_end: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of each text that lie in the spans, without white space at its end."""
+    step = np.zeros(len(data) + 1, dtype=np.int8)
+    step[starts] += 1
+    step[ends] -= 1
     mask = np.cumsum(step[:-1], dtype=np.int8) > 0
+    size = np.concatenate([[0], np.cumsum(mask)])
+    bounds = np.concatenate([[0], size[text_end]])
+    view = memoryview(data[mask])
+    return [bytes(view[a:b]).rstrip(b" \t\n\x0b\x0c\r") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def kept_words(words: Words, keep: np.ndarray) -> list[bytes]:
+    """Kept words of each text joined by one space."""
     data = words.data.copy()
     data[words.ends[keep]] = 0x20
-    size = np.concatenate([[0], np.cumsum(mask)])
-    return data[mask], np.concatenate([[0], size[words.text_end]])
+    return _cut_out(data, words.text_end, words.starts[keep], words.ends[keep] + 1)
+
+
+def kept_spans(words: Words, keep: np.ndarray) -> list[bytes]:
+    """Kept words of each text, each with the white space after it in the text."""
+    text = np.searchsorted(words.text_end, words.starts, "right")
+    until = np.append(words.starts[1:], len(words.data))
+    until = np.minimum(until, words.text_end[text]) if len(text) else until[:0]
+    return _cut_out(words.data, words.text_end, words.starts[keep], until[keep])
+
 
+def _digest(table: pa.Table, words: Words, covered: np.ndarray, removed: np.ndarray) -> pa.Table:
+    return pa.table({
+        "doc_id": table["doc_id"],
+        "n_words": pa.array(words.counts, pa.int64()),
+        "n_removed": pa.array(removed, pa.int64()),
+        "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept_words(words, ~covered)], pa.string()),
+    })
 
-def _apply(window: int):
+
+def _rewrite(table: pa.Table, words: Words, covered: np.ndarray, removed: np.ndarray) -> pa.Table:
+    """Rows with their text cut; a text that loses nothing stays as it is."""
+    kept, text = kept_spans(words, ~covered), table["text"].to_pylist()
+    out = [kept[i].decode() if removed[i] else text[i] for i in range(len(text))]
+    return table.drop_columns(["chunk", "key"]).set_column(table.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+
+
+def _apply(window: int, output):
     def run(table: pa.Table, goes: pa.Table) -> pa.Table:
         words = words_of(table["text"])
-        keys = table["key"].to_numpy()
         cut = np.frombuffer(b"".join(goes["starts"].to_pylist()), [("key", "<i8"), ("at", "<i4")])
-        covered = _covered(words, keys, cut, window)
-        data, bounds = kept_texts(words, ~covered)
+        covered = _covered(words, table["key"].to_numpy(), cut, window)
         gone = np.concatenate([[0], np.cumsum(covered)])
-        removed = gone[words.first[1:]] - gone[words.first[:-1]]
-        view = memoryview(data)
-        kept = [bytes(view[a : max(a, b - 1)]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pa.table({
-            "doc_id": table["doc_id"],
-            "n_words": pa.array(words.counts, pa.int64()),
-            "n_removed": pa.array(removed, pa.int64()),
-            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-            "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
-        })
+        return output(table, words, covered, gone[words.first[1:]] - gone[words.first[:-1]])
 
     return run
 
 
-def _digest_only(run):
-    def without_text(table: pa.Table, goes: pa.Table) -> pa.Table:
-        return run(table, goes).drop_columns(["kept_text"])
-
-    return without_text
-
-
-def dedup_substrings(documents: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of each document.
-
-    ``kept_text``: the kept words joined by one space.
-    """
-    spark = documents.sparkSession
-    ship(spark)
-    docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+def _dedup(docs: DataFrame, window: int, output, schema: str | StructType) -> DataFrame:
+    ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(64, math.ceil(total / CHUNK_BYTES))
     ranges = max(64, math.ceil(total / 6 / RANGE_WINDOWS))
     cells = CELLS_PER_WINDOW * max(1, math.ceil(total / 6 / ranges))
-    key = F.xxhash64("doc_id", "text")
-    docs = docs.withColumns({"key": key, "chunk": F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(chunks)).cast("int")})
-    by_chunk = docs.groupBy("chunk")
+    chunk = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(chunks)).cast("int")
+    by_chunk = docs.withColumns({"key": F.xxhash64("doc_id", "text"), "chunk": chunk}).groupBy("chunk")
     told = by_chunk.applyInArrow(_sketch(window, ranges, cells), _TOLD).groupBy("rng").applyInArrow(_merge, _TOLD)
     found = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_candidates(window, ranges, cells), _FOUND)
     goes = found.groupBy("rng").applyInArrow(_exact, _GOES)
-    run, schema = _apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    if with_text:
-        return by_chunk.cogroup(goes.groupBy("chunk")).applyInArrow(run, schema + ", kept_text string")
-    return by_chunk.cogroup(goes.groupBy("chunk")).applyInArrow(_digest_only(run), schema)
+    return by_chunk.cogroup(goes.groupBy("chunk")).applyInArrow(_apply(window, output), schema)
+
+
+def dedup_substrings(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of each document.
+
+    ``kept_sha256``: of the kept words joined by one space, in UTF-8.
+    """
+    docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return _dedup(docs, window, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents, all columns, with the words that go cut out of ``text``.
+
+    Kept words keep the white space after them; a text that loses nothing
+    stays as it is.
+    """
+    columns = documents.columns
+    at = {name: columns.index(name) for name in ("doc_id", "text")}
+    docs = documents.toDF(*(f"c{i}" for i in range(len(columns))))
+    rest = [c for i, c in enumerate(docs.columns) if i not in at.values()]
+    doc_id, text = F.col(f"c{at['doc_id']}").cast("long").alias("doc_id"), F.col(f"c{at['text']}").alias("text")
+    docs = docs.select(doc_id, text, F.struct(*rest).alias("rest")) if rest else docs.select(doc_id, text)
+    cut = _dedup(docs, window, _rewrite, docs.schema)
+    back = {at["doc_id"]: F.col("doc_id"), at["text"]: F.col("text")}
+    return cut.select(*((back[i] if i in back else F.col(f"rest.c{i}")).alias(f"c{i}") for i in range(len(columns)))).toDF(*columns)

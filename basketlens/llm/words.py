@@ -67,11 +67,15 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit hash per word."""
+        return self.span_hashes(self.starts, self.ends)
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans of bytes; equal spans have equal hashes."""
         n = len(self.data)
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, dtype=U)
             np.cumsum(_BYTE_VALUES[self.data] * _powers(_BASE, n), out=sums[1:], dtype=U)
-            own = (sums[self.ends] - sums[self.starts]) * _powers(_INVERSE, n + 1)[self.starts]
+            own = (sums[ends] - sums[starts]) * _powers(_INVERSE, n + 1)[starts]
         return mix(own, 0x51)
 
     def string(self, i: int) -> bytes:
@@ -137,11 +141,11 @@ def grams(words: Words, n: int, short_as_one: bool) -> tuple[np.ndarray, np.ndar
     return out, at, first
 
 
-def slices(batch: pa.RecordBatch | pa.Table, name: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
+def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most so many bytes in one column (one row at least)."""
     if batch.num_rows == 0:
         return
-    sizes = pc.fill_null(pc.binary_length(batch[name]), 0).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else pc.fill_null(pc.binary_length(batch[name]), 0).to_numpy()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes.astype(np.int64)) // most_bytes
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):

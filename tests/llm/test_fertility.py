@@ -1,0 +1,66 @@
+import math
+import re
+from collections import Counter
+
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from basketlens.llm.fertility import judge
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_force(rows):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    out = []
+    for doc_id, text in rows:
+        text = text or ""
+        w = WORD.findall(text)
+        windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        inside = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        ids = Counter(i for x in w for i in model.encode(x))
+        n = sum(ids.values())
+        failed = len(w) < 10 or 100 * len(inside) > 20 * len(w)
+        entropy = -sum(c / n * math.log2(c / n) for c in ids.values()) if n else 0.0
+        out.append((doc_id, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside), failed, n, round(entropy, 6)))
+    return sorted(out, key=str)
+
+
+def found(df):
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens"]
+    return sorted(((*(r[n] for n in names), round(r.entropy, 6)) for r in judge(df, MODEL).collect()), key=str)
+
+
+def test_edge_cases(spark):
+    rows = [
+        (1, None), (2, ""), (None, "one two three four five six seven eight nine ten"), (3, "a b c d e\nx\na b c d e\n\n \n"),
+        (4, "é☃ 東京 <#> " * 4), (4, "é☃ 東京 <#> " * 4), (5, "w " * 50000), (6, " ".join(f"w{i}" for i in range(40)) + " w0 w1 w2 w3 w4"), (7, "x\ry\x0bz\x0c u"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute_force(rows)
+    assert found(df.selectExpr("text", "doc_id", "1 as script", "2 as TEXT")) == brute_force(rows)
+    assert found(df.limit(0)) == []
+    kept = {r.doc_id: (r.kept, r.script) for r in judge(df, MODEL).collect()}
+    assert kept[None] == (True, "latin") and kept[1] == (False, "none") and kept[4][1] == "cjk"
+
+
+def test_whole_table(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert found(df) == brute_force([tuple(r) for r in df.collect()])
+
+
+@pytest.mark.parametrize("odd", ["".join(chr(0x1F300 + i % 200) for i in range(8)), "x"])
+def test_bands_reject_what_is_unlike_the_rest(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    size = 60 if odd == "x" else 40
+    strange = " ".join(odd * (1 + k % 3) + ("xq" * (k % 7) if odd == "x" else "") for k in range(size))
+    every = docs.union(spark.createDataFrame([(10**6, "a normal text " + strange)], "doc_id long, text string"))
+    found = {r.doc_id: r for r in judge(every, MODEL).collect()}
+    assert not found[10**6].kept
+    labels = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()}
+    clean = [found[i] for i in labels if not found[i].base_failed]
+    assert sum(r.kept for r in clean) / len(clean) > 0.99

@@ -1,0 +1,95 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from basketlens.llm import packing
+from basketlens.llm.packing import best_two_fit, pack, tightest_pair
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+SF = "/root/testdata/sf0.001"
+
+
+def first_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        for k, g in enumerate(gaps):
+            if g >= n:
+                gaps[k] -= n
+                break
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+@given(st.lists(st.integers(1, 40), max_size=60))
+@settings(deadline=None)
+def test_best_two_fit(lengths):
+    sequence, offset = best_two_fit(np.array(lengths, dtype=np.int64), 40)
+    inside = defaultdict(list)
+    for s, o, n in zip(sequence, offset, lengths, strict=True):
+        inside[s].append((o, n))
+    for parts in inside.values():
+        end = 0
+        for o, n in sorted(parts):
+            assert o == end
+            end += n
+        assert end <= 40
+    assert -(-sum(lengths) // 40) <= len(inside) <= first_fit_decreasing(lengths, 40) + 1
+
+
+def test_smallest_is_replaced_by_two_that_fit_tighter():
+    # greedy: 6 + 3, gap 1; giving 3 back for 2 + 2 fills the sequence
+    sequence, _ = best_two_fit(np.array([6, 3, 2, 2]), 10)
+    assert sequence[0] == sequence[2] == sequence[3] != sequence[1]
+    assert tightest_pair([1, 2, 5], {1: [0], 2: [0, 1], 5: [0]}, 4) == (2, 2)
+    assert tightest_pair([5], {5: [0, 1]}, 9) is None
+
+
+def brute_force(rows, capacity):
+    tokenizer = Tokenizer.from_file(PATH)
+    out = []
+    for doc_id, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for k, a in enumerate(range(0, len(ids), capacity)):
+            part = np.array(ids[a : a + capacity], dtype="<u4")
+            out.append((doc_id, k, a, len(part), zlib.crc32(part.tobytes())))
+    return sorted(out, key=str)
+
+
+def check(rows, packed, capacity):
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed), key=str) == brute_force(rows, capacity)
+    inside = defaultdict(list)
+    for r in packed:
+        inside[r.sequence_id].append((r.offset, r.length))
+    for parts in inside.values():
+        end = 0
+        for o, n in sorted(parts):
+            assert o == end
+            end += n
+        assert end <= capacity
+    return len(inside)
+
+
+def test_edge_cases(spark, monkeypatch):
+    rows = [(1, None), (2, ""), (2, ""), (None, "Hello, it's a TEST　of\x1c word#breaks<|endoftext|> É é naïve 東京 ☃"), (3, " \n\t "), (4, "the cat " * 3000), (5, "á ́x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, pack(df, PATH).collect(), 4096)
+    check(rows, pack(df.selectExpr("text", "doc_id", "1 as shard", "2 as Text"), PATH, 100).collect(), 100)
+    ids = {(r.doc_id, r.piece): r.ids for r in pack(df.where("doc_id = 4"), PATH, with_ids=True).collect()}
+    assert len(ids[4, 0]) == 4096 and ids[4, 1][-1] == 1
+    assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_whole_table(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in df.collect()]
+    n = check(rows, pack(df, PATH).collect(), 4096)
+    lengths = [r[3] for r in brute_force(rows, 4096)]
+    assert n <= first_fit_decreasing(lengths, 4096)
+    monkeypatch.setattr(packing, "SHARD_BYTES", 100_000)
+    assert check(rows, pack(df, PATH).collect(), 4096) <= n + 5
