@@ -106,7 +106,7 @@ def _measure(model: str):
         pieces = sentencepiece.SentencePieceProcessor(model_file=model)
         single = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 words, n = words_of(part["text"]), part.num_rows
                 begun = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
                 size = np.concatenate([[0], np.cumsum(begun[words.ends] - begun[words.starts])])

@@ -113,7 +113,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             x = statistics(part["text"])
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
