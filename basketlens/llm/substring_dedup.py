@@ -39,7 +39,7 @@ from basketlens.llm.runtime import pick, ship
 from basketlens.llm.words import U, Words, grams, mix, words_of
 
 WINDOW = 20
-CHUNK_BYTES = 8 << 20  # of text a chunk
+CHUNK_BYTES = 4 << 20  # of text a chunk
 RANGE_WINDOWS = 1 << 20  # windows a cell range, about
 CELLS_PER_WINDOW = 32  # width of the sketch against the windows of the corpus
 _LAST = 2**63 - 1
