@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.runtime import checkpoint, pick, ship
+from basketlens.llm.runtime import checkpoint, lean_map, pick, ship
 from basketlens.llm.tokens import spread
 from basketlens.llm.words import U, grams, mix, slices, words_of
 
@@ -159,7 +159,7 @@ def item_blocks(benchmark: DataFrame, n: int, threshold: float) -> Iterator:
     spark = benchmark.sparkSession
     ship(spark)
     items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    sets = checkpoint(items.mapInArrow(_item_sets(n), "item_id long, shingles binary").where("length(shingles) > 0"))
+    sets = checkpoint(items.mapInArrow(lean_map(_item_sets(n)), "item_id long, shingles binary").where("length(shingles) > 0"))
     total = sets.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0
     blocks = int(-(-total // BLOCK_SHINGLES))
     sets = sets.withColumn("block", F.pmod(F.xxhash64("item_id", "shingles"), F.lit(max(1, blocks))))
@@ -172,7 +172,7 @@ def item_blocks(benchmark: DataFrame, n: int, threshold: float) -> Iterator:
 def contained_items(documents: DataFrame, benchmark: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles) of each document and each item that it contains."""
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [docs.mapInArrow(_search(items, n), _PAIR) for items in item_blocks(benchmark, n, threshold)]
+    found = [docs.mapInArrow(lean_map(_search(items, n)), _PAIR) for items in item_blocks(benchmark, n, threshold)]
     return reduce(DataFrame.union, found) if found else documents.sparkSession.createDataFrame([], _PAIR)
 
 
@@ -180,5 +180,5 @@ def without_items(documents: DataFrame, benchmark: DataFrame, n: int = SHINGLE,
     """The documents, all columns, that contain no item; nothing is shuffled."""
     kept = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))
     for items in item_blocks(benchmark, n, threshold):
-        kept = kept.mapInArrow(_without(items, n, documents.columns.index("text")), kept.schema)
+        kept = kept.mapInArrow(lean_map(_without(items, n, documents.columns.index("text"))), kept.schema)
     return kept.toDF(*documents.columns)

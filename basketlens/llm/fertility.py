@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.quality import line_keys, repeats
-from basketlens.llm.runtime import checkpoint, pick, ship
+from basketlens.llm.runtime import checkpoint, lean_map, pick, ship
 from basketlens.llm.tokens import spread, word_tokens
 from basketlens.llm.words import U, Words, grams, mix, slices, words_of
 
@@ -134,7 +134,7 @@ def judge(documents: DataFrame, model: str) -> DataFrame:
     """
     ship(documents.sparkSession)
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = docs.mapInArrow(_measure(model), _MEASURED)
+    measured = docs.mapInArrow(lean_map(_measure(model)), _MEASURED)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = checkpoint(measured.withColumns({"base_failed": failed, "size_class": F.floor(F.log(4.0, F.greatest("n_tokens", F.lit(1)))).cast("int")}))
     quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in SLACK]

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm.runtime import pick, ship
+from basketlens.llm.runtime import lean_map, pick, ship
 
 LABELLED_PAGES = 600
 MARK = "data-content"
@@ -246,7 +246,7 @@ def _count_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(pages: DataFrame) -> Potentials:
     """Potentials from labelled pages (html), as counts plus one half."""
     ship(pages.sparkSession)
-    counted = pick(pages, "html").mapInArrow(_count_labels, "t int, value int, parent int, label int")
+    counted = pick(pages, "html").mapInArrow(lean_map(_count_labels), "t int, value int, parent int, label int")
     root, child = np.full(2, 0.5), np.full((len(TAGS), 2, 2), 0.5)
     tables = [np.full((2, n), 0.5) for n in FEATURES.values()]
     for t, value, parent, label, n in counted.groupBy("t", "value", "parent", "label").count().collect():
@@ -332,7 +332,7 @@ def extract(pages: DataFrame, potentials: Potentials) -> DataFrame:
     ship(spark)
     rows = pick(pages, "page_id", "url", "html")
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(_extract(spark.sparkContext.broadcast(potentials)), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return rows.mapInArrow(lean_map(_extract(spark.sparkContext.broadcast(potentials))), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def labelled_pages(spark: SparkSession, n: int = LABELLED_PAGES, seed: int = 5) -> DataFrame:

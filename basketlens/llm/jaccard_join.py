@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.graph import components, local_components
-from basketlens.llm.runtime import checkpoint, pick, ship
+from basketlens.llm.runtime import checkpoint, lean_map, pick, ship
 from basketlens.llm.words import U, grams, mix, slices, words_of
 
 SHINGLE = 5
@@ -267,7 +267,7 @@ def similar_documents(documents: DataFrame, n: int = SHINGLE, threshold: float =
     """
     ship(documents.sparkSession)
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
-    signed = checkpoint(docs.mapInArrow(_sign(n), _SIGNED))
+    signed = checkpoint(docs.mapInArrow(lean_map(_sign(n)), _SIGNED))
     signed = signed.withColumn("own", F.coalesce("doc_id", -F.abs(F.shiftright("s1", 1)) - 1))
     least = F.min(F.struct("own", "key", "doc_id"))
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(least.alias("of"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
@@ -280,18 +280,18 @@ def similar_documents(documents: DataFrame, n: int = SHINGLE, threshold: float =
     met = keyed.join(sizes, "bucket")
     met = _blocked(met, "size", "bucket").join(classes.select("node", "sig"), "node")
     met = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
-    edges = met.mapInArrow(_prune(threshold), "a long, b long")
+    edges = met.mapInArrow(lean_map(_prune(threshold)), "a long, b long")
     groups = components(edges)
 
     sized = checkpoint(groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", F.col("root").alias("comp"), "size"))
     members = sized.join(classes.select("node", "copies", "key", "doc_id"), "node")
     same = (docs["key"] == members["key"]) & docs["doc_id"].eqNullSafe(members["doc_id"])
     texts = docs.join(members, same).select("node", "text").dropDuplicates(["node"])
-    named = texts.mapInArrow(_shingle_sets(n), "node long, shingles binary")
+    named = texts.mapInArrow(lean_map(_shingle_sets(n)), "node long, shingles binary")
     members = members.select("node", "comp", "size", "copies")
     blocks = _blocked(members, "size", "comp").join(named, "node")
     blocks = blocks.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "node")
-    verified = checkpoint(blocks.mapInArrow(_verify(threshold), "node long, texts long, docs long, root long"))
+    verified = checkpoint(blocks.mapInArrow(lean_map(_verify(threshold)), "node long, texts long, docs long, root long"))
     linked = verified.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(verified.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.runtime import pick, ship
+from basketlens.llm.runtime import lean_group, lean_map, pick, ship
 from basketlens.llm.tokens import spread, word_tokens
 from basketlens.llm.words import slices, words_of
 
@@ -154,6 +154,6 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
     schema = _PIECE + ", ids array<long>" * with_ids
-    pieces = docs.mapInArrow(_cut(tokenizer, capacity, with_ids), schema)
+    pieces = docs.mapInArrow(lean_map(_cut(tokenizer, capacity, with_ids)), schema)
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(_place(capacity), schema + ", sequence_id long, offset long")
+    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(lean_group(_place(capacity)), schema + ", sequence_id long, offset long")

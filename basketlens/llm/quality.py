@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.language_id import held_out
-from basketlens.llm.runtime import checkpoint, pick, ship
+from basketlens.llm.runtime import checkpoint, lean_group, lean_map, pick, ship
 from basketlens.llm.words import U, Words, mix, slices, words_of
 
 FEATURES = 256
@@ -170,7 +170,7 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def _summed(rows: DataFrame, scorer: Scorer | None) -> np.ndarray | None:
-    parts = rows.mapInArrow(_part_sums(scorer), "i long, v binary").groupBy("i").applyInArrow(_add, "i long, v binary").orderBy("i").collect()
+    parts = rows.mapInArrow(lean_map(_part_sums(scorer)), "i long, v binary").groupBy("i").applyInArrow(lean_group(_add), "i long, v binary").orderBy("i").collect()
     return np.stack([np.frombuffer(r["v"]) for r in parts]) if parts else None
 
 
@@ -216,7 +216,7 @@ def fit(described: DataFrame, labels: DataFrame, seed: int = 17) -> Scorer:
         return scorer
     sums = _summed(fitted, scorer)
     scorer.weight = np.linalg.solve(sums[:-1] + RIDGE * n / FEATURES * np.eye(FEATURES + 1), sums[-1])
-    bins = known.where("fold = 3").mapInArrow(_raw_scores(scorer), "y double, raw double")
+    bins = known.where("fold = 3").mapInArrow(lean_map(_raw_scores(scorer)), "y double, raw double")
     bins = bins.groupBy(F.round(F.col("raw") * BINS / 3).alias("bin")).agg(F.avg("raw").alias("raw"), F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
     if bins:
         scorer.knots, scorer.share = pool_adjacent(*(np.array([float(r[c]) for r in bins]) for c in ("raw", "y", "n")))
@@ -238,7 +238,7 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = checkpoint(docs.mapInArrow(_describe, "doc_id long, x binary"))
+    described = checkpoint(docs.mapInArrow(lean_map(_describe), "doc_id long, x binary"))
     scorer = spark.sparkContext.broadcast(fit(described, labels))
-    scored = described.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(_score(scorer), "doc_id long, held_out boolean, score double")
+    scored = described.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(lean_map(_score(scorer)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= PASS).cast("int"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.session import checkpoint_dir
@@ -55,3 +58,50 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
         return df.select(*names)
     renamed = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return renamed.select(*(renamed[f"c{i}"].alias(n) for i, n in zip(positions, names, strict=True)))
+
+
+def give_back() -> None:
+    """Give memory that a worker no longer uses back to the system.
+
+    Workers are used again for later stages; Arrow's pool and the allocator
+    would keep the largest arrays of each.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator than glibc's
+        pass
+
+
+def lean_map(run: Callable) -> Callable:
+    """A function for mapInArrow that gives memory back when its task ends."""
+
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return mapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """A function of one table for applyInArrow that gives memory back after each call."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return one
+
+
+def lean_cogroup(run: Callable) -> Callable:
+    """The same for two tables."""
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+
+    return two

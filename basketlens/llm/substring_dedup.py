@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from basketlens.llm.runtime import pick, ship
+from basketlens.llm.runtime import lean_cogroup, lean_group, pick, ship
 from basketlens.llm.words import U, Words, grams, mix, words_of
 
 WINDOW = 20
@@ -291,10 +291,10 @@ def _dedup(docs: DataFrame, window: int, output, schema: str | StructType) -> Da
     cells = CELLS_PER_WINDOW * max(1, math.ceil(total / 6 / ranges))
     chunk = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(chunks)).cast("int")
     by_chunk = docs.withColumns({"key": F.xxhash64("doc_id", "text"), "chunk": chunk}).groupBy("chunk")
-    told = by_chunk.applyInArrow(_sketch(window, ranges, cells), _TOLD).groupBy("rng").applyInArrow(_merge, _TOLD)
-    found = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_candidates(window, ranges, cells), _FOUND)
-    goes = found.groupBy("rng").applyInArrow(_exact, _GOES)
-    return by_chunk.cogroup(goes.groupBy("chunk")).applyInArrow(_apply(window, output), schema)
+    told = by_chunk.applyInArrow(lean_group(_sketch(window, ranges, cells)), _TOLD).groupBy("rng").applyInArrow(lean_group(_merge), _TOLD)
+    found = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(lean_cogroup(_candidates(window, ranges, cells)), _FOUND)
+    goes = found.groupBy("rng").applyInArrow(lean_group(_exact), _GOES)
+    return by_chunk.cogroup(goes.groupBy("chunk")).applyInArrow(lean_cogroup(_apply(window, output)), schema)
 
 
 def dedup_substrings(documents: DataFrame, window: int = WINDOW) -> DataFrame:

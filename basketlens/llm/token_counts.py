@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.runtime import pick, ship
+from basketlens.llm.runtime import lean_map, pick, ship
 
 RULES = ("majority", "start")
 _COUNT = "doc_id long, section int, start_char long, n_chars long, n_tokens long, n_crossing long"
@@ -139,4 +139,4 @@ def token_counts(documents: DataFrame, ranks: str, pattern: str, rule: str = "ma
     ship(documents.sparkSession)
     given = "sections" in documents.columns
     docs = pick(documents, "doc_id", "text", *["sections"] * given).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_count(ranks, pattern, rule, given), _COUNT)
+    return docs.mapInArrow(lean_map(_count(ranks, pattern, rule, given)), _COUNT)

@@ -15,7 +15,7 @@ import pandas as pd
 
 from basketlens.llm.words import U, Words
 
-MOST_WORDS = 1 << 21
+MOST_WORDS = 1 << 20
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 

@@ -23,6 +23,7 @@ _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
+BLOCK_BYTES = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -70,13 +71,23 @@ class Words:
         return self.span_hashes(self.starts, self.ends)
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of spans of bytes; equal spans have equal hashes."""
-        n = len(self.data)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, dtype=U)
-            np.cumsum(_BYTE_VALUES[self.data] * _powers(_BASE, n), out=sums[1:], dtype=U)
-            own = (sums[ends] - sums[starts]) * _powers(_INVERSE, n + 1)[starts]
-        return mix(own, 0x51)
+        """Hashes of spans of bytes, in order; equal spans have equal hashes.
+
+        Works on about ``BLOCK_BYTES`` at a time (one span at least).
+        """
+        out = np.zeros(len(starts), dtype=U)
+        i = 0
+        while i < len(starts):
+            a = starts[i]
+            j = max(i + 1, int(np.searchsorted(ends, a + BLOCK_BYTES)))
+            data = self.data[a : ends[j - 1]]
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(data) + 1, dtype=U)
+                np.cumsum(_BYTE_VALUES[data] * _powers(_BASE, len(data)), out=sums[1:], dtype=U)
+                own = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * _powers(_INVERSE, len(data) + 1)[starts[i:j] - a]
+            out[i:j] = mix(own, 0x51)
+            i = j
+        return out
 
     def string(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -141,7 +152,7 @@ def grams(words: Words, n: int, short_as_one: bool) -> tuple[np.ndarray, np.ndar
     return out, at, first
 
 
-def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most so many bytes in one column (one row at least)."""
     if batch.num_rows == 0:
         return
