@@ -3,6 +3,7 @@
     python -m basketlens list
     python -m basketlens run rfm_journey --data /path/to/tables [--show 20]
     python -m basketlens run rfm_snapshots --data /path --out /path/rfm --format parquet
+    python -m basketlens run churned_users --data /path --year 2016
     python -m basketlens sql rfm_journey
 
 ``--master`` defaults to ``local[*]``; pass ``--master none`` under
@@ -12,6 +13,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import sys
 
 
@@ -25,6 +27,9 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--out", help="write the result here instead of showing it")
     run.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     run.add_argument("--show", type=int, default=20, help="rows to show when not writing")
+    run.add_argument("--cutoff", type=dt.date.fromisoformat, help="cutoff of RFM, RF and cohort analyses (YYYY-MM-DD)")
+    run.add_argument("--snapshots", type=dt.date.fromisoformat, nargs="+", help="cutoffs of the snapshots")
+    run.add_argument("--year", type=int, help="year of churn, traffic and channel analyses (growth: against the year before)")
     run.add_argument("--master", default="local[*]")
     run.add_argument("--partitions", type=int, default=8)
     sql = sub.add_parser("sql", help="print the equivalent SQL of one analysis")
@@ -44,8 +49,17 @@ def main(argv: list[str] | None = None) -> int:
         print(oracle_sql().get(args.name, "-- no SQL form"))
         return 0
 
+    from basketlens.plans import params
     from basketlens.session import CLUSTER_CONF, build_session
 
+    if args.cutoff:
+        params.RFM_CUTOFF = params.RF_CUTOFF = params.COHORT_CUTOFF = args.cutoff
+    if args.snapshots:
+        params.SNAPSHOT_CUTOFFS = tuple(args.snapshots)
+    if args.year:
+        params.CHURN_YEAR = params.TRAFFIC_YEAR = params.CHANNEL_YEAR = args.year
+        params.CHANNEL_PREV_YEAR = args.year - 1
+
     master = None if args.master.lower() == "none" else args.master
     spark = build_session(master, args.partitions, extra_conf=None if master else CLUSTER_CONF)
     df = catalog[args.name](spark, args.data)

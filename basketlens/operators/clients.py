@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.numeric import round_money, safe_ratio
@@ -12,30 +13,34 @@ from basketlens.functions.numeric import round_money, safe_ratio
 
 def transaction_totals(transactions: DataFrame) -> DataFrame:
     """``transactions_count, transactions_sum, transactions_average``
-    (average of non-NULL amounts, 2 places) in one pass."""
+    (average of non-NULL amounts) in one pass."""
     return transactions.agg(
         F.count(F.lit(1)).alias("transactions_count"),
         F.sum("transaction_sum").alias("transactions_sum"),
-        round_money(safe_ratio(F.sum("transaction_sum"), F.count("transaction_sum"))).alias(
-            "transactions_average"
-        ),
+        safe_ratio(F.sum("transaction_sum"), F.count("transaction_sum")).alias("transactions_average"),
     )
 
 
+def _stamp() -> Column:
+    return F.concat(F.col("transaction_date").cast("string"), F.lit(" "), F.trim("transaction_time")).try_cast("timestamp_ntz")
+
+
+def unreadable_times(transactions: DataFrame) -> DataFrame:
+    """Transactions whose date and time are not a point in time."""
+    return transactions.where(_stamp().isNull())
+
+
 def first_transaction(clients: DataFrame, transactions: DataFrame) -> DataFrame:
     """Every client with the date and time of its first transaction,
     ``id_client, datetime`` (NULL for clients without one).
 
     Transactions are reduced to one row per client *before* the left join,
     so a client with a huge number of transactions is reduced map-side and
-    the join is one-to-one.  Date and time are combined as a timestamp
-    (the text form sorts the same when both parts are zero-padded).
+    the join is one-to-one.  Date and time are read as a timestamp without a
+    time zone (one-digit hours and fractions too), so no session zone moves
+    them; :func:`unreadable_times` gives the transactions left out.
     """
-    stamp = F.try_to_timestamp(
-        F.concat_ws(" ", F.col("transaction_date").cast("string"), F.col("transaction_time")),
-        F.lit("yyyy-MM-dd HH:mm:ss"),
-    ).cast("timestamp_ntz")
-    first = transactions.groupBy("id_client").agg(F.min(stamp).alias("datetime"))
+    first = transactions.groupBy("id_client").agg(F.min(_stamp()).alias("datetime"))
     return clients.select("id_client").join(first, "id_client", "left")
 
 
@@ -49,8 +54,10 @@ def limit_utilisation(
     ``threshold``: ``id_client, limit_sum, spent, used_pct`` (2 places).
 
     ``per='transaction'`` compares each transaction with the limit;
-    ``per='client'`` compares the client's total.  A zero limit gives NULL
-    (no error) and the row drops out; negative limits give negative use.
+    ``per='client'`` compares the client's total.  The comparison is made on
+    exact decimals (``spent * 100`` against ``threshold * limit``), so a use
+    of exactly the threshold is not above it; only the shown percentage is
+    rounded.  A zero limit drops the row; negative limits give negative use.
 
     Only clients with transactions can pass the filter, so the join is an
     inner join.  At scale it is a sort-merge join on ``id_client``; a client
@@ -61,10 +68,8 @@ def limit_utilisation(
     tx = transactions.select("id_client", F.col("transaction_sum").alias("spent"))
     if per == "client":
         tx = tx.groupBy("id_client").agg(F.sum("spent").alias("spent"))
-    used = safe_ratio(F.col("spent"), F.col("limit_sum")) * 100
+    limit, bar = F.col("limit_sum"), F.lit(Decimal(str(threshold))) * F.col("limit_sum")
+    above = F.when(limit > 0, F.col("spent") * 100 > bar).when(limit < 0, F.col("spent") * 100 < bar)
     joined = tx.join(clients.select("id_client", "limit_sum"), "id_client", "inner")
-    return (
-        joined.select("id_client", "limit_sum", "spent", used.alias("used_exact"))
-        .where(F.col("used_exact") > threshold)
-        .select("id_client", "limit_sum", "spent", round_money("used_exact").alias("used_pct"))
-    )
+    used = round_money(safe_ratio(F.col("spent"), limit) * 100)
+    return joined.where(above).select("id_client", "limit_sum", "spent", used.alias("used_pct"))

@@ -95,26 +95,29 @@ def frequent_recent_buyers(
     ``user_id, frequency`` (distinct orders / distinct order days, 2 places),
     ``first_date`` (first order day in the window), ``order_rows``.
 
-    The membership test "has an order before ``last_date``" (a semi join
-    with the earlier buyers) is a flag of the same per-user aggregation,
-    so the orders are scanned and shuffled once.
+    Only rows of the window are aggregated; both of its bounds reach the scan.
+    A user with a window row before ``last_date`` has bought before; only
+    users whose window rows all fall on that day are looked up among the
+    earlier buyers (a semi join).
     """
     last = as_date(last_date)
-    age = F.datediff(last, F.col("o_date"))
-    in_window = (age >= 0) & (age < window_days)
-    before = F.col("o_date") < last
+    from_day = F.date_sub(last, window_days)
+    known = orders.where(F.col("user_id").isNotNull())
     per_user = (
-        orders.where(F.col("user_id").isNotNull() & (F.col("o_date") <= last) & (in_window | before))
+        known.where((F.col("o_date") <= last) & (F.col("o_date") > from_day))
         .groupBy("user_id")
         .agg(
-            F.bool_or(before).alias("bought_before"),
-            F.count(F.when(in_window, F.lit(1))).alias("order_rows"),
-            F.count_distinct(F.when(in_window, F.col("id_o"))).alias("window_orders"),
-            F.count_distinct(F.when(in_window, F.col("o_date"))).alias("window_days"),
-            F.min(F.when(in_window, F.col("o_date"))).alias("first_date"),
+            F.bool_or(F.col("o_date") < last).alias("bought_before"),
+            F.count(F.lit(1)).alias("order_rows"),
+            F.count_distinct("id_o").alias("window_orders"),
+            F.count_distinct("o_date").alias("window_days"),
+            F.min("o_date").alias("first_date"),
         )
+        .where(F.col("order_rows") > min_rows)
     )
-    return per_user.where(F.col("bought_before") & (F.col("order_rows") > min_rows)).select(
+    earlier = known.where(F.col("o_date") <= from_day).select("user_id")
+    found = per_user.where("bought_before").union(per_user.where("not bought_before").join(earlier, "user_id", "left_semi").select(per_user.columns))
+    return found.select(
         "user_id",
         round_money(safe_ratio("window_orders", "window_days")).alias("frequency"),
         "first_date",

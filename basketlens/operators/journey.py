@@ -34,9 +34,9 @@ def _sorted_cutoffs(cutoffs: Iterable[dt.date | str]) -> list[dt.date]:
     return out
 
 
-def snapshot_users(orders: DataFrame, cutoffs: Sequence[dt.date | str]) -> DataFrame:
+def snapshot_users(orders: DataFrame, cutoffs: Sequence[dt.date | str], unknown: bool = False) -> DataFrame:
     """Per snapshot and user: ``snapshot, user_id, days, orders, sum_price``
-    (same measures as ``user_rfm`` for each cutoff)."""
+    (same measures as ``user_rfm`` for each cutoff; ``unknown`` as there)."""
     cuts = _sorted_cutoffs(cutoffs)
     k = len(cuts)
     o_date = F.col("o_date")
@@ -55,7 +55,7 @@ def snapshot_users(orders: DataFrame, cutoffs: Sequence[dt.date | str]) -> DataF
         entry = F.when(o_date < F.element_at(last_dates, j + 1), F.lit(j)).otherwise(entry)
 
     rows = (
-        orders.where((F.col("price") > 0) & F.col("user_id").isNotNull() & (o_date < upper))
+        orders.where((F.col("price") > 0) & (F.lit(unknown) | F.col("user_id").isNotNull()) & (o_date < upper))
         .select("user_id", "id_o", "price", "o_date", entry.alias("entry"))
         .where(F.col("entry") < k)
     )
@@ -101,7 +101,8 @@ def rfm_snapshots(
     days, orders, sum_price, share_of_turnover`` (counts and shares per
     snapshot).  Write it with ``sources.write_snapshots``."""
     n_snapshots = len(_sorted_cutoffs(cutoffs))
-    return with_group_counts(snapshot_scores(orders, cutoffs, profile), keys=("snapshot",), key_values=n_snapshots)
+    scored = score_rfm(snapshot_users(orders, cutoffs, unknown=True), profile)
+    return with_group_counts(scored, keys=("snapshot",), key_values=n_snapshots)
 
 
 def segment_sizes(snapshots: DataFrame, groups: Sequence[str] | None = None) -> DataFrame:

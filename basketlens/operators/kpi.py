@@ -46,18 +46,18 @@ def order_volume(orders: DataFrame) -> DataFrame:
 
 
 def average_check(orders: DataFrame, level: Literal["row", "order"] = "order") -> DataFrame:
-    """Average check per year and month, rounded to 2 places.
+    """Average check per year and month.
 
     ``level='row'``: mean price of the rows of the month (column ``average``).
     ``level='order'``: each order's check is the mean price of its rows,
     rounded to 2 places, dated by its first row; the month's value is the mean
-    of those checks (column ``average_check``).  An order whose rows fall in
+    of those checks (column ``average_check``, 2 places).  An order whose rows fall in
     two months counts in the month of its first row.
     """
     if level == "row":
         return (
             orders.groupBy(F.year("o_date").alias("year"), F.month("o_date").alias("month"))
-            .agg(round_money(safe_ratio(F.sum("price"), F.count("price"))).alias("average"))
+            .agg(safe_ratio(F.sum("price"), F.count("price")).alias("average"))
         )
     checks = orders.groupBy("id_o").agg(
         F.min("o_date").alias("o_date"),
@@ -81,7 +81,7 @@ def orders_per_user(orders: DataFrame, by: Literal["year", "month"] = "year") ->
         keys.append("month")
     per_user = dated.groupBy("user_id", *keys).agg(F.count(F.lit(1)).alias("cnt"))
     return per_user.groupBy(*keys).agg(
-        round_money(safe_ratio(F.sum("cnt"), F.count("cnt"))).alias("average_orders")
+        safe_ratio(F.sum("cnt"), F.count("cnt")).alias("average_orders")
     )
 
 

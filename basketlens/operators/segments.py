@@ -48,12 +48,16 @@ def analysed_rows(orders: DataFrame, cutoff: DateLike | None, last: Column) -> D
 # ---------------------------------------------------------------------------
 
 
-def user_rfm(orders: DataFrame, cutoff: DateLike | None = None) -> DataFrame:
+def user_rfm(orders: DataFrame, cutoff: DateLike | None = None, unknown: bool = False) -> DataFrame:
     """Per user with a positive-price order in the window:
     ``user_id, days`` (since last order), ``orders`` (distinct ids),
-    ``sum_price``.  One scan, one aggregation."""
+    ``sum_price``.  One scan, one aggregation.  ``unknown`` adds a row with a
+    NULL user for the orders without one (their revenue counts in totals)."""
     last = last_order_date(orders, cutoff)
-    rows = analysed_rows(orders.where((F.col("price") > 0) & F.col("user_id").isNotNull()), cutoff, last)
+    wanted = F.col("price") > 0
+    if not unknown:
+        wanted = wanted & F.col("user_id").isNotNull()
+    rows = analysed_rows(orders.where(wanted), cutoff, last)
     per_user = rows.groupBy("user_id").agg(
         F.max("o_date").alias("last_order"),
         F.count_distinct("id_o").alias("orders"),
@@ -92,7 +96,8 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values:
 
     Each row gets its code's and its segment's user count (every row, not
     one arbitrary row per group).  The share is the user's sum over the sum
-    of all users (per ``keys``, e.g. per snapshot), rounded to 2 places.
+    of all rows (per ``keys``, e.g. per snapshot), rounded to 2 places; a row
+    without a user counts in that total only and is not returned.
 
     All three come from one small lookup grouped by (keys, segment, code):
     at most 6^3 codes per key value (``key_values`` of them, e.g. the
@@ -101,7 +106,7 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values:
     """
     k = list(keys)
     per_code = scored.groupBy(*k, "segment", "rfm_code").agg(
-        F.count(F.lit(1)).alias("count_by_rfm"), F.sum("sum_price").alias("code_sum")
+        F.count("user_id").alias("count_by_rfm"), F.sum("sum_price").alias("code_sum")
     )
     per_group = per_code.groupBy(*k, "segment").agg(F.sum("count_by_rfm").alias("count_by_group"))
     lookup = per_code.join(per_group, [*k, "segment"])
@@ -114,7 +119,8 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values:
     else:
         overall = per_code.agg(F.sum("code_sum")).scalar()
     lookup = lookup.select(*k, "segment", "rfm_code", "count_by_rfm", "count_by_group", *extra)
-    joined = scored.join(bounded_broadcast(lookup, MAX_SCORE_CODES * key_values), [*k, "segment", "rfm_code"])
+    users = scored.where(F.col("user_id").isNotNull())
+    joined = users.join(bounded_broadcast(lookup, MAX_SCORE_CODES * key_values), [*k, "segment", "rfm_code"])
     return joined.select(
         *k,
         "segment",
@@ -136,9 +142,9 @@ def rfm_table(orders: DataFrame, cutoff: DateLike | None = None, profile: RfmPro
     ``cutoff=None``: last date = latest order, every positive-price row is
     used (the market-activity variant).  With a cutoff: last date = latest
     order before it, rows strictly before the last date (so ``days >= 1``);
-    the turnover total uses the same rows.
+    the turnover total uses the same rows, those without a user included.
     """
-    return with_group_counts(rfm_scores(orders, cutoff, profile))
+    return with_group_counts(score_rfm(user_rfm(orders, cutoff, unknown=True), profile))
 
 
 def rfm_code_counts(scored: DataFrame) -> DataFrame:
@@ -181,6 +187,11 @@ def rf_segments(orders: DataFrame, cutoff: DateLike | None, profile: RfProfile =
     per_user = rows.groupBy("user_id").agg(
         F.max("o_date").alias("last_order"), F.count_distinct("id_o").alias("orders")
     )
+    return _score_rf(per_user, last, profile)
+
+
+def _score_rf(per_user: DataFrame, last: Column, profile: RfProfile) -> DataFrame:
+    """RF scores and groups of ``user_id, last_order, orders``."""
     with_days = per_user.select("user_id", days_between(last, "last_order").alias("days"), "orders")
     scored = with_days.select(
         "*",
@@ -203,16 +214,21 @@ def segment_revenue_by_month(
     """Revenue and active users per behaviour group and month:
     ``segment, period (yyMM), sum_price, users``.
 
-    Monthly sums per user are joined to a frame with exactly one row per
-    user, so no user-month is repeated (joining to a per-month frame would
-    multiply each user's rows by their number of months).
+    One aggregate per (user, order, month) feeds both the monthly sums and
+    the users' scores, so the orders are read and shuffled once.  Monthly sums
+    are joined to a frame with exactly one row per user, so no user-month is
+    repeated.  Revenue of orders without a user is in the NULL segment.
     """
     last = last_order_date(orders, cutoff)
-    rows = analysed_rows(orders.where(F.col("user_id").isNotNull()), cutoff, last)
-    monthly = rows.groupBy("user_id", period_label("o_date").alias("period")).agg(
-        F.sum("price").alias("sum_price")
+    rows = analysed_rows(orders, cutoff, last)
+    per_order = rows.groupBy("user_id", "id_o", period_label("o_date").alias("period")).agg(
+        F.sum("price").alias("sum_price"), F.max("o_date").alias("last_order")
+    )
+    monthly = per_order.groupBy("user_id", "period").agg(F.sum("sum_price").alias("sum_price"))
+    per_user = per_order.groupBy("user_id").agg(
+        F.max("last_order").alias("last_order"), F.count_distinct("id_o").alias("orders")
     )
-    groups = rf_segments(orders, cutoff, profile).select("user_id", "segment")
+    groups = _score_rf(per_user.where(F.col("user_id").isNotNull()), last, profile).select("user_id", "segment")
     return (
         monthly.join(groups, "user_id", "left")
         .groupBy("segment", "period")

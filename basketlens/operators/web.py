@@ -68,17 +68,16 @@ def channel_growth(visits: DataFrame, year: int, prev_year: int | None = None, k
     previous year, in %: ``channel, users, prev_users, growth_pct``.
     No users in the previous year gives NULL growth, ranked last.
 
-    Both years come from one conditional aggregation (no self join).
+    Each user of a channel gets a flag per year, and the flags are counted:
+    no self join, and no row is repeated for a distinct count.
     """
     prev = year - 1 if prev_year is None else prev_year
-    per_channel = (
+    flags = (
         visits.where(F.col("year").isin(year, prev) & F.col("user_id").isNotNull())
-        .groupBy("channel")
-        .agg(
-            F.count_distinct(F.when(F.col("year") == year, F.col("user_id"))).alias("users"),
-            F.count_distinct(F.when(F.col("year") == prev, F.col("user_id"))).alias("prev_users"),
-        )
+        .groupBy("channel", "user_id")
+        .agg(F.bool_or(F.col("year") == year).alias("now"), F.bool_or(F.col("year") == prev).alias("then"))
     )
+    per_channel = flags.groupBy("channel").agg(F.count_if("now").alias("users"), F.count_if("then").alias("prev_users"))
     growth = round_money(safe_ratio(F.col("users") - F.col("prev_users"), F.col("prev_users")) * 100)
     return (
         per_channel.select("channel", "users", "prev_users", growth.alias("growth_pct"))

@@ -18,12 +18,9 @@ from basketlens import operators as ops
 from basketlens.functions.profiles import JOURNEY, MARKET, RF_BASIC
 from basketlens.plans import params as P
 from basketlens.sources import tables as T
-from basketlens.sources.ingest import (
-    format_orders_text,
-    format_traffic_text,
-    parse_daily_traffic,
-    parse_orders,
-)
+from basketlens.functions.numeric import round_money
+from basketlens.plans.round_trip import format_orders_text, format_traffic_text
+from basketlens.sources.ingest import parse_daily_traffic, parse_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,9 +59,7 @@ def _snapshot_scores(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _ingest_orders(spark: SparkSession, base: str) -> DataFrame:
-    # the stored ids are bigints without a declared length: no length check
-    # (at larger scales order keys pass 7 digits and would all be rejected)
-    return parse_orders(format_orders_text(_orders(spark, base)), id_max_length=None).good
+    return parse_orders(format_orders_text(_orders(spark, base))).good
 
 
 def _ingest_daily(spark: SparkSession, base: str) -> DataFrame:
@@ -78,7 +73,18 @@ def _recent_since(spark: SparkSession, base: str) -> DataFrame:
 
 def _recent_before(spark: SparkSession, base: str) -> DataFrame:
     o = _orders(spark, base)
-    return ops.active_users(o, before=ops.last_order_date(o, P.COHORT_CUTOFF))
+    # o_date < last implies o_date < cutoff; the literal bound reaches the scan
+    return ops.active_users(o.where(F.col("o_date") < F.lit(P.COHORT_CUTOFF)), before=ops.last_order_date(o, P.COHORT_CUTOFF))
+
+
+def _frequent_buyers(spark: SparkSession, base: str) -> DataFrame:
+    o = _orders(spark, base)
+    return ops.frequent_recent_buyers(o, ops.last_order_date(o, P.COHORT_CUTOFF), P.RECENT_WINDOW_DAYS, P.RECENT_MIN_ROWS)
+
+
+def _rounded(df: DataFrame, column: str) -> DataFrame:
+    """Averages to 2 places, to compare across engines (the operators keep them full)."""
+    return df.withColumn(column, round_money(column))
 
 
 def _cohort_revenue(spark: SparkSession, base: str) -> DataFrame:
@@ -90,10 +96,10 @@ _RAW: dict[str, Query] = {
     "order_period": lambda s, b: ops.order_period(_orders(s, b)),
     "order_period_rows": lambda s, b: ops.order_period_rows(_orders(s, b)),
     "order_volume": lambda s, b: ops.order_volume(_orders(s, b)),
-    "avg_check_rows": lambda s, b: ops.average_check(_orders(s, b), level="row"),
+    "avg_check_rows": lambda s, b: _rounded(ops.average_check(_orders(s, b), level="row"), "average"),
     "avg_check_orders": lambda s, b: ops.average_check(_orders(s, b), level="order"),
-    "orders_per_user_year": lambda s, b: ops.orders_per_user(_orders(s, b), by="year"),
-    "orders_per_user_month": lambda s, b: ops.orders_per_user(_orders(s, b), by="month"),
+    "orders_per_user_year": lambda s, b: _rounded(ops.orders_per_user(_orders(s, b), by="year"), "average_orders"),
+    "orders_per_user_month": lambda s, b: _rounded(ops.orders_per_user(_orders(s, b), by="month"), "average_orders"),
     "churned_users": lambda s, b: ops.churned_users(_orders(s, b), P.CHURN_YEAR),
     "churned_user_count": lambda s, b: ops.churned_user_count(_orders(s, b), P.CHURN_YEAR),
     "most_active_users": lambda s, b: ops.most_active_users(_orders(s, b), k=10),
@@ -107,9 +113,7 @@ _RAW: dict[str, Query] = {
     "cohort_revenue": _cohort_revenue,
     "active_users": _recent_since,
     "active_users_before": _recent_before,
-    "frequent_recent_buyers": lambda s, b: ops.frequent_recent_buyers(
-        _orders(s, b), P.RECENT_LAST_DATE, P.RECENT_WINDOW_DAYS, P.RECENT_MIN_ROWS
-    ),
+    "frequent_recent_buyers": _frequent_buyers,
     # RFM
     "rfm_market": lambda s, b: ops.rfm_table(_orders(s, b), None, MARKET),
     "rfm_journey": lambda s, b: ops.rfm_table(_orders(s, b), P.RFM_CUTOFF, JOURNEY),
@@ -121,8 +125,8 @@ _RAW: dict[str, Query] = {
     "segment_sizes": lambda s, b: ops.segment_sizes(_snapshot_scores(s, b)),
     "segment_sizes_subset": lambda s, b: ops.segment_sizes(_snapshot_scores(s, b), P.SNAPSHOT_GROUPS),
     # clients and transactions
-    "transaction_totals": lambda s, b: ops.transaction_totals(
-        T.order_transactions(T.load_table(s, b, "orders"))
+    "transaction_totals": lambda s, b: _rounded(
+        ops.transaction_totals(T.order_transactions(T.load_table(s, b, "orders"))), "transactions_average"
     ),
     "first_transaction": lambda s, b: ops.first_transaction(
         T.clients_frame(T.load_table(s, b, "customer")), T.event_transactions(T.load_table(s, b, "events"))

@@ -19,7 +19,6 @@ RFM_CUTOFF = dt.date(2000, 1, 1)
 SNAPSHOT_CUTOFFS = (dt.date(2000, 1, 1), dt.date(2000, 2, 1), dt.date(2000, 3, 1))
 RF_CUTOFF = dt.date(2000, 1, 1)
 COHORT_CUTOFF = dt.date(1997, 5, 1)
-RECENT_LAST_DATE = dt.date(1997, 4, 30)
 RECENT_WINDOW_DAYS = 365
 RECENT_MIN_ROWS = 2
 CHURN_YEAR = 1999
@@ -52,7 +51,7 @@ RF_SCALED = rf_with_bands(
 
 __all__ = [
     "CHANNEL_PREV_YEAR", "CHANNEL_YEAR", "CHURN_YEAR", "COHORT_CUTOFF", "JOURNEY_SCALED",
-    "LIMIT_THRESHOLD", "LIMIT_THRESHOLD_HIGH", "RECENT_LAST_DATE", "RECENT_MIN_ROWS",
+    "LIMIT_THRESHOLD", "LIMIT_THRESHOLD_HIGH", "RECENT_MIN_ROWS",
     "RECENT_WINDOW_DAYS", "RF_CUTOFF", "RF_SCALED", "RFM_CUTOFF", "SNAPSHOT_CUTOFFS",
     "SNAPSHOT_GROUPS", "TRAFFIC_YEAR",
 ]

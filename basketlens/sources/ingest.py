@@ -17,12 +17,11 @@ from typing import Literal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 PRICE_TYPE = "decimal(10,1)"
-ID_MAX_LENGTH = 7  # the order table declares both ids VARCHAR(7)
 
-ORDERS_RAW_SCHEMA = "id_o string, user_id string, price string, o_date string"
-TRAFFIC_RAW_SCHEMA = "day string, users string"
+RAW_LINE = "raw_line"  # the whole line of a row with too few or too many fields
 
 
 @dataclass(frozen=True)
@@ -55,16 +54,26 @@ ORDERS_TYPED = ("id_o", "user_id", "price", "o_date")
 TRAFFIC_TYPED = ("day", "users")
 
 
-def tag_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> DataFrame:
+def _field_count(raw: DataFrame) -> Column:
+    """``wrong number of fields`` for lines that the CSV reader marked, else NULL."""
+    bad = F.col(RAW_LINE).isNotNull() if RAW_LINE in raw.columns else F.lit(False)
+    return F.when(bad, F.lit("wrong number of fields"))
+
+
+def tag_orders(raw: DataFrame, id_max_length: int | None = None, price_type: str = PRICE_TYPE) -> DataFrame:
     """Raw orders with typed twins ``_id_o, _user_id, _price, _o_date`` and
-    ``reject_reason`` (NULL for a good row)."""
+    ``reject_reason`` (NULL for a good row).  ``id_max_length`` rejects longer
+    ids (no check by default); a number beyond ``price_type`` is rejected as
+    ``price out of range``."""
     id_o = F.trim(F.col("id_o"))
     user_id = F.trim(F.col("user_id"))
-    price = parse_decimal_comma(F.col("price"))
+    price = parse_decimal_comma(F.col("price"), price_type)
+    number = parse_decimal_comma(F.col("price"), "decimal(38,1)")
     o_date = parse_day_month_year(F.col("o_date"))
 
     reason = (
-        F.when(_blank(F.col("id_o")), F.lit("missing id_o"))
+        _field_count(raw)
+        .when(_blank(F.col("id_o")), F.lit("missing id_o"))
         .when(_blank(F.col("user_id")), F.lit("missing user_id"))
     )
     if id_max_length is not None:
@@ -73,7 +82,8 @@ def tag_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> Dat
             .when(F.length(user_id) > id_max_length, F.lit("user_id too long"))
         )
     reason = (
-        reason.when(price.isNull(), F.lit("bad price"))
+        reason.when(price.isNull() & number.isNotNull(), F.lit("price out of range"))
+        .when(price.isNull(), F.lit("bad price"))
         .when(o_date.isNull(), F.lit("bad date"))
     )
     return raw.select(
@@ -94,16 +104,18 @@ def _split(tagged: DataFrame, typed: tuple[str, ...]) -> ParseResult:
     filter over a plain projection is pushed below it with the parse
     expressions copied in, so every row would be parsed twice.)
     """
+    line = [RAW_LINE] * (RAW_LINE in tagged.columns)
     once = tagged.select(
         *typed,
+        *line,
         F.inline(F.array(F.struct(*[F.col(f"_{c}").alias(f"typed_{c}") for c in typed], "reject_reason"))),
     )
     good = once.where(F.col("reject_reason").isNull()).select(*[F.col(f"typed_{c}").alias(c) for c in typed])
-    rejected = once.where(F.col("reject_reason").isNotNull()).select(*typed, "reject_reason")
+    rejected = once.where(F.col("reject_reason").isNotNull()).select(*typed, *line, "reject_reason")
     return ParseResult(good, rejected)
 
 
-def parse_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> ParseResult:
+def parse_orders(raw: DataFrame, id_max_length: int | None = None, price_type: str = PRICE_TYPE) -> ParseResult:
     """Type a raw orders frame ``(id_o, user_id, price, o_date)`` of strings.
 
     Good rows: ``id_o string, user_id string, price decimal(10,1), o_date date``.
@@ -111,17 +123,18 @@ def parse_orders(raw: DataFrame, id_max_length: int | None = ID_MAX_LENGTH) -> P
     frames, each parses its rows once; to produce both from one read of the
     input use :func:`store_parsed`.)
     """
-    return _split(tag_orders(raw, id_max_length), ORDERS_TYPED)
+    return _split(tag_orders(raw, id_max_length, price_type), ORDERS_TYPED)
 
 
 def tag_daily_traffic(raw: DataFrame) -> DataFrame:
     """Raw traffic rows (empty days skipped) with typed twins ``_day, _users``
     and ``reject_reason``."""
-    rows = raw.where(~_blank(F.col("day")))
+    empty = _blank(F.col("day"))
+    rows = raw.where(~empty | F.col(RAW_LINE).isNotNull()) if RAW_LINE in raw.columns else raw.where(~empty)
     users_text = F.coalesce(F.nullif(F.trim(F.col("users")), F.lit("")), F.lit("0"))
     day = parse_day_month_year(F.col("day"))
     users = parse_grouped_int(users_text)
-    reason = F.when(day.isNull(), F.lit("bad day")).when(users.isNull(), F.lit("bad users"))
+    reason = _field_count(raw).when(day.isNull(), F.lit("bad day")).when(users.isNull(), F.lit("bad users"))
     return rows.select("*", day.alias("_day"), users.alias("_users"), reason.alias("reject_reason"))
 
 
@@ -147,53 +160,52 @@ def store_parsed(
 
     Each input row is read and typed once (two lazy filters over the same
     input would parse every row twice), the write commits as one job, and
-    later steps read the stored table, not the text export.  ``mode='append'``
+    later steps read the stored table, not the text export.  An overwrite
+    replaces the whole table, also a partition that the new load leaves empty.  ``mode='append'``
     adds a new export (say, the next day's) to the table in one commit.
     """
     ok = F.col("reject_reason").isNull()
+    line = [RAW_LINE] * (RAW_LINE in tagged.columns)
     out = tagged.select(
         *[F.when(ok, F.col(f"_{c}")).alias(c) for c in typed],
         *[F.when(~ok, F.col(c)).alias(f"raw_{c}") for c in typed],
+        *line,
         "reject_reason",
         F.when(ok, F.lit("good")).otherwise(F.lit("rejected")).alias("status"),
     )
-    out.write.mode(mode).partitionBy("status").parquet(path)
-    stored = spark.read.parquet(path)
+    schema = out.schema
+    out.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("status").parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
     good = stored.where(F.col("status") == "good").select(*typed)
     rejected = stored.where(F.col("status") == "rejected").select(
-        *[F.col(f"raw_{c}").alias(c) for c in typed], "reject_reason"
+        *[F.col(f"raw_{c}").alias(c) for c in typed], *line, "reject_reason"
     )
     return ParseResult(good, rejected)
 
 
-def _normalise_header(df: DataFrame) -> DataFrame:
-    """Header names without quotes, spaces or line ends, lower case."""
-    return df.toDF(*[c.replace('"', "").replace("`", "").strip().lower() for c in df.columns])
+def _read_csv(spark: SparkSession, path: str, names: tuple[str, ...], **options: str) -> DataFrame:
+    """An export as strings, columns taken by the names in its header (without
+    quotes and spaces, lower case), whatever their order; all must be there
+    and no others.  The header of every file is held against the first one.
+    Lines with another number of fields keep their text in ``raw_line``."""
+    written = spark.read.options(header=True, encoding="UTF-8", **options).csv(path).columns  # reads the header line only
+    found = [c.replace('"', "").replace("`", "").replace("\ufeff", "").strip().lower() for c in written]
+    if sorted(found) != sorted(names):
+        raise ValueError(f"columns {sorted(names)} are needed, the header has {found}")
+    schema = StructType([StructField(c, StringType()) for c in [*written, RAW_LINE]])
+    strict = {"columnNameOfCorruptRecord": RAW_LINE, "enforceSchema": False, "columnPruning": False}
+    raw = spark.read.options(header=True, encoding="UTF-8", **options, **strict).schema(schema).csv(path)
+    return raw.toDF(*found, RAW_LINE).select(*names, RAW_LINE)
 
 
 def read_orders_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw orders export as strings (``;``, quoted header, ``\\r\\n`` ends)."""
-    df = (
-        spark.read.option("header", True)
-        .option("sep", ";")
-        .option("quote", '"')
-        .option("encoding", "UTF-8")
-        .schema(ORDERS_RAW_SCHEMA)
-        .csv(path)
-    )
-    return _normalise_header(df)
+    return _read_csv(spark, path, ORDERS_TYPED, sep=";", quote='"')
 
 
 def read_daily_traffic_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw daily traffic export as strings (``,``, header ``day,users``)."""
-    df = (
-        spark.read.option("header", True)
-        .option("sep", ",")
-        .option("encoding", "UTF-8")
-        .schema(TRAFFIC_RAW_SCHEMA)
-        .csv(path)
-    )
-    return _normalise_header(df)
+    return _read_csv(spark, path, TRAFFIC_TYPED, sep=",")
 
 
 def _finish(result: ParseResult, on_error: Literal["quarantine", "fail"]) -> ParseResult:
@@ -207,7 +219,7 @@ def load_orders(
     spark: SparkSession,
     path: str,
     on_error: Literal["quarantine", "fail"] = "quarantine",
-    id_max_length: int | None = ID_MAX_LENGTH,
+    id_max_length: int | None = None,
 ) -> ParseResult:
     """Read and type an orders export.  ``on_error='fail'`` raises if any row
     is bad (one extra job that stops at the first bad row found)."""
@@ -225,7 +237,7 @@ def ingest_orders_table(
     spark: SparkSession,
     src: str,
     dest: str,
-    id_max_length: int | None = ID_MAX_LENGTH,
+    id_max_length: int | None = None,
     mode: Literal["overwrite", "append"] = "overwrite",
 ) -> ParseResult:
     """Job: orders export at ``src`` -> typed table at ``dest`` (with its
@@ -238,23 +250,3 @@ def ingest_daily_traffic_table(
 ) -> ParseResult:
     """Job: daily traffic export at ``src`` -> typed table at ``dest``."""
     return store_parsed(spark, tag_daily_traffic(read_daily_traffic_csv(spark, src)), TRAFFIC_TYPED, dest, mode)
-
-
-def format_orders_text(orders: DataFrame) -> DataFrame:
-    """The order log written the way the export writes it (all strings):
-    decimal comma, ``dd.MM.yyyy``.  Used for round trips on stored tables."""
-    return orders.select(
-        F.col("id_o").cast("string").alias("id_o"),
-        F.col("user_id").cast("string").alias("user_id"),
-        F.replace(F.col("price").cast("string"), F.lit("."), F.lit(",")).alias("price"),
-        F.date_format("o_date", "dd.MM.yyyy").alias("o_date"),
-    )
-
-
-def format_traffic_text(daily: DataFrame) -> DataFrame:
-    """Daily traffic as the export writes it: ``dd.MM.yyyy`` and counts with
-    a no-break space between thousands."""
-    return daily.select(
-        F.date_format("day", "dd.MM.yyyy").alias("day"),
-        F.replace(F.format_number(F.col("users"), 0), F.lit(","), F.lit("\u00a0")).alias("users"),
-    )

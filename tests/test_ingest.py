@@ -7,8 +7,8 @@ import os
 import pytest
 
 from basketlens.operators import peak_traffic_days, traffic_by_weekday
+from basketlens.plans.round_trip import format_orders_text
 from basketlens.sources.ingest import (
-    format_orders_text,
     load_daily_traffic,
     load_orders,
     parse_daily_traffic,
@@ -36,7 +36,7 @@ RAW_ORDERS = [
 
 def test_parse_orders_and_quarantine(spark):
     raw = spark.createDataFrame(RAW_ORDERS, "id_o string, user_id string, price string, o_date string")
-    res = parse_orders(raw)
+    res = parse_orders(raw, id_max_length=7)
     good = res.good.collect()
     assert [tuple(r) for r in good] == [("1", "10", decimal.Decimal("12.3"), dt.date(2016, 2, 1))]
     rejected = {r["id_o"]: r["reject_reason"] for r in res.rejected.collect()}
@@ -46,7 +46,7 @@ def test_parse_orders_and_quarantine(spark):
 
 def test_parse_orders_without_length_check(spark):
     raw = spark.createDataFrame(RAW_ORDERS, "id_o string, user_id string, price string, o_date string")
-    res = parse_orders(raw, id_max_length=None)
+    res = parse_orders(raw)  # no length check by default
     assert sorted(r["id_o"] for r in res.good.collect()) == ["1", "12345678"]
 
 
@@ -130,7 +130,7 @@ def test_ingest_jobs_store_good_and_rejected(spark, scratch):
         fh.write('"id_o";"user_id";"price";"o_date"\r\n')
         for row in RAW_ORDERS:
             fh.write(";".join(row) + "\r\n")
-    res = ingest_orders_table(spark, path, os.path.join(scratch, "orders_table"))
+    res = ingest_orders_table(spark, path, os.path.join(scratch, "orders_table"), id_max_length=7)
     assert [tuple(r) for r in res.good.collect()] == [("1", "10", decimal.Decimal("12.3"), dt.date(2016, 2, 1))]
     assert sorted((r["id_o"], r["price"], r["reject_reason"]) for r in res.rejected.collect()) == [
         ("12345678", "1,0", "id_o too long"), ("2", "x", "bad price")]
@@ -156,3 +156,42 @@ def test_ingest_append_adds_a_new_export(spark, scratch):
                 fh.write(f"{day},{users}\n")
         res = ingest_daily_traffic_table(spark, path, table, mode="append" if i else "overwrite")
     assert res.good.count() == 5 and res.rejected.count() == 1
+
+
+def _orders_file(scratch, name, *lines):
+    path = os.path.join(scratch, name)
+    with open(path, "w", newline="") as fh:
+        fh.write("\r\n".join(lines) + "\r\n")
+    return path
+
+
+def test_columns_are_taken_by_name(spark, scratch):
+    path = _orders_file(scratch, "swapped.csv", '"User_ID ";"id_o";o_date;price', "10;1;01.02.2016;12,25")
+    assert [tuple(r) for r in load_orders(spark, path).good.collect()] == [("1", "10", decimal.Decimal("12.3"), dt.date(2016, 2, 1))]
+    for header in ("id_o;user_id;price", "id_o;user_id;price;o_date;extra", "id;user_id;price;o_date"):
+        with pytest.raises(ValueError, match="header"):
+            load_orders(spark, _orders_file(scratch, f"{len(header)}.csv", header, "1;2;3;4"))
+
+
+def test_lines_with_other_numbers_of_fields_are_rejected(spark, scratch):
+    path = _orders_file(scratch, "fields.csv", "id_o;user_id;price;o_date", "12345678;2;1,0;01.02.2016", "2;2;1,0;01.02.2016;more", "3;2;1,0", "4;2;99999999999,0;01.02.2016")
+    res = load_orders(spark, path)
+    assert [r["id_o"] for r in res.good.collect()] == ["12345678"]
+    assert res.good.count() == 1
+    assert sorted((r["reject_reason"], r["raw_line"]) for r in res.rejected.collect() if r["raw_line"]) == [
+        ("wrong number of fields", "2;2;1,0;01.02.2016;more"), ("wrong number of fields", "3;2;1,0")]
+    assert [r["id_o"] for r in res.rejected.collect() if r["reject_reason"] == "price out of range"] == ["4"]
+    raw = spark.createDataFrame([("4", "2", "99999999999,0", "01.02.2016")], "id_o string, user_id string, price string, o_date string")
+    assert parse_orders(raw, price_type="decimal(14,1)").good.count() == 1
+
+
+def test_loading_again_replaces_everything(spark, scratch):
+    from basketlens.sources.ingest import ingest_orders_table
+
+    head, good, bad = "id_o;user_id;price;o_date", "1;10;1,0;01.02.2016", "2;10;x;01.02.2016"
+    dest = os.path.join(scratch, "again")
+    counts = []
+    for i, lines in enumerate([(good, bad), (good,), (bad,)]):
+        res = ingest_orders_table(spark, _orders_file(scratch, f"load{i}.csv", head, *lines), dest)
+        counts.append((res.good.count(), res.rejected.count()))
+    assert counts == [(1, 1), (1, 0), (0, 1)]

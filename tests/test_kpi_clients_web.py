@@ -3,6 +3,8 @@
 import datetime as dt
 import decimal
 
+import pytest
+
 from basketlens.operators import (
     active_users,
     average_check,
@@ -50,7 +52,7 @@ def test_volume_and_checks(spark):
     r = order_volume(o).collect()[0]
     assert (r["number_rows"], r["unique_order_ids"], r["unique_user_ids"]) == (4, 3, 2)
     rows = {(x["year"], x["month"]): x["average"] for x in average_check(o, "row").collect()}
-    assert rows == {(2017, 1): 11.85, (2017, 2): 7.0}  # (10+20+5.56)/3 = 11.853
+    assert rows == pytest.approx({(2017, 1): 35.56 / 3, (2017, 2): 7.0})  # full, rounded by the registered query
     orders = {(x["year"], x["month"]): x["average_check"] for x in average_check(o, "order").collect()}
     assert orders == {(2017, 1): 10.28, (2017, 2): 7.0}  # checks 15.00 and 5.56
 
@@ -146,7 +148,7 @@ def test_clients(spark):
     assert per_client == {4: 70.1, 6: 80.0}
     t = transaction_totals(tx).collect()[0]
     assert (t["transactions_count"], t["transactions_sum"], t["transactions_average"]) == (
-        6, decimal.Decimal("235.10"), 39.18)
+        6, decimal.Decimal("235.10"), 235.1 / 6)
 
 
 def test_channels_golden_growth(spark):
@@ -169,3 +171,33 @@ def test_revenue_shares_sum_to_100(spark):
     rows = channel_revenue_share(sales, 2020, k=3).collect()
     assert [r["channel"] for r in rows] == ["direct", "search", "ads"]
     assert abs(sum(r["share_pct"] for r in rows) - 100) < 0.02
+
+
+def test_first_transaction_reads_odd_times(spark):
+    from basketlens.operators import first_transaction
+    from basketlens.operators.clients import unreadable_times
+
+    clients = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id_client int")
+    tx = spark.createDataFrame(
+        [(1, "2024-03-31", "9:05:00"), (2, "2024-03-31", "09:05:00.250"), (3, "2024-03-31", "02:30:00"), (3, "2024-03-31", None), (4, "2024-03-31", "soon")],
+        "id_client int, transaction_date string, transaction_time string",
+    ).selectExpr("id_client", "cast(transaction_date as date) transaction_date", "transaction_time")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        found = {r[0]: r[1] and r[1].isoformat(" ") for r in first_transaction(clients, tx).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == {1: "2024-03-31 09:05:00", 2: "2024-03-31 09:05:00.250000", 3: "2024-03-31 02:30:00", 4: None}
+    assert unreadable_times(tx).count() == 2
+
+
+def test_limit_use_at_the_threshold(spark):
+    from basketlens.operators import limit_utilisation
+
+    for percent in (7, 14, 28, 55, 56, 57, 70):
+        clients = spark.createDataFrame([(1, "100.00"), (2, "-100.00"), (3, "0.00")], "id_client int, l string").selectExpr("id_client", "cast(l as decimal(12,2)) limit_sum")
+        rows = [(1, f"{percent}.00"), (1, f"{percent}.01"), (2, f"-{percent}.00"), (2, f"-{percent}.01"), (3, "5.00")]
+        tx = spark.createDataFrame(rows, "id_client int, s string").selectExpr("id_client", "cast(s as decimal(12,2)) transaction_sum")
+        found = sorted((r["id_client"], str(r["spent"])) for r in limit_utilisation(clients, tx, percent).collect())
+        assert found == [(1, f"{percent}.01"), (2, f"-{percent}.01")]

@@ -202,3 +202,17 @@ def test_snapshot_before_all_data_is_empty(spark):
     single = sorted(tuple(r) for r in rfm_table(o, CUTOFF, JOURNEY).collect())
     assert sorted(tuple(r)[1:] for r in snaps) == single
     assert rfm_table(o, dt.date(2000, 1, 1), JOURNEY).count() == 0
+
+
+def test_revenue_without_a_user_counts_in_totals(spark):
+    from basketlens.functions.profiles import JOURNEY, RF_BASIC
+    from basketlens.operators import rfm_snapshots, rfm_table, segment_revenue_by_month
+    from tests.conftest import orders_df
+
+    o = orders_df(spark, [("1", "a", "100", "2016-01-01"), ("2", "b", "150", "2016-01-02"), ("3", None, "300", "2016-01-03"), ("4", "a", "1", "2016-02-01")])
+    shares = {r["user_id"]: r["share_of_turnover"] for r in rfm_table(o, "2017-01-01", JOURNEY).collect()}
+    assert shares == {"a": 0.18, "b": 0.27}
+    snaps = {r["user_id"]: r["share_of_turnover"] for r in rfm_snapshots(o, ["2017-01-01"], JOURNEY).collect()}
+    assert snaps == shares
+    months = [tuple(r) for r in segment_revenue_by_month(o, "2017-01-01", RF_BASIC).collect()]
+    assert sorted((m[0] or "", m[1], float(m[2]), m[3]) for m in months)[0] == ("", "1601", 300.0, 0)
