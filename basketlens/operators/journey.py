@@ -69,6 +69,7 @@ def snapshot_users(orders: DataFrame, cutoffs: Sequence[dt.date | str], unknown:
         *[F.count(F.when(F.col("first_entry") <= j, F.lit(1))).alias(f"c{j}") for j in range(k)],
         *[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)],
         *[F.max(f"d{j}").alias(f"d{j}") for j in range(k)],
+        F.count("user_id").alias("named"),
     )
     snaps = F.array(*[
         F.struct(
@@ -80,9 +81,9 @@ def snapshot_users(orders: DataFrame, cutoffs: Sequence[dt.date | str], unknown:
         )
         for j in range(k)
     ])
-    long = per_user.select("user_id", F.inline(snaps)).where(F.col("orders") > 0)
+    long = per_user.select("user_id", "named", F.inline(snaps)).where(F.col("orders") > 0)
     return long.select(
-        "snapshot", "user_id", days_between("last_date", "last_order").alias("days"), "orders", "sum_price"
+        "snapshot", "user_id", days_between("last_date", "last_order").alias("days"), "orders", "sum_price", *["named"] * unknown
     )
 
 

@@ -52,7 +52,9 @@ def user_rfm(orders: DataFrame, cutoff: DateLike | None = None, unknown: bool =
     """Per user with a positive-price order in the window:
     ``user_id, days`` (since last order), ``orders`` (distinct ids),
     ``sum_price``.  One scan, one aggregation.  ``unknown`` adds a row with a
-    NULL user for the orders without one (their revenue counts in totals)."""
+    NULL user for the orders without one (their revenue counts in totals) and
+    ``named``, 0 in that row: a test of it stays above the aggregate, so that
+    all branches share one read."""
     last = last_order_date(orders, cutoff)
     wanted = F.col("price") > 0
     if not unknown:
@@ -62,9 +64,10 @@ def user_rfm(orders: DataFrame, cutoff: DateLike | None = None, unknown: bool =
         F.max("o_date").alias("last_order"),
         F.count_distinct("id_o").alias("orders"),
         F.sum("price").alias("sum_price"),
+        F.count("user_id").alias("named"),
     )
     return per_user.select(
-        "user_id", days_between(last, "last_order").alias("days"), "orders", "sum_price"
+        "user_id", days_between(last, "last_order").alias("days"), "orders", "sum_price", *["named"] * unknown
     )
 
 
@@ -105,8 +108,9 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values:
     users with a single broadcast join.
     """
     k = list(keys)
+    counted = F.count_if(F.col("named") > 0) if "named" in scored.columns else F.count(F.lit(1))
     per_code = scored.groupBy(*k, "segment", "rfm_code").agg(
-        F.count("user_id").alias("count_by_rfm"), F.sum("sum_price").alias("code_sum")
+        counted.alias("count_by_rfm"), F.sum("sum_price").alias("code_sum")
     )
     per_group = per_code.groupBy(*k, "segment").agg(F.sum("count_by_rfm").alias("count_by_group"))
     lookup = per_code.join(per_group, [*k, "segment"])
@@ -119,7 +123,7 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values:
     else:
         overall = per_code.agg(F.sum("code_sum")).scalar()
     lookup = lookup.select(*k, "segment", "rfm_code", "count_by_rfm", "count_by_group", *extra)
-    users = scored.where(F.col("user_id").isNotNull())
+    users = scored.where(F.col("named") > 0) if "named" in scored.columns else scored
     joined = users.join(bounded_broadcast(lookup, MAX_SCORE_CODES * key_values), [*k, "segment", "rfm_code"])
     return joined.select(
         *k,
