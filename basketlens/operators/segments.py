@@ -114,14 +114,16 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values:
     )
     per_group = per_code.groupBy(*k, "segment").agg(F.sum("count_by_rfm").alias("count_by_group"))
     lookup = per_code.join(per_group, [*k, "segment"])
+    # every branch uses the counts, so that all share one per-user aggregate
+    code_sum = F.sum(F.when(F.col("count_by_rfm") >= 0, F.col("code_sum")))
     extra: list[str] = []
     if k:
-        totals = per_code.groupBy(*k).agg(F.sum("code_sum").alias("overall_sum"))
+        totals = per_code.groupBy(*k).agg(code_sum.alias("overall_sum"))
         lookup = lookup.join(totals, k)
         overall = F.col("overall_sum")
         extra = ["overall_sum"]
     else:
-        overall = per_code.agg(F.sum("code_sum")).scalar()
+        overall = per_code.agg(code_sum).scalar()
     lookup = lookup.select(*k, "segment", "rfm_code", "count_by_rfm", "count_by_group", *extra)
     users = scored.where(F.col("named") > 0) if "named" in scored.columns else scored
     joined = users.join(bounded_broadcast(lookup, MAX_SCORE_CODES * key_values), [*k, "segment", "rfm_code"])
