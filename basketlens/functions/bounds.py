@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 1_000_000
 
-# Bounds used by the operators.
-MAX_SCORE_CODES = 6 ** 3  # r, f, m scores 0..5
+# Bound used by the operators; that of score codes is RfmProfile.max_codes.
 MAX_CALENDAR_YEARS = 10_000  # four-digit years
 
 

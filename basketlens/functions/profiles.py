@@ -38,6 +38,13 @@ class RfmProfile:
     segments: tuple[SegmentList, ...]
     default_segment: str = UNDEFINED
 
+    def max_codes(self) -> int:
+        """Most codes the bands can give: distinct scores of each, the default 0 included."""
+        n = 1
+        for rules in (self.r_rules, self.f_rules, self.m_rules):
+            n *= len({0, *(rule.score for rule in rules)})
+        return n
+
     def segment_of(self, code: str) -> str:
         for seg in self.segments:
             if code in seg.codes:

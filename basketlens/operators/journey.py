@@ -103,7 +103,7 @@ def rfm_snapshots(
     snapshot).  Write it with ``sources.write_snapshots``."""
     n_snapshots = len(_sorted_cutoffs(cutoffs))
     scored = score_rfm(snapshot_users(orders, cutoffs, unknown=True), profile)
-    return with_group_counts(scored, keys=("snapshot",), key_values=n_snapshots)
+    return with_group_counts(scored, keys=("snapshot",), key_values=n_snapshots, profile=profile)
 
 
 def segment_sizes(snapshots: DataFrame, groups: Sequence[str] | None = None) -> DataFrame:

@@ -37,12 +37,14 @@ def order_period_rows(orders: DataFrame) -> DataFrame:
 
 
 def order_volume(orders: DataFrame) -> DataFrame:
-    """Rows, distinct order ids and distinct users, in one pass."""
-    return orders.agg(
-        F.count(F.lit(1)).alias("number_rows"),
-        F.count_distinct("id_o").alias("unique_order_ids"),
-        F.count_distinct("user_id").alias("unique_user_ids"),
-    )
+    """Rows, distinct order ids and distinct users.
+
+    Each distinct count reads its own column; both in one aggregate would
+    repeat every row per counted column.
+    """
+    users = orders.agg(F.count_distinct("user_id").alias("users")).scalar()
+    volume = orders.agg(F.count(F.lit(1)).alias("number_rows"), F.count_distinct("id_o").alias("unique_order_ids"))
+    return volume.select("number_rows", "unique_order_ids", users.alias("unique_user_ids"))
 
 
 def average_check(orders: DataFrame, level: Literal["row", "order"] = "order") -> DataFrame:

@@ -19,7 +19,7 @@ from basketlens.functions.bands import score
 from basketlens.functions.calendar import as_date, days_between, period_label
 from basketlens.functions.numeric import round_money, safe_ratio
 from basketlens.functions.profiles import JOURNEY, RF_BASIC, RfmProfile, RfProfile
-from basketlens.functions.bounds import MAX_SCORE_CODES, bounded_broadcast
+from basketlens.functions.bounds import bounded_broadcast
 
 DateLike = dt.date | str
 
@@ -94,7 +94,9 @@ def rfm_scores(orders: DataFrame, cutoff: DateLike | None = None, profile: RfmPr
     return score_rfm(user_rfm(orders, cutoff), profile)
 
 
-def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values: int = 1) -> DataFrame:
+def with_group_counts(
+    scored: DataFrame, keys: tuple[str, ...] = (), key_values: int = 1, profile: RfmProfile = JOURNEY
+) -> DataFrame:
     """Attach ``count_by_rfm``, ``count_by_group`` and ``share_of_turnover``.
 
     Each row gets its code's and its segment's user count (every row, not
@@ -103,9 +105,9 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values:
     without a user counts in that total only and is not returned.
 
     All three come from one small lookup grouped by (keys, segment, code):
-    at most 6^3 codes per key value (``key_values`` of them, e.g. the
-    number of snapshots) whatever the number of users, joined back to the
-    users with a single broadcast join.
+    at most the codes of ``profile`` (the one of ``scored``) per key value
+    (``key_values`` of them, e.g. the number of snapshots) whatever the
+    number of users, joined back to the users with a single broadcast join.
     """
     k = list(keys)
     counted = F.count_if(F.col("named") > 0) if "named" in scored.columns else F.count(F.lit(1))
@@ -126,7 +128,7 @@ def with_group_counts(scored: DataFrame, keys: tuple[str, ...] = (), key_values:
         overall = per_code.agg(code_sum).scalar()
     lookup = lookup.select(*k, "segment", "rfm_code", "count_by_rfm", "count_by_group", *extra)
     users = scored.where(F.col("named") > 0) if "named" in scored.columns else scored
-    joined = users.join(bounded_broadcast(lookup, MAX_SCORE_CODES * key_values), [*k, "segment", "rfm_code"])
+    joined = users.join(bounded_broadcast(lookup, profile.max_codes() * key_values), [*k, "segment", "rfm_code"])
     return joined.select(
         *k,
         "segment",
@@ -150,7 +152,7 @@ def rfm_table(orders: DataFrame, cutoff: DateLike | None = None, profile: RfmPro
     order before it, rows strictly before the last date (so ``days >= 1``);
     the turnover total uses the same rows, those without a user included.
     """
-    return with_group_counts(score_rfm(user_rfm(orders, cutoff, unknown=True), profile))
+    return with_group_counts(score_rfm(user_rfm(orders, cutoff, unknown=True), profile), profile=profile)
 
 
 def rfm_code_counts(scored: DataFrame) -> DataFrame:

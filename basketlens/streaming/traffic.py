@@ -15,8 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.session import checkpoint_dir
-
 
 def daily_traffic_stream(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Streaming ``(day, users)`` from a streaming frame with ``ts, user_id``.
@@ -57,10 +55,18 @@ def start_daily_traffic(
 
     The checkpoint (offsets and state) defaults to a folder under the
     shared ``spark.checkpoint.dir``, so a restarted query resumes where it
-    stopped, on any machine.
+    stopped, on any machine.  Without that setting the path must be given: a
+    restarted query would not find the state in a scratch folder.
+
+    The days still open under the watermark are not in the table yet, and
+    events later than ``lateness`` are not counted; Spark counts those in
+    ``StreamingQuery.lastProgress`` (``numRowsDroppedByWatermark``).
     """
     if checkpoint_path is None:
-        checkpoint_path = f"{checkpoint_dir(events.sparkSession).rstrip('/')}/streams/daily_traffic"
+        shared = events.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not shared:
+            raise ValueError("give checkpoint_path or set spark.checkpoint.dir to a shared folder")
+        checkpoint_path = f"{shared.rstrip('/')}/streams/daily_traffic"
     writer = (
         daily_traffic_stream(events, lateness)
         .writeStream.format("parquet")

@@ -90,3 +90,13 @@ def test_spark_score_matches_python(spark):
     for rules in (JOURNEY.r_rules, MARKET.r_rules, JOURNEY.f_rules, MARKET.f_rules):
         got = {r["v"]: r["s"] for r in df.select("v", score("v", rules).alias("s")).collect()}
         assert all(got[v] == score_value(v, rules) for v in values)
+
+
+def test_broadcast_bound_follows_the_profile():
+    from dataclasses import replace
+
+    from basketlens.functions.bands import equal
+
+    assert JOURNEY.max_codes() == 6**3
+    wide = replace(JOURNEY, r_rules=tuple(equal(i, i) for i in range(1, 1000)))
+    assert wide.max_codes() == 1000 * 36

@@ -1,5 +1,7 @@
 """Incremental daily traffic equals the batch table for every closed day."""
 
+import pytest
+
 from basketlens.sources.tables import daily_traffic
 from basketlens.streaming.traffic import start_daily_traffic
 from tests.conftest import SMALL
@@ -20,6 +22,14 @@ def test_stream_matches_batch(spark, scratch):
     assert max(got) < max(expected)
 
 
+def test_stream_without_a_shared_folder_needs_a_path(spark, scratch, monkeypatch):
+    monkeypatch.setattr("pyspark.conf.SparkConf.get", lambda self, key, default=None: default)
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{SMALL}")
+    with pytest.raises(ValueError, match="checkpoint"):
+        start_daily_traffic(stream, f"{scratch}/out")
+
+
 def test_snapshot_report_reads_back_stored_table(spark, scratch):
     import datetime as dt
 
@@ -41,11 +51,12 @@ def test_snapshot_report_reads_back_stored_table(spark, scratch):
 
 def test_command_line(spark, scratch, capsys):
     from basketlens.__main__ import main
+    from basketlens.plans import oracle_sql
 
     assert main(["list"]) == 0
     assert "rfm_snapshots" in capsys.readouterr().out
     assert main(["sql", "paying_users"]) == 0
-    assert "COUNT(DISTINCT user_id)" in capsys.readouterr().out
+    assert capsys.readouterr().out.strip() == oracle_sql()["paying_users"].strip()
     assert main(["run", "nope", "--data", SMALL]) == 2
     out = f"{scratch}/weekday"
     assert main(["run", "traffic_by_weekday", "--data", SMALL, "--out", out, "--master", "local[2]"]) == 0
