@@ -289,8 +289,9 @@ def _dedup(docs: DataFrame, window: int, output, schema: str | StructType) -> Da
     chunks = max(64, math.ceil(total / CHUNK_BYTES))
     ranges = max(64, math.ceil(total / 6 / RANGE_WINDOWS))
     cells = CELLS_PER_WINDOW * max(1, math.ceil(total / 6 / ranges))
-    chunk = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(chunks)).cast("int")
-    by_chunk = docs.withColumns({"key": F.xxhash64("doc_id", "text"), "chunk": chunk}).groupBy("chunk")
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    # by id and text, so that rows without an id are spread too
+    by_chunk = keyed.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(chunks)).cast("int")).groupBy("chunk")
     told = by_chunk.applyInArrow(lean_group(_sketch(window, ranges, cells)), _TOLD).groupBy("rng").applyInArrow(lean_group(_merge), _TOLD)
     found = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(lean_cogroup(_candidates(window, ranges, cells)), _FOUND)
     goes = found.groupBy("rng").applyInArrow(lean_group(_exact), _GOES)
