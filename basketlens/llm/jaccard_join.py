@@ -14,7 +14,9 @@ are linked if the Jaccard similarity of their shingle sets is at least
 3. In a bucket, the values of a pair are compared ``STEP`` at a time.  After
    m equal ones of k, the similarity has (with a uniform prior) a
    Beta(m + 1, k - m + 1) distribution; the pair is dropped as soon as its
-   chance to reach the threshold is below ``TOLERANCE``.
+   chance to reach the threshold is below ``TOLERANCE``.  One byte of each
+   value is compared, so different values are equal in one of 256 cases: a
+   few more pairs go on, none is dropped sooner.
 4. What survives is gathered into candidate groups (components), and in a
    group the exact similarity of all pairs is computed from the shingles.
 
@@ -112,6 +114,8 @@ def _sign(n: int):
                     with np.errstate(over="ignore"):
                         both[i] = mix(own, 1).sum(dtype=U), mix(own, 2).sum(dtype=U)
                 sig = minhashes(hashes, first)
+                # all low bytes, then all high bytes
+                sig = np.concatenate([(sig & 0xFF).astype(np.uint8), (sig >> 8).astype(np.uint8)], axis=1)
                 yield pa.RecordBatch.from_arrays([
                     part["doc_id"], part["key"], pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64)),
                     pa.array(size), pa.array([x.tobytes() for x in sig], pa.binary()),
@@ -175,7 +179,7 @@ def _prune(threshold: float):
         for table in _whole_groups(batches, ["bucket", "lo", "hi"]):
             starts = group_starts(table, ["bucket", "lo", "hi"])
             sizes = np.diff(np.append(starts, table.num_rows))
-            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
             cross = table["lo"].to_numpy() != table["hi"].to_numpy()
             a, b = [], []
             for i, j in _pairs(starts, sizes, table["block"].to_numpy(), cross):
@@ -274,11 +278,12 @@ def similar_documents(documents: DataFrame, n: int = SHINGLE, threshold: float =
     classes = checkpoint(classes.select("s1", "s2", "copies", "sig", F.col("of.own").alias("node"), F.col("of.key").alias("key"), F.col("of.doc_id").alias("doc_id")))
 
     rows = rows_a_band(threshold)
-    band, width = F.explode(F.sequence(F.lit(0), F.lit(HASHES // rows - 1))), 2 * rows
-    keyed = classes.select("node", "sig", band.alias("band")).select("node", F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"))
+    band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // rows - 1)))
+    values = [F.expr(f"substring(sig, {plane * HASHES} + band * {rows} + 1, {rows})") for plane in (0, 1)]
+    keyed = classes.select("node", "sig", band.alias("band")).select("node", F.xxhash64("band", *values).alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = keyed.join(sizes, "bucket")
-    met = _blocked(met, "size", "bucket").join(classes.select("node", "sig"), "node")
+    met = _blocked(met, "size", "bucket").join(classes.select("node", F.expr(f"substring(sig, 1, {HASHES})").alias("sig")), "node")
     met = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
     edges = met.mapInArrow(lean_map(_prune(threshold)), "a long, b long")
     groups = components(edges)
