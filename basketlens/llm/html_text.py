@@ -11,9 +11,11 @@ The tables of the potentials are counted on labelled pages: HTML in which
 content elements carry ``data-content``.  ``labelled_pages`` makes a bounded
 set of them (``LABELLED_PAGES``) in many layouts; own pages may be given.
 
-Scripts, styles, templates, head and comments never give text.  Character
-references are decoded; white space inside a block becomes one space; blocks
-are joined by newlines in page order.
+Scripts, styles, templates, head (with its title) and comments never give
+text; all else may.  A head without its end tag ends where something starts
+that may not stand in a head: an element or plain text.  Character references
+are decoded; white space inside a block becomes one space; blocks are joined
+by newlines in page order.
 
 Nulls: a null html is empty, and an empty page has empty text; other nulls
 stay.  Repeated rows are extracted each.  An empty table gives no rows.
@@ -39,7 +41,11 @@ MARK = "data-content"
 
 # Fixed values of HTML: elements without an end, without text, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style head template noscript svg math iframe object canvas audio video title".split())
+SILENT = frozenset("script style head template title".split())
+# What may stand in an open head; the start of anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
+FOREIGN = frozenset("svg math".split())  # "/>" ends any element in these
+EMBEDS = FOREIGN | frozenset("noscript iframe object canvas audio video".split())  # may hold text and blocks
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul button select textarea label option".split()
@@ -107,12 +113,14 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("html", "none", -1, False)]
         self.open: list[tuple[str, int]] = []  # (tag, node, or -1 for what is no block)
-        self.silent = self.links = 0
+        self.silent = self.links = self.foreign = 0
         self.at = 0
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.silent and tag not in IN_HEAD:
+            self._end({"head"}, frozenset({"template"}))
         if tag in VOID:
             self._text(" ")
             return
@@ -122,10 +130,11 @@ class Tree(HTMLParser):
             self._end(set(ENDS[tag]), BOUNDS)
         self.silent += tag in SILENT
         self.links += tag == "a"
+        self.foreign += tag in FOREIGN
         kind = keyword(attrs)
         node = -1
         # an inline element that is called an advert or the like is a block of its own
-        if not self.silent and (tag in BLOCKS or kind not in ("none", "content", "meta", "head")) and tag not in ("html", "body", "a"):
+        if not self.silent and (tag in BLOCKS or (kind not in ("none", "content", "meta", "head") and not self.foreign)) and tag not in ("html", "body", "a"):
             node = len(self.nodes)
             self.nodes.append(Node(tag, kind, self.at, any(a == MARK for a, _ in attrs)))
             self.nodes[self.at].parts.append(node)
@@ -134,13 +143,13 @@ class Tree(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in SILENT | {"a"}:
+        if tag not in VOID and (self.foreign or tag in SILENT | EMBEDS | {"a"}):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID or tag in ("html", "body"):
             return
-        if tag in BLOCKS or tag in SILENT:
+        if tag in BLOCKS | SILENT | EMBEDS:
             self._end({tag}, frozenset())
         else:  # an inline end does not end a block
             self._end({tag}, BLOCKS)
@@ -152,6 +161,7 @@ class Tree(HTMLParser):
                 for tag, node in self.open[k:]:
                     self.silent -= tag in SILENT
                     self.links -= tag == "a"
+                    self.foreign -= tag in FOREIGN
                     if node >= 0:
                         self.at = min(self.at, self.nodes[node].parent)
                 del self.open[k:]
@@ -160,6 +170,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.open[-1][0] in ("head", "noscript") and data.strip():
+            self._end({"head"}, frozenset({"template"}))
         if not self.silent:
             self._text(data)
 

@@ -78,3 +78,21 @@ def test_whole_table(spark, potentials):
         article = p.html[p.html.index("<article>") : p.html.index("</article>")]
         assert r.text.split() == main_text(f"<article>{article}</article>", potentials).split()
         assert r.text.count("\n") + 1 >= article.count("</p>")
+
+
+def test_optional_tags_left_out(potentials):
+    whole = main_text(PAGE, potentials)
+    for gone in (["</head>"], ["</head>", "<body>"], ["</head>", "<body>", "</p>", "</body></html>"], ["<html>", "<head>", "</head>", "<body>"]):
+        page = PAGE
+        for tag in gone:
+            # not the </p> that is in the script
+            page = page.replace('"</p>"', "0").replace(tag, "")
+        assert main_text(page, potentials) == whole, gone
+    head = "<!DOCTYPE html><head><meta charset=utf-8><title>T</title><noscript><link rel=x><style>p{}</style></noscript><template><p>never</p></template>"
+    for start in ("<body>", "", "<p>", "<noscript><img src=x></noscript><style>q{}</style>"):
+        assert main_text(f"{head}{start}Plain words and some more of them here.", potentials) == "Plain words and some more of them here."
+
+
+def test_embedded_text_stays(potentials):
+    inside = "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is <object>the first <b>word</b></object> of <noscript>it all</noscript>, <svg class='share'><path class='menu'/><text>drawn</text></svg> here.<noscript><p>A second block of words.</noscript>"
+    assert main_text(f"<article>{inside}<p>The end of it.</article>", potentials) == "So x=2 is the first word of it all, drawn here.\nA second block of words.\nThe end of it."
