@@ -1,8 +1,11 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is split into sentences (at ``. ! ?`` before white space and at empty
-lines) and each sentence that spans lines into its lines as well.  A
-sentence is normalised to lower-case ASCII words, and its place in the list
+A text is split into sentences and each sentence that spans lines into its
+lines as well.  A sentence ends at ``. ! ?`` before white space, at a line
+without letters and digits (empty, or comment marks only), before and after a
+copyright line, at a URL, and at a colon before a numbered item; comment marks
+that are words (``dnl``, ``REM``) go first.  No known sentence holds one of
+these ends, so they lose none.  A sentence is normalised to lower-case ASCII words, and its place in the list
 of known sentences is its identifier.  The identifiers of a text, in order,
 are matched against the rules, longest rule first; an identifier used by one
 rule is not used by another.
@@ -102,6 +105,17 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 # Each known sentence holds one of these (lower case).
 ANCHORS = ("licen", "permi", "copyright", "warrant", "redistribut", "liable", "free software")
 
+# Ends of sentences but for . ! ?: pattern and what takes its place, in order.
+ENDS: list[tuple[str, str]] = [
+    (r"(?m)^[ \t]*(?:dnl|REM)(?:[ \t]+|$)", ""),
+    (r"(?i)\b(?:https?|ftp)://[^\s]+", "\n\n"),
+    (r"([.!?])[ \t\r\n]+", "$1\n\n"),
+    # not a wrapped line that begins with "copyright notice" or "copyright holders"
+    (r"(?im)^([ \t\p{Punct}]*(?:copyright(?![a-z])(?![ \t]*\r?$)(?![ \t]+(?:notice|holders?)\b)|\(c\)[ \t]*[0-9]{4}|\u00a9|spdx-filecopyrighttext|all rights reserved)[^\r\n]*)", "\n\n$1\n\n"),
+    (r":[ \t\r]*\n([ \t\p{Punct}]*[0-9]{1,2}[.)]\s)", ":\n\n$1"),
+    (r"(?m)^[ \t]*\p{Punct}+[ \t\r]*$", ""),
+]
+
 
 def ordered_rules() -> list[tuple[str, str]]:
     """(licence, identifiers as text) of the rules, longest first, as listed among equals."""
@@ -128,7 +142,9 @@ def scan(documents: DataFrame) -> DataFrame:
     worth = F.lit(False)
     for anchor in ANCHORS:
         worth = worth | lower.contains(anchor)
-    marked = F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n\n")
+    marked = text
+    for end, instead in ENDS:
+        marked = F.regexp_replace(marked, F.lit(end), F.lit(instead))
     sentences = F.split(marked, r"\n[ \t\r]*\n")
     # a sentence over several lines, then each of its lines
     units = F.flatten(F.transform(sentences, lambda s: F.when(s.contains("\n"), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))))
@@ -150,7 +166,11 @@ def scan(documents: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for ``scan`` over the view ``documents``: sentences as rows, rules as folded replacements."""
+    """DuckDB SQL for ``scan`` over the view ``documents``: sentences as rows, rules as folded replacements.
+
+    It ends sentences at ``. ! ?`` and empty lines only, so it finds less than
+    ``scan`` where one of the other ends stands in a notice.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({i}, {quote(n)}, {quote(s)})" for i, (n, s) in enumerate(SENTENCES.items(), 1))
     left = "coalesce(k.ids, '')"

@@ -75,3 +75,75 @@ def test_whole_table_and_plan(spark):
     assert len(found) == 1000 and sum(bool(r[1]) for r in found.values()) > 10
     plan = scan(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Python", "Arrow", "Join"))
+
+
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD = """Copyright (c) 2020, Somebody
+All rights reserved
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the
+   copyright holder nor the names of its contributors may be used to endorse or
+   promote products derived from this software without specific prior written
+   permission.
+"""
+GPL3 = """Copyright (C) 2020 Somebody
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_headers_in_comments(spark):
+    heads = {"Apache-2.0": APACHE, "MIT": MIT, "BSD-3-Clause": BSD, "GPL-3.0-or-later": GPL3}
+    marks = ["", "# ", " * ", "// ", "; ", "-- ", "dnl ", "REM "]
+    rows, want = [], {}
+    for licence, head in heads.items():
+        for mark in marks:
+            for end in ("\n", "\r\n"):
+                for dense in (False, True)[: 1 + (licence != "MIT")]:  # its paragraphs end in a colon
+                    lines = ["/*"] * (mark == " * ") + [(mark + x).rstrip() for x in head.split("\n") if x or not dense] + [" */"] * (mark == " * ") + ["int x;"]
+                    want[len(rows)] = (licence, mark, end, dense)
+                    rows.append((len(rows), end.join(lines)))
+    found = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in want.items() if found[k].licenses != v[0] or found[k].n_unruled} == {}
+    assert len({r.sentence_ids for r in found.values()}) == len(heads)
+
+
+def test_notice_after_copyright_line(spark):
+    notices = {
+        "Copyright 2020 Foo\nReleased under the\nMIT License": "MIT", "(c) 2020 Foo\nLicensed under the\nApache License, Version 2.0": "Apache-2.0", "# Copyright Foo\n# Licensed under\n# the MIT License.": "MIT",
+        "x y.\nLicensed under the\nMIT License\nhttps://opensource.org/licenses/MIT\nx": "MIT", "Copyright 2020 Foo. Licensed under the\nMIT License.": "MIT", "Copyrighted work\nx": "",
+        "This work is licensed under the GNU General Public License, version\n3. More": "GPL-3.0-only",
+    }
+    found = {r.doc_id: r.licenses for r in scan(spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(notices.values()))
