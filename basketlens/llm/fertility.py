@@ -12,7 +12,19 @@ lies outside the band of its kind.  A kind is the script of most of its
 letters and a size class (tokens, by powers of 4).  A band reaches from the
 lower quartile of the kind less ``REACH`` quartile distances to the upper
 one plus as many, and a ``SLACK`` more; it is made from all documents that
-pass the base rules.  Quartiles are Spark's, to a rank error of 1/1000.
+pass the base rules.  So that bad documents don't widen it,
+
+* a source (a column ``source``, if there is one, in ``SOURCES`` groups) counts
+  in a kind as many documents as the middle one of its sources, at most;
+* the quartiles are those of the core: what lies within ``REACH`` half lengths
+  (and the slack) of the middle of the shortest interval with half of the kind.
+  A third of a kind, so counted, may be bad and far out without being in it.
+
+A kind with fewer than ``LEAST_KIND`` documents, so counted, is held against
+the nearest size classes of its script together, until they have as many; a
+script that has fewer in all, and texts without a letter, against those of all
+scripts.  Distributions are ``GRID`` quantiles by kind and group of sources,
+Spark's, to a rank error of 1/1000.
 
 Nulls: a null text has no words (base_failed); a null doc_id stays.  Repeated
 rows are judged each.  An empty table gives no rows.
@@ -24,6 +36,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +50,14 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent
 WINDOW = 5
 REACH = 4.0
+LEAST_KIND = 20
+SOURCES = 32
+GRID = 41
 SLACK = {"chars_per_token": 0.5, "byte_share": 0.05, "entropy": 1.0}
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
-_MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
+_MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string, sources int"
 
 _SCRIPTS: dict[int, int] = {}
 _NAMES: list[str] = ["none"]
@@ -121,34 +137,72 @@ def _measure(model: str):
                 yield pa.RecordBatch.from_arrays([
                     part["doc_id"], pa.array(words.counts, pa.int64()), pa.array(chars, pa.int64()), pa.array(np.diff(symbols), pa.int64()),
                     pa.array(repeats(line_text, line_key, n), pa.int64()), pa.array(repeated_words(words), pa.int64()), pa.array(tokens, pa.int64()),
-                    pa.array(chars / some), pa.array(np.bincount(text, single[ids], minlength=n) / some), pa.array(token_entropy(ids, text, n)), pa.array(scripts(part["text"]), pa.string()),
+                    pa.array(chars / some), pa.array(np.bincount(text, single[ids], minlength=n) / some), pa.array(token_entropy(ids, text, n)), pa.array(scripts(part["text"]), pa.string()), part["sources"],
                 ], names=[f.split()[0] for f in _MEASURED.split(", ")])
 
     return run
 
 
+def band(values: np.ndarray, weights: np.ndarray, slack: float) -> tuple[float, float]:
+    """Quartiles of the core of weighted values, less and plus REACH quartile distances and the slack."""
+    order = np.argsort(values, kind="stable")
+    x, upto = values[order], np.cumsum(weights[order])
+    half = np.searchsorted(upto, upto - weights[order] + upto[-1] / 2 - 1e-9 * upto[-1])
+    at = np.flatnonzero(half < len(x))
+    k = at[np.argmin(x[half[at]] - x[at])]
+    middle, length = (x[half[k]] + x[k]) / 2, (x[half[k]] - x[k]) / 2
+    core = np.abs(x - middle) <= REACH * length + slack
+    x, upto = x[core], np.cumsum(weights[order][core])
+    low, high = x[np.searchsorted(upto, [0.25 * upto[-1], 0.75 * upto[-1]])]
+    reach = REACH * (high - low) + slack
+    return float(low - reach), float(high + reach)
+
+
+def bands(cells: pd.DataFrame) -> list[tuple]:
+    """(script, size class, edges of each measure) from (script, size_class, sources, n, GRID quantiles of each measure)."""
+    cells = cells.copy()
+    most = cells.groupby(["script", "size_class"])["n"].transform(lambda n: max(np.sort(n)[len(n) // 2], LEAST_KIND // 2))
+    cells["weight"] = np.minimum(cells["n"], most)
+    lettered = cells[cells["script"] != "none"]
+    everything = lettered if len(lettered) else cells
+    out = []
+    for script, size in sorted(set(zip(cells["script"], cells["size_class"], strict=True))):
+        own = everything if script == "none" else cells[cells["script"] == script]
+        if own["weight"].sum() < LEAST_KIND:
+            own = everything
+        far = (own["size_class"] - size).abs()
+        near = next((d for d in sorted(set(far)) if own.loc[far <= d, "weight"].sum() >= LEAST_KIND), far.max())
+        own = own[far <= near]
+        weights = np.repeat(own["weight"].to_numpy(float) / GRID, GRID)
+        edges = [e for m, slack in SLACK.items() for e in band(np.concatenate(own[m].to_list()), weights, slack)]
+        out.append((script, int(size), *edges))
+    return out
+
+
 def judge(documents: DataFrame, model: str) -> DataFrame:
     """Base counts, fertility, script, base_failed and kept of each document.
 
     ``model``: file of a ``sentencepiece`` model with byte fallback.
     """
-    ship(documents.sparkSession)
-    docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = documents.sparkSession
+    ship(spark)
+    source = ["source"] if "source" in documents.columns else []
+    docs = pick(documents, "doc_id", "text", *source)
+    group = F.pmod(F.xxhash64("source"), F.lit(SOURCES)) if source else F.lit(0)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", group.cast("int").alias("sources"))
     measured = docs.mapInArrow(lean_map(_measure(model)), _MEASURED)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = checkpoint(measured.withColumns({"base_failed": failed, "size_class": F.floor(F.log(4.0, F.greatest("n_tokens", F.lit(1)))).cast("int")}))
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in SLACK]
-    # one row for each script and size class: a few hundred at most
-    bands = measured.where(~F.col("base_failed")).groupBy("script", "size_class").agg(*quartiles)
-    edges = {}
-    for m, slack in SLACK.items():
-        reach = REACH * (F.col(m)[1] - F.col(m)[0]) + slack
-        edges |= {f"{m}_from": F.col(m)[0] - reach, f"{m}_to": F.col(m)[1] + reach}
-    bands = bands.withColumns(edges).drop(*SLACK)
+    grid = [(i + 0.5) / GRID for i in range(GRID)]
+    quantiles = [F.percentile_approx(m, grid, 1000).alias(m) for m in SLACK]
+    # one row for each script, size class and group of sources: a few thousand at most
+    cells = measured.where(~F.col("base_failed")).groupBy("script", "size_class", "sources").agg(F.count("*").alias("n"), *quantiles).toPandas()
+    edges = ", ".join(f"{m}_from double, {m}_to double" for m in SLACK)
+    edged = spark.createDataFrame(bands(cells) if len(cells) else [], f"script string, size_class int, {edges}")
     inside = F.lit(True)
     for m in SLACK:
         inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_from"), F.col(f"{m}_to")), F.lit(True))
-    joined = measured.join(F.broadcast(bands), ["script", "size_class"], "left")
+    joined = measured.join(F.broadcast(edged), ["script", "size_class"], "left")
     return joined.withColumn("kept", ~F.col("base_failed") & inside).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "script"
     )

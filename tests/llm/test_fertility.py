@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -64,3 +65,33 @@ def test_bands_reject_what_is_unlike_the_rest(spark, odd):
     labels = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()}
     clean = [found[i] for i in labels if not found[i].base_failed]
     assert sum(r.kept for r in clean) / len(clean) > 0.99
+
+
+def test_bands_hold_against_a_bad_third(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    kinds = Counter(int(math.log(r.n_tokens, 4)) for r in judge(docs, MODEL).collect() if not r.base_failed)
+    emoji = lambda i: " ".join("".join(chr(0x1F300 + (7 * k + 13 * i + 31 * j) % 200) for j in range(3)) for k in range(30 + i % 7))
+    few = lambda i: " ".join(random.Random(i).choices(["x", "xx", "xq", "qx", "q", "xqx", "qxq"], k=90 + i % 20))
+    for junk in (emoji, few):
+        size = int(math.log(judge(spark.createDataFrame([(0, "a normal text " + junk(0))], "doc_id long, text string"), MODEL).first().n_tokens, 4))
+        # a third of the kind without sources; most of it, from one source
+        for share, columns in ((0.34, ["doc_id", "text"]), (0.7, ["doc_id", "text", "source"])):
+            n = int(kinds[size] * share / (1 - share))
+            bad = spark.createDataFrame([(10**6 + i, "a normal text " + junk(i), "bad") for i in range(n)], "doc_id long, text string, source string")
+            found = judge(docs.union(bad).select(columns), MODEL).collect()
+            bad_found = [r for r in found if r.doc_id >= 10**6 and not r.base_failed]
+            good = [r for r in found if r.doc_id < 10**6 and not r.base_failed]
+            assert len(bad_found) > 0.9 * n > 20 and not any(r.kept for r in bad_found), (junk(0)[:20], share)
+            assert sum(r.kept for r in good) / len(good) > 0.99
+
+
+def test_rare_kinds_are_judged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [
+        (10**6, "a normal text " + " ".join("".join(chr(0x1F300 + (k + j * j) % 200) for j in range(1 + k % 5)) + str(k) for k in range(30000))),  # alone in its size class
+        (10**6 + 1, " ".join(chr(0x1F300 + k % 200) + str(k) for k in range(100))),  # no letter
+        (10**6 + 2, " ".join(chr(0x1200 + k % 300) * (1 + k % 3) for k in range(200))),  # the one text of its script
+    ]
+    found = {r.doc_id: r for r in judge(docs.union(spark.createDataFrame(rows, "doc_id long, text string")), MODEL).collect()}
+    assert [found[10**6 + i].script for i in range(3)] == ["latin", "none", "ethiopic"]
+    assert not any(found[10**6 + i].base_failed or found[10**6 + i].kept for i in range(3))
