@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketlens.llm import decontaminate, fertility, html_text, jaccard_join, language_id, licenses, packing, quality, substring_dedup, token_counts
+from basketlens.llm import byte_bpe, decontaminate, fertility, html_text, jaccard_join, language_id, licenses, packing, quality, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +56,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_best_fit_packing, op4_html_extraction, op5_token_counts,
-        op6_quality_classifier, op7_substring_dedup, op8_license_scan, op9_language_id, op10_quality_rules,
+        op6_quality_classifier, op7_substring_dedup, op8_license_scan, op9_language_id, op10_quality_rules, op11_byte_bpe,
     )
 }
 
