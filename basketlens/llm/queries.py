@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import byte_bpe, decontaminate, fertility, html_text, jaccard_join, language_id, licenses, packing, quality, substring_dedup, token_counts
+from basketlens.llm import byte_bpe, decontaminate, divergence, fertility, html_text, jaccard_join, language_id, licenses, packing, quality, substring_dedup, token_counts, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,13 +62,22 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(encoded, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_best_fit_packing, op4_html_extraction, op5_token_counts,
-        op6_quality_classifier, op7_substring_dedup, op8_license_scan, op9_language_id, op10_quality_rules, op11_byte_bpe,
+        op6_quality_classifier, op7_substring_dedup, op8_license_scan, op9_language_id, op10_quality_rules, op11_byte_bpe, op12_source_divergence_audit,
+        op13_embedding_whitening,
     )
 }
 
 # DuckDB SQL where it can express an operator.
-ORACLE_SQL: dict[str, str] = {"op8_license_scan": licenses.scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_license_scan": licenses.scan_sql(), "op12_source_divergence_audit": divergence.audit_sql()}

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketlens.session import checkpoint_dir
 
@@ -105,3 +106,24 @@ def lean_cogroup(run: Callable) -> Callable:
         return out
 
     return two
+
+
+FAN = 32
+
+
+def combined(parts: DataFrame, partitions: int, join: Callable[[list[bytes]], bytes]) -> bytes | None:
+    """All rows of a frame (part binary) joined, ``FAN`` parts at a time; None without a row.
+
+    ``partitions``: of the frame, each with one row at most.  No task and not
+    the driver ever holds more than ``FAN`` parts, however many there are.
+    """
+
+    def level(table: pa.Table) -> pa.Table:
+        return pa.table({"key": table["key"].slice(0, 1), "part": pa.array([join(table["part"].to_pylist())], pa.binary())})
+
+    rows = parts.select(F.spark_partition_id().cast("long").alias("key"), "part")
+    while partitions > FAN:
+        partitions = -(-partitions // FAN)
+        rows = rows.groupBy((F.col("key") % partitions).alias("key")).applyInArrow(lean_group(level), "key long, part binary")
+    found = [bytes(r.part) for r in rows.select("part").collect()]
+    return join(found) if found else None
