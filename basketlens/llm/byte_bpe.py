@@ -7,7 +7,9 @@ the smallest rank below it, the leftmost of equals, so the root is the next
 merge.  A merge changes three leaves (the merged token, its left neighbour,
 the token that is gone), each by a walk towards the root that ends where
 nothing changes.  A match of n bytes thus takes O(n log n) steps, however
-long it is (a line of a million letters is one match).
+long it is (a line of a million letters is one match).  Short matches that a
+worker meets for the first time are merged together, as a forest: one array
+holds their trees, and each step makes the next merge in all of them.
 
 As in the tiktoken library, a match that is itself in the vocabulary is one
 token, and properties such as ``\\p{L}`` are those of that library's version
@@ -42,8 +44,9 @@ from pyspark.sql import functions as F
 from basketlens.llm.runtime import lean_map, pick, ship
 from basketlens.llm.words import slices
 
-MOST_KEPT = 200_000
-LONGEST_KEPT = 64  # characters of a match that is kept
+MOST_KEPT = 400_000  # and those of MATCHES_AT_ONCE at least
+LONGEST_KEPT = 64  # bytes of a match that is kept, and is merged in a forest
+TREES_AT_ONCE = 1 << 13
 MATCHES_AT_ONCE = 1 << 15
 SLICE_BYTES = 1 << 20
 _NONE = 1 << 62  # above every rank and position
@@ -121,9 +124,96 @@ class MergeTree:
         return ids
 
 
+class Pairs:
+    """Ranks of joined tokens, in sorted arrays: of two bytes by their place, of two tokens by their ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the vocabulary needs a token for each byte")
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        found = ((ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        left, right, rank = np.array(list(found), dtype=np.int64).reshape(-1, 3).T
+        order = np.argsort(left << 32 | right)
+        self.keys, self.rank = (left << 32 | right)[order], rank[order]
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each two tokens joined; -1 where that is no token."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], -1) if len(self.keys) else np.full(len(key), -1)
+
+
+def merge_forest(pieces: list[bytes], pairs: Pairs) -> list[bytes]:
+    """Packed ids of each match (up to 256 bytes): the steps of ``MergeTree`` made in all trees together."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    leaves = 1 << max(int(size.max()) - 1, 1).bit_length()
+    trees, span = len(pieces), np.arange(leaves)
+    data = np.frombuffer(b"".join(p.ljust(leaves, b"\0") for p in pieces), np.uint8)
+    # one entry a place, all trees one after another; place of tree t: t * leaves + byte position
+    first = np.arange(trees) * leaves
+    stop = first + size
+    token = pairs.byte[data]
+    after = np.arange(trees * leaves) + 1
+    before = after - 2
+    place = np.flatnonzero((span[None, :] < size[:, None] - 1).ravel())
+    rank = pairs.of(token[place], token[place + 1])
+    nodes = np.full((trees, 2 * leaves), _NONE, dtype=np.int64)
+    tree = nodes.ravel()
+    tree[place + (place // leaves + 1) * leaves] = np.where(rank < 0, _NONE, rank << 8 | place % leaves)
+    level = leaves
+    while level > 1:
+        nodes[:, level // 2 : level] = np.minimum(nodes[:, level : 2 * level : 2], nodes[:, level + 1 : 2 * level : 2])
+        level //= 2
+    steps = leaves.bit_length() - 1
+
+    def put(row: np.ndarray, leaf: np.ndarray, value: np.ndarray | int) -> None:
+        root = row * (2 * leaves)
+        k = leaves + leaf
+        tree[root + k] = value
+        for _ in range(steps):
+            k >>= 1
+            below = root + 2 * k
+            tree[root + k] = np.minimum(tree[below], tree[below + 1])
+
+    def pair(start: np.ndarray, row: np.ndarray) -> np.ndarray:
+        middle = after[start]
+        inside = middle < stop[row]
+        out = np.full(len(row), _NONE)
+        s = start[inside]
+        rank = pairs.of(token[s], token[middle[inside]])
+        out[inside] = np.where(rank < 0, _NONE, rank << 8 | (s - first[row[inside]]))
+        return out
+
+    row = np.arange(trees)
+    while True:
+        top = tree[row * (2 * leaves) + 1]
+        row, top = row[top < _NONE], top[top < _NONE]
+        if not len(row):
+            break
+        at = top & 255
+        start = first[row] + at
+        gone = after[start]
+        end = after[start] = after[gone]
+        token[start] = top >> 8
+        inside = end < stop[row]
+        before[end[inside]] = start[inside]
+        put(row, gone - first[row], _NONE)
+        put(row, at, pair(start, row))
+        inner = at > 0
+        left, r = before[start[inner]], row[inner]
+        put(r, left - first[r], pair(left, r))
+    # what is left: the places where a token starts
+    place = np.flatnonzero((span[None, :] < size[:, None]).ravel())
+    left = before[place]
+    place = place[(place % leaves == 0) | (after[np.maximum(left, 0)] == place)]
+    packed = token[place].astype("<u4").tobytes()
+    cuts = 4 * np.searchsorted(place, np.append(first, trees * leaves))
+    return [packed[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
 @lru_cache(maxsize=4)
-def newer_letters(properties: tuple[str, ...]) -> str:
-    """Ranges (in a set's notation) of the characters that ``regex`` counts to a property and tiktoken does not."""
+def newer_letters(properties: tuple[str, ...]) -> tuple[tuple[int, int], ...]:
+    """Ranges of the characters that ``regex`` counts to a property and tiktoken does not."""
     import tiktoken
 
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
@@ -133,54 +223,90 @@ def newer_letters(properties: tuple[str, ...]) -> str:
         encoder = tiktoken.Encoding("bytes", pat_str=p, mergeable_ranks=bytes_only, special_tokens={})
         known = encoder.decode_bytes(encoder.encode_ordinary(every)).decode()
         odd |= {ord(c) for c in regex.findall(p, every)} - {ord(c) for c in known}
-    ranges, points = [], np.array(sorted(odd), dtype=np.int64)
-    for run in np.split(points, np.flatnonzero(np.diff(points) > 1) + 1):
-        if len(run):
-            ranges.append(f"\\U{run[0]:08x}-\\U{run[-1]:08x}")
-    return "".join(ranges)
+    points = np.array(sorted(odd), dtype=np.int64)
+    runs = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1)
+    return tuple((int(run[0]), int(run[-1])) for run in runs if len(run))
 
 
-def as_tiktoken(pattern: str) -> tuple[str, str]:
-    """(pattern whose properties hold what they hold in tiktoken, set of the characters where that matters)."""
-    properties = tuple(sorted(set(re.findall(r"\\p\{\w+\}", pattern))))
-    odd = newer_letters(properties)
-    if not odd:
-        return pattern, ""
-    return re.sub(r"\\p\{\w+\}", lambda m: f"[{m.group()}--[{odd}]]", pattern), f"[{odd}]"
+def _properties(pattern: str) -> tuple[str, ...]:
+    return tuple(sorted(set(re.findall(r"\\p\{\w+\}", pattern))))
 
 
-class Encoder(dict):
-    """Packed ids of matches, by the match; a missing one is encoded and, if short, kept."""
+class Encoder:
+    """Ids of texts by one vocabulary; ``odd``: ranges of characters on which the pattern's properties must not match."""
 
-    def __init__(self, path: str, pattern: str, exact: str, odd: str):
-        super().__init__()
+    def __init__(self, path: str, pattern: str, odd: tuple[tuple[int, int], ...]):
         self.ranks = read_ranks(path)
+        self.pairs = Pairs(self.ranks)
         self.longest = max(map(len, self.ranks))
-        self.pattern = regex.compile(pattern, regex.V1)
-        self.exact = regex.compile(exact, regex.V1)
-        self.odd = regex.compile(odd, regex.V1) if odd else None
-
-    def __missing__(self, match: str) -> bytes:
-        raw = match.encode()
-        rank = self.ranks.get(raw)
-        ids = [rank] if rank is not None else MergeTree(raw, self.ranks, self.longest).merge()
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(match) <= LONGEST_KEPT:
-            if len(self) >= MOST_KEPT:
-                self.clear()
-            self[match] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        plain = self.odd is None or text.isascii() or not self.odd.search(text)
-        pattern = self.pattern if plain else self.exact
-        if len(text) <= MATCHES_AT_ONCE:
-            return b"".join(map(self.__getitem__, pattern.findall(text)))
-        matches = (m.group() for m in pattern.finditer(text))
-        parts = []
-        while part := list(islice(matches, MATCHES_AT_ONCE)):
-            parts.append(b"".join(map(self.__getitem__, part)))
-        return b"".join(parts)
+        self.kept: dict[str, bytes] = {}
+        self.pattern = self.exact = regex.compile(pattern, regex.V1)
+        self.odd = np.zeros(0x110000, dtype=bool)
+        for a, b in odd:
+            self.odd[a : b + 1] = True
+        if odd:
+            ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in odd)
+            for p in _properties(pattern):
+                pattern = pattern.replace(p, f"[{p}--[{ranges}]]")
+            self.exact = regex.compile(pattern, regex.V1)
+
+    def _learn(self, matches: set[str]) -> list[str]:
+        """Keep the ids of matches; those that are too long to be kept are returned."""
+        short, long = [], []
+        for m in matches:
+            raw = m.encode()
+            rank = self.ranks.get(raw)
+            if rank is not None:
+                self.kept[m] = rank.to_bytes(4, "little")
+            elif len(raw) <= LONGEST_KEPT:
+                short.append((raw, m))
+            else:
+                self.kept[m] = np.array(MergeTree(raw, self.ranks, self.longest).merge(), dtype="<u4").tobytes()
+                long.append(m)
+        short.sort(key=lambda x: len(x[0]))
+        for a in range(0, len(short), TREES_AT_ONCE):
+            part = short[a : a + TREES_AT_ONCE]
+            self.kept.update(zip((m for _, m in part), merge_forest([raw for raw, _ in part], self.pairs), strict=True))
+        return long
+
+    def _ids(self, matches: list[str]) -> Iterator[bytes]:
+        new = set(matches).difference(self.kept)
+        if len(self.kept) + len(new) > MOST_KEPT:
+            self.kept.clear()
+            new = set(matches)
+        long = self._learn(new)
+        out = list(map(self.kept.__getitem__, matches))
+        for m in long:
+            del self.kept[m]
+        return iter(out)
+
+    def _matches(self, text: str) -> Iterator[str]:
+        pattern = self.pattern
+        if pattern is not self.exact and not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
+            pattern = self.exact
+        return iter(pattern.findall(text)) if len(text) <= MATCHES_AT_ONCE else (m.group() for m in pattern.finditer(text))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, owners = [], []  # matches of some texts; (text, number of its matches held)
+
+        def flush() -> None:
+            ids = self._ids(held)
+            for i, k in owners:
+                out[i].append(b"".join(islice(ids, k)))
+            held.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            matches = self._matches(text)
+            while part := list(islice(matches, MATCHES_AT_ONCE)):
+                held += part
+                owners.append((i, len(part)))
+                if len(held) >= MATCHES_AT_ONCE:
+                    flush()
+        flush()
+        return [b"".join(parts) for parts in out]
 
 
 class Decoder:
@@ -215,8 +341,8 @@ class Decoder:
 
 
 @cache
-def _encoder(path: str, pattern: str, exact: str, odd: str) -> Encoder:
-    return Encoder(path, pattern, exact, odd)
+def _encoder(path: str, pattern: str, odd: tuple[tuple[int, int], ...]) -> Encoder:
+    return Encoder(path, pattern, odd)
 
 
 @cache
@@ -224,12 +350,12 @@ def _decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def _encode(path: str, pattern: str, exact: str, odd: str):
+def _encode(path: str, pattern: str, odd: tuple[tuple[int, int], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern, exact, odd)
+        encoder = _encoder(path, pattern, odd)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                ids = [encoder.encode(t or "") for t in part["text"].to_pylist()]
+                ids = encoder.encode([t or "" for t in part["text"].to_pylist()])
                 count = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], count, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -251,7 +377,7 @@ def encode(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each document; ``ids`` are packed, see ``ids_array``."""
     ship(documents.sparkSession)
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(lean_map(_encode(ranks, pattern, *as_tiktoken(pattern))), "doc_id long, n_tokens long, ids binary")
+    return docs.mapInArrow(lean_map(_encode(ranks, pattern, newer_letters(_properties(pattern)))), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:

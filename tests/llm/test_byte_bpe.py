@@ -25,11 +25,11 @@ def library():
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bb.Encoder(PATH, PATTERN, *bb.as_tiktoken(PATTERN))
+    return bb.Encoder(PATH, PATTERN, bb.newer_letters(bb._properties(PATTERN)))
 
 
 def ids(encoder, text):
-    return np.frombuffer(encoder.encode(text), "<u4").tolist()
+    return np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
 
 
 def naive(piece, ranks):
@@ -49,10 +49,18 @@ def test_tree_equals_scan_of_all_pairs(encoder, piece):
     assert bb.MergeTree(piece, encoder.ranks, encoder.longest).merge() == naive(piece, encoder.ranks)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=64) | st.text("abcdeft", min_size=1, max_size=40).map(str.encode), min_size=1, max_size=40))
+def test_forest_equals_trees(encoder, pieces):
+    got = [np.frombuffer(x, "<u4").tolist() for x in bb.merge_forest(pieces, encoder.pairs)]
+    assert got == [naive(p, encoder.ranks) for p in pieces]
+
+
 def test_ties_are_taken_from_the_left():
     ranks = {bytes([b]): b for b in range(256)} | {b"aa": 300, b"aaa": 301}
     for n in range(1, 40):
         assert bb.MergeTree(b"a" * n, ranks, 3).merge() == naive(b"a" * n, ranks)
+        assert np.frombuffer(bb.merge_forest([b"a" * n], bb.Pairs(ranks))[0], "<u4").tolist() == naive(b"a" * n, ranks)
     rng = random.Random(3)
     ranks |= {b"ab": 302, b"ba": 303, b"aba": 304, b"abab": 305, b"bb": 306}
     for _ in range(300):
@@ -82,10 +90,22 @@ def test_long_matches_and_texts(encoder, library):
 
 def test_kept_matches_are_bounded(library, monkeypatch):
     monkeypatch.setattr(bb, "MOST_KEPT", 50)
-    own = bb.Encoder(PATH, PATTERN, *bb.as_tiktoken(PATTERN))
+    monkeypatch.setattr(bb, "MATCHES_AT_ONCE", 20)
+    own = bb.Encoder(PATH, PATTERN, bb.newer_letters(bb._properties(PATTERN)))
     text = " ".join(f"w{i}" for i in range(500)) + "z" * 100
     assert ids(own, text) == library.encode_ordinary(text)
-    assert len(own) <= 50 and all(len(k) <= bb.LONGEST_KEPT for k in own)
+    assert len(own.kept) <= 50
+    for a in range(0, 400, 30):
+        text = " ".join(f"w{i}" for i in range(a, a + 40)) + "z" * 100
+        assert ids(own, text) == library.encode_ordinary(text)
+        assert 0 < len(own.kept) <= 50 and all(len(k) <= bb.LONGEST_KEPT for k in own.kept)
+
+
+def test_matches_of_many_texts_at_once(encoder, library, monkeypatch):
+    monkeypatch.setattr(bb, "MATCHES_AT_ONCE", 7)
+    texts = ["", "a b c d e f g h i j", "x", "", "it's 12 o'clock, " * 9, " ", "\U0001cd00 a\u0558b" * 5]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert encoder.encode([]) == []
 
 
 def test_rows(spark, library):
