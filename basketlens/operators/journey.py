@@ -1,17 +1,19 @@
 """RFM snapshots at several cutoff dates (customer-journey comparison).
 
-For cutoffs c_1 < ... < c_K the last dates L_j = max(o_date < c_j) come from
-one aggregation over the date column, as an array scalar.  Since the L_j
-grow with j, a row enters every snapshot from the first j with
-``o_date < L_j`` on: the row's *entry* index.  Per (user, order) the
-measures of every snapshot are then conditional aggregates on that index
-(``sum(price) where entry <= j`` ...), and per user the snapshot's
-distinct-order count is the number of orders whose first entry is ``<= j``.
-
-So the orders are read once and shuffled as in a single RFM table; rows are
-never replicated per cutoff (no join of orders with the cutoff list), and
-the K snapshot rows of a user are only produced at the end, from the
-per-user aggregate.  The plan is exact for orders whose rows span days.
+For cutoffs c_1 < ... < c_K the last dates L_j = max(o_date < c_j) and, for
+each order day, its *entry* (the first snapshot with ``o_date < L_j``) come
+from one aggregate over the date column: its distinct days, at most those of
+the calendar.  As the L_j grow with j, a row is in every snapshot from its
+entry on.  So the orders are summed per (user, order, entry), then per (user,
+entry), and a window over the user's entries (at most K rows, whatever the
+number of orders) adds them up; each sum holds from its entry up to the
+user's next one.
+
+The plan has the same columns and steps for any K.  Orders are read once and
+never replicated per cutoff: the K rows of a user are made at the end.  Every
+shuffle but the last is preceded by a partial aggregate, so a user or order
+with a third of all rows sends one row per task and entry.  Exact for orders
+whose rows span days.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from __future__ import annotations
 import datetime as dt
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions.calendar import as_date, days_between
+from basketlens.functions.bounds import MAX_CALENDAR_DAYS, bounded_broadcast
+from basketlens.functions.calendar import as_date, days_between, within
 from basketlens.functions.profiles import JOURNEY, RfmProfile
 from basketlens.operators.segments import score_rfm, with_group_counts
 
@@ -40,50 +43,53 @@ def snapshot_users(orders: DataFrame, cutoffs: Sequence[dt.date | str], unknown:
     cuts = _sorted_cutoffs(cutoffs)
     k = len(cuts)
     o_date = F.col("o_date")
-    upper = as_date(cuts[-1])
+    dates = F.array(*[as_date(c) for c in cuts])
+    before = orders.where(within(orders, before=cuts[-1]))
 
-    # L_1..L_K in one pass over the date column (bounded to the last cutoff).
-    last_dates = (
-        orders.where(o_date < upper)
-        .agg(F.array(*[F.max(F.when(o_date < as_date(c), o_date)) for c in cuts]).alias("last_dates"))
-        .scalar()
+    # L_1..L_K (NULL: nothing before that cutoff) and the entry of each day
+    days = before.agg(F.collect_set("o_date").alias("days"))
+    lasts = days.select(
+        "days", F.transform(dates, lambda c: F.array_max(F.filter("days", lambda d: d < c))).alias("last_dates")
     )
-
-    # Entry index: first j with o_date < L_j (NULL L_j: snapshot empty).
-    entry = F.lit(k)
-    for j in reversed(range(k)):
-        entry = F.when(o_date < F.element_at(last_dates, j + 1), F.lit(j)).otherwise(entry)
-
-    rows = (
-        orders.where((F.col("price") > 0) & (F.lit(unknown) | F.col("user_id").isNotNull()) & (o_date < upper))
-        .select("user_id", "id_o", "price", "o_date", entry.alias("entry"))
-        .where(F.col("entry") < k)
+    last_dates = lasts.select("last_dates").scalar()
+    later = F.filter("last_dates", lambda last: last.isNull() | (last <= o_date))
+    entries = lasts.select(F.explode("days").alias("o_date"), "last_dates").select("o_date", F.size(later).alias("entry"))
+
+    wanted = before.where((F.col("price") > 0) & (F.lit(unknown) | F.col("user_id").isNotNull()))
+    rows = wanted.join(bounded_broadcast(entries.where(F.col("entry") < k), MAX_CALENDAR_DAYS), "o_date")
+    per_order = rows.groupBy("user_id", "id_o", "entry").agg(
+        F.sum("price").alias("sum_price"), F.max("o_date").alias("last_order")
     )
-    in_snap = [F.col("entry") <= j for j in range(k)]
-    per_order = rows.groupBy("user_id", "id_o").agg(
-        F.min("entry").alias("first_entry"),
-        *[F.sum(F.when(in_snap[j], F.col("price"))).alias(f"s{j}") for j in range(k)],
-        *[F.max(F.when(in_snap[j], o_date)).alias(f"d{j}") for j in range(k)],
+    first_entry = F.min("entry").over(Window.partitionBy("user_id", "id_o"))
+    per_entry = (
+        per_order.withColumn("first_entry", first_entry)
+        .groupBy("user_id", "entry")
+        .agg(
+            F.sum("sum_price").alias("sum_price"),
+            F.max("last_order").alias("last_order"),
+            F.count(F.when(F.col("entry") == F.col("first_entry"), F.col("id_o"))).alias("orders"),
+            F.count("user_id").alias("named"),
+        )
     )
-    per_user = per_order.groupBy("user_id").agg(
-        *[F.count(F.when(F.col("first_entry") <= j, F.lit(1))).alias(f"c{j}") for j in range(k)],
-        *[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)],
-        *[F.max(f"d{j}").alias(f"d{j}") for j in range(k)],
-        F.count("user_id").alias("named"),
+    by_entry = Window.partitionBy("user_id").orderBy("entry")
+    so_far = by_entry.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.coalesce(F.lead("entry").over(by_entry), F.lit(k)) - 1
+    running = per_entry.select(
+        "user_id",
+        F.sum("sum_price").over(so_far).cast(per_entry.schema["sum_price"].dataType).alias("sum_price"),
+        F.max("last_order").over(so_far).alias("last_order"),
+        F.sum("orders").over(so_far).alias("orders"),
+        F.sum("named").over(so_far).alias("named"),
+        F.sequence("entry", until).alias("snapshots"),
     )
-    snaps = F.array(*[
-        F.struct(
-            as_date(cuts[j]).alias("snapshot"),
-            F.element_at(last_dates, j + 1).alias("last_date"),
-            F.col(f"d{j}").alias("last_order"),
-            F.col(f"c{j}").alias("orders"),
-            F.col(f"s{j}").alias("sum_price"),
-        )
-        for j in range(k)
-    ])
-    long = per_user.select("user_id", "named", F.inline(snaps)).where(F.col("orders") > 0)
+    long = running.withColumn("j", F.explode("snapshots"))
     return long.select(
-        "snapshot", "user_id", days_between("last_date", "last_order").alias("days"), "orders", "sum_price", *["named"] * unknown
+        F.element_at(dates, F.col("j") + 1).alias("snapshot"),
+        "user_id",
+        days_between(F.element_at(last_dates, F.col("j") + 1), "last_order").alias("days"),
+        "orders",
+        "sum_price",
+        *["named"] * unknown,
     )
 
 

@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.bands import score
-from basketlens.functions.calendar import as_date, days_between, period_label
+from basketlens.functions.calendar import days_between, period_label, within
 from basketlens.functions.numeric import round_money, safe_ratio
 from basketlens.functions.profiles import JOURNEY, RF_BASIC, RfmProfile, RfProfile
 from basketlens.functions.bounds import bounded_broadcast
@@ -27,7 +27,7 @@ DateLike = dt.date | str
 def last_order_date(orders: DataFrame, cutoff: DateLike | None = None) -> Column:
     """Latest order date strictly before ``cutoff`` (all orders if None), as
     a scalar-subquery column.  The cutoff bound is pushed into the scan."""
-    src = orders if cutoff is None else orders.where(F.col("o_date") < as_date(cutoff))
+    src = orders if cutoff is None else orders.where(within(orders, before=cutoff))
     return src.agg(F.max("o_date")).scalar()
 
 
@@ -40,7 +40,7 @@ def analysed_rows(orders: DataFrame, cutoff: DateLike | None, last: Column) -> D
     """
     if cutoff is None:
         return orders
-    return orders.where((F.col("o_date") < as_date(cutoff)) & (F.col("o_date") < last))
+    return orders.where(within(orders, before=cutoff) & (F.col("o_date") < last))
 
 
 # ---------------------------------------------------------------------------
@@ -198,9 +198,9 @@ def rf_segments(orders: DataFrame, cutoff: DateLike | None, profile: RfProfile =
     return _score_rf(per_user, last, profile)
 
 
-def _score_rf(per_user: DataFrame, last: Column, profile: RfProfile) -> DataFrame:
-    """RF scores and groups of ``user_id, last_order, orders``."""
-    with_days = per_user.select("user_id", days_between(last, "last_order").alias("days"), "orders")
+def _score_rf(per_user: DataFrame, last: Column, profile: RfProfile, keep: tuple[str, ...] = ()) -> DataFrame:
+    """RF scores and groups of ``user_id, last_order, orders``, with the columns ``keep``."""
+    with_days = per_user.select("user_id", *keep, days_between(last, "last_order").alias("days"), "orders")
     scored = with_days.select(
         "*",
         score("days", profile.r_rules, default=profile.r_default).alias("r_score"),
@@ -209,6 +209,7 @@ def _score_rf(per_user: DataFrame, last: Column, profile: RfProfile) -> DataFram
     code = "concat(cast(r_score AS STRING), cast(f_score AS STRING))"
     return scored.select(
         "user_id",
+        *keep,
         "days",
         "orders",
         F.expr(code).alias("rf_code"),
@@ -222,23 +223,37 @@ def segment_revenue_by_month(
     """Revenue and active users per behaviour group and month:
     ``segment, period (yyMM), sum_price, users``.
 
-    One aggregate per (user, order, month) feeds both the monthly sums and
-    the users' scores, so the orders are read and shuffled once.  Monthly sums
-    are joined to a frame with exactly one row per user, so no user-month is
-    repeated.  Revenue of orders without a user is in the NULL segment.
+    The orders are read once and nothing is joined: an order counts in one
+    of its months, so per (user, month) there are the revenue, the last
+    day and the orders that begin there, and a window over the user's months
+    (at most one row per month) gives each of them the user's scores.
+    Revenue of orders without a user is in the NULL segment.
     """
     last = last_order_date(orders, cutoff)
     rows = analysed_rows(orders, cutoff, last)
     per_order = rows.groupBy("user_id", "id_o", period_label("o_date").alias("period")).agg(
         F.sum("price").alias("sum_price"), F.max("o_date").alias("last_order")
     )
-    monthly = per_order.groupBy("user_id", "period").agg(F.sum("sum_price").alias("sum_price"))
-    per_user = per_order.groupBy("user_id").agg(
-        F.max("last_order").alias("last_order"), F.count_distinct("id_o").alias("orders")
+    first_period = F.min("period").over(Window.partitionBy("user_id", "id_o"))
+    monthly = (
+        per_order.withColumn("first_period", first_period)
+        .groupBy("user_id", "period")
+        .agg(
+            F.sum("sum_price").alias("sum_price"),
+            F.max("last_order").alias("last_order"),
+            F.count(F.when(F.col("period") == F.col("first_period"), F.col("id_o"))).alias("orders"),
+        )
     )
-    groups = _score_rf(per_user.where(F.col("user_id").isNotNull()), last, profile).select("user_id", "segment")
-    return (
-        monthly.join(groups, "user_id", "left")
-        .groupBy("segment", "period")
-        .agg(F.sum("sum_price").alias("sum_price"), F.count("user_id").alias("users"))
+    months = Window.partitionBy("user_id")
+    scored = _score_rf(
+        monthly.select(
+            "user_id", "period", "sum_price", F.max("last_order").over(months).alias("last_order"), F.sum("orders").over(months).alias("orders")
+        ),
+        last,
+        profile,
+        ("period", "sum_price"),
+    )
+    segment = F.when(F.col("user_id").isNotNull(), F.col("segment")).alias("segment").alias("segment")
+    return scored.groupBy(segment, "period").agg(
+        F.sum("sum_price").alias("sum_price"), F.count("user_id").alias("users")
     )

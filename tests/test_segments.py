@@ -2,7 +2,9 @@
 
 import datetime as dt
 import decimal
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from basketlens.functions.profiles import JOURNEY, MARKET, RF_BASIC
@@ -15,9 +17,11 @@ from basketlens.operators import (
     rfm_table,
     segment_revenue_by_month,
     segment_sizes,
+    snapshot_users,
+    user_rfm,
 )
-from basketlens.sources import read_snapshot, write_snapshots
-from tests.conftest import orders_df
+from basketlens.sources import load_table, order_log, read_snapshot, write_snapshots
+from tests.conftest import SMALL, orders_df
 
 LAST = dt.date(2020, 12, 31)
 CUTOFF = dt.date(2021, 1, 1)
@@ -161,6 +165,26 @@ def test_snapshots_equal_single_tables(spark):
     assert totals == sorted(totals)
 
 
+@pytest.mark.parametrize("k", [20, 100])
+def test_many_snapshots_equal_single_tables(spark, k):
+    """A hundred cutoffs: the plan keeps its columns and steps, results are those of single tables."""
+    orders = order_log(load_table(spark, SMALL, "orders"))
+    cutoffs = [dt.date(1995, 1, 20) + dt.timedelta(days=17 * i) for i in range(k)]
+    users = snapshot_users(orders, cutoffs)
+    found = {}
+    for r in users.collect():
+        found.setdefault(r.snapshot, set()).add((r.user_id, r.days, r.orders, r.sum_price))
+    for c in cutoffs[:: k // 5]:
+        single = {(r.user_id, r.days, r.orders, r.sum_price) for r in user_rfm(orders, c).collect()}
+        assert found.get(c, set()) == single
+    # no column for each cutoff: the plan of 2 has as many operators and columns as that of k
+    def shape(df):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return [(line.strip(" +-:").split(" ")[0], len(re.findall(r"#\d+", line))) for line in lines]
+
+    assert shape(users) == shape(snapshot_users(orders, cutoffs[:2]))
+
+
 def test_snapshot_order_spanning_days(spark):
     # one order id on two days; the first day is in every snapshot
     rows = [
