@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions.calendar import as_date, period_label
+from basketlens.functions.bounds import bounded_broadcast
+from basketlens.functions.calendar import as_date, period_label, within
 from basketlens.functions.numeric import round_money, safe_ratio
 from basketlens.operators.segments import analysed_rows, last_order_date
 
@@ -75,12 +76,11 @@ def active_users(
 ) -> DataFrame:
     """Distinct users with an order on/after ``since`` and/or before
     ``before`` (dates or scalar columns such as :func:`last_order_date`)."""
-    cond = F.col("user_id").isNotNull()
-    if since is not None:
-        cond = cond & (F.col("o_date") >= as_date(since))
-    if before is not None:
-        cond = cond & (F.col("o_date") < as_date(before))
-    return orders.where(cond).select("user_id").distinct()
+    wanted = F.col("user_id").isNotNull() & within(orders, since, before)
+    return orders.where(wanted).select("user_id").distinct()
+
+
+FILTER_BITS = 1 << 20  # of the membership filter of frequent_recent_buyers
 
 
 def frequent_recent_buyers(
@@ -88,6 +88,7 @@ def frequent_recent_buyers(
     last_date: DateLike | Column,
     window_days: int = 30,
     min_rows: int = 3,
+    cutoff: DateLike | None = None,
 ) -> DataFrame:
     """Users who bought before ``last_date`` and have more than ``min_rows``
     order rows in the ``window_days`` days up to it
@@ -95,31 +96,51 @@ def frequent_recent_buyers(
     ``user_id, frequency`` (distinct orders / distinct order days, 2 places),
     ``first_date`` (first order day in the window), ``order_rows``.
 
-    Only rows of the window are aggregated; both of its bounds reach the scan.
-    A user with a window row before ``last_date`` has bought before; only
-    users whose window rows all fall on that day are looked up among the
-    earlier buyers (a semi join).
+    Only rows of the window are aggregated, once.  A user with a window row
+    before ``last_date`` has bought before; *open* are those whose window rows
+    all fall on that day.  Open users make a membership filter (one hash bit
+    each, of ``FILTER_BITS``, in words of 64 that are broadcast), the history
+    is read through it, and only the users that pass are shuffled and joined.
+
+    Bounds that are literals reach the scan: a ``last_date`` given as a date,
+    and ``cutoff``, a date known to lie after a ``last_date`` that is a column.
     """
     last = as_date(last_date)
     from_day = F.date_sub(last, window_days)
     known = orders.where(F.col("user_id").isNotNull())
+    if cutoff is not None:
+        known = known.where(within(known, before=cutoff))
     per_user = (
-        known.where((F.col("o_date") <= last) & (F.col("o_date") > from_day))
+        known.where(within(known, F.date_add(from_day, 1), F.date_add(last, 1)))
         .groupBy("user_id")
         .agg(
-            F.bool_or(F.col("o_date") < last).alias("bought_before"),
+            F.min("o_date").alias("first_date"),
             F.count(F.lit(1)).alias("order_rows"),
             F.count_distinct("id_o").alias("window_orders"),
-            F.count_distinct("o_date").alias("window_days"),
-            F.min("o_date").alias("first_date"),
+            F.collect_set("o_date").alias("days"),  # at most window_days
         )
         .where(F.col("order_rows") > min_rows)
     )
-    earlier = known.where(F.col("o_date") <= from_day).select("user_id")
-    found = per_user.where("bought_before").union(per_user.where("not bought_before").join(earlier, "user_id", "left_semi").select(per_user.columns))
+    bit = F.pmod(F.xxhash64("user_id"), F.lit(FILTER_BITS))
+    # reads all that per_user has, so that both branches share its aggregate
+    unknown = (F.col("first_date") >= last) & (F.col("window_orders") >= 0) & (F.size("days") > 0)
+    words = (
+        per_user.where(unknown)
+        .groupBy(F.floor(bit / 64).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
+    )
+    earlier = (
+        known.where(within(known, before=F.date_add(from_day, 1)))
+        .select("user_id", F.floor(bit / 64).alias("word"))
+        .join(bounded_broadcast(words, FILTER_BITS // 64), "word")
+        .where(F.bit_get("bits", (bit % 64).cast("int")) == 1)
+        .select("user_id", F.lit(True).alias("earlier"))
+        .distinct()
+    )
+    found = per_user.join(earlier, "user_id", "left").where((F.col("first_date") < last) | F.col("earlier"))
     return found.select(
         "user_id",
-        round_money(safe_ratio("window_orders", "window_days")).alias("frequency"),
+        round_money(safe_ratio("window_orders", F.size("days"))).alias("frequency"),
         "first_date",
         "order_rows",
     )
