@@ -8,12 +8,32 @@ first fixes the value at 10 places, after which HALF_UP rounding is exact.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIDE_DECIMAL = "decimal(38,10)"
 
 
+@cache
+def compatibility_digits() -> tuple[str, str]:
+    """(characters, what each becomes): all that NFKD turns into one ASCII
+    digit, sign, separator or space, such as full-width and superscript digits."""
+    plain = "0123456789+-., "
+    forms = ((chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(128, sys.maxunicode + 1))
+    pairs = [(c, form) for c, form in forms if len(form) == 1 and form in plain]
+    return "".join(c for c, _ in pairs), "".join(form for _, form in pairs)
+
+
+def ascii_digits(text: Column) -> Column:
+    """Text with the characters of :func:`compatibility_digits` replaced (a
+    character map of the engine)."""
+    return F.translate(text, *compatibility_digits())
+
+
 def round_money(col: Column | str, digits: int = 2) -> Column:
     """Round HALF_UP to ``digits`` places via a decimal; return a double."""
     c = F.col(col) if isinstance(col, str) else col

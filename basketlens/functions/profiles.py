@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from itertools import product
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from basketlens.functions.bands import Rule, above, at_most, below, between, equal, score_value
@@ -140,12 +140,6 @@ def all_codes(max_score: int = 5) -> list[str]:
     return ["".join(p) for p in product(digits, repeat=3)]
 
 
-def segment_map_frame(spark: SparkSession, profile: RfmProfile, max_score: int = 5) -> DataFrame:
-    """The profile's map as a table ``(code, segment)`` over every code."""
-    rows = [(code, profile.segment_of(code)) for code in all_codes(max_score)]
-    return spark.createDataFrame(rows, "code string, segment string")
-
-
 # ---------------------------------------------------------------------------
 # Thresholds and segment lists that must equal the analysed
 # scripts for results to agree.  Stated in their original order; NEW lists
@@ -233,5 +227,5 @@ def rf_with_bands(profile: RfProfile, name: str, r_rules: Sequence[Rule], f_rule
 
 __all__ = [
     "JOURNEY", "MARKET", "RF_BASIC", "RfProfile", "RfmProfile", "SegmentList", "UNDEFINED",
-    "all_codes", "rf_with_bands", "segment_map_frame", "with_bands",
+    "all_codes", "rf_with_bands", "with_bands",
 ]

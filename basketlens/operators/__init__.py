@@ -31,6 +31,8 @@ from basketlens.operators.cohorts import (
     user_cohorts,
 )
 from basketlens.operators.clients import first_transaction, limit_utilisation, transaction_totals
+from basketlens.operators.sketches import bound as sketch_bound
+from basketlens.operators.sketches import daily_sketches, merged_users, read_sketches, write_sketches
 from basketlens.operators.web import (
     channel_growth,
     channel_revenue_share,
@@ -48,10 +50,12 @@ __all__ = [
     "churned_users",
     "cohort_revenue",
     "cohort_revenue_by_cutoff",
+    "daily_sketches",
     "first_transaction",
     "frequent_recent_buyers",
     "last_order_date",
     "limit_utilisation",
+    "merged_users",
     "most_active_users",
     "order_period",
     "order_period_rows",
@@ -59,6 +63,7 @@ __all__ = [
     "orders_per_user",
     "paying_users",
     "peak_traffic_days",
+    "read_sketches",
     "rf_segments",
     "rfm_code_counts",
     "rfm_group_counts",
@@ -68,6 +73,7 @@ __all__ = [
     "seasonality",
     "segment_revenue_by_month",
     "segment_sizes",
+    "sketch_bound",
     "snapshot_scores",
     "snapshot_users",
     "top_channels",
@@ -75,4 +81,5 @@ __all__ = [
     "transaction_totals",
     "user_cohorts",
     "user_rfm",
+    "write_sketches",
 ]

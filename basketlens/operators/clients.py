@@ -8,6 +8,7 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.functions.hot_keys import spread_join
 from basketlens.functions.numeric import round_money, safe_ratio
 
 
@@ -49,6 +50,7 @@ def limit_utilisation(
     transactions: DataFrame,
     threshold: float = 70,
     per: Literal["transaction", "client"] = "transaction",
+    salts: int = 32,
 ) -> DataFrame:
     """Spending as a percentage of the client's limit, where above
     ``threshold``: ``id_client, limit_sum, spent, used_pct`` (2 places).
@@ -60,9 +62,9 @@ def limit_utilisation(
     rounded.  A zero limit drops the row; negative limits give negative use.
 
     Only clients with transactions can pass the filter, so the join is an
-    inner join.  At scale it is a sort-merge join on ``id_client``; a client
-    owning a large share of transactions makes one skewed partition, which
-    adaptive execution splits (skew-join handling on the transaction side).
+    inner join.  It is the one join on raw rows: clients that own more than a
+    hundredth of the transactions are found first and theirs are dealt over
+    ``salts`` parts (:func:`functions.hot_keys.spread_join`; 1: a plain join).
     In ``per='client'`` mode transactions are summed per client first.
     """
     tx = transactions.select("id_client", F.col("transaction_sum").alias("spent"))
@@ -70,6 +72,7 @@ def limit_utilisation(
         tx = tx.groupBy("id_client").agg(F.sum("spent").alias("spent"))
     limit, bar = F.col("limit_sum"), F.lit(Decimal(str(threshold))) * F.col("limit_sum")
     above = F.when(limit > 0, F.col("spent") * 100 > bar).when(limit < 0, F.col("spent") * 100 < bar)
-    joined = tx.join(clients.select("id_client", "limit_sum"), "id_client", "inner")
+    limits = clients.select("id_client", "limit_sum")
+    joined = tx.join(limits, "id_client") if per == "client" else spread_join(tx, limits, "id_client", salts=salts)
     used = round_money(safe_ratio(F.col("spent"), limit) * 100)
     return joined.where(above).select("id_client", "limit_sum", "spent", used.alias("used_pct"))

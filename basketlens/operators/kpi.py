@@ -11,7 +11,7 @@ from typing import Literal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.calendar import days_between, year_range
+from basketlens.functions.calendar import days_between, within_years, year_range
 from basketlens.functions.numeric import round_decimal, round_money, safe_ratio
 from basketlens.functions.bounds import MAX_CALENDAR_YEARS, bounded_broadcast
 
@@ -93,7 +93,7 @@ def _year_flags(orders: DataFrame, year: int, next_year: int) -> DataFrame:
     in_year = year_range("o_date", year)
     in_next = year_range("o_date", next_year)
     return (
-        orders.where(F.col("user_id").isNotNull() & (in_year | in_next))
+        orders.where(F.col("user_id").isNotNull() & within_years(orders, year, next_year))
         .groupBy("user_id")
         .agg(F.bool_or(in_year).alias("in_year"), F.bool_or(in_next).alias("in_next"))
     )

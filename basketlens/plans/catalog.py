@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from basketlens import operators as ops
-from basketlens.functions.profiles import JOURNEY, MARKET, RF_BASIC
+from basketlens.functions.profiles import RF_BASIC
 from basketlens.plans import params as P
 from basketlens.sources import tables as T
 from basketlens.functions.numeric import round_money
@@ -79,7 +79,21 @@ def _recent_before(spark: SparkSession, base: str) -> DataFrame:
 
 def _frequent_buyers(spark: SparkSession, base: str) -> DataFrame:
     o = _orders(spark, base)
-    return ops.frequent_recent_buyers(o, ops.last_order_date(o, P.COHORT_CUTOFF), P.RECENT_WINDOW_DAYS, P.RECENT_MIN_ROWS)
+    return ops.frequent_recent_buyers(
+        o, ops.last_order_date(o, P.COHORT_CUTOFF), P.RECENT_WINDOW_DAYS, P.RECENT_MIN_ROWS, cutoff=P.COHORT_CUTOFF
+    )
+
+
+def _channel_users_sketched(spark: SparkSession, base: str) -> DataFrame:
+    """Users per channel and year, exact, and whether the estimate merged from daily sketches keeps its bound."""
+    events = T.load_table(spark, base, "events")
+    keys = [F.col("event_type").alias("channel"), F.year("day").alias("year")]
+    daily = events.select("event_type", "user_id", F.col("ts").cast("date").alias("day")).where(F.col("day").isNotNull())
+    exact = daily.groupBy(*keys).agg(F.count_distinct("user_id").alias("users"))
+    merged = ops.merged_users(ops.daily_sketches(daily, ["event_type"]), keys).withColumnRenamed("users", "estimate")
+    joined = exact.join(merged, ["channel", "year"], "left")
+    near = F.abs(F.coalesce("estimate", F.lit(0)) - F.col("users")) <= F.lit(ops.sketch_bound()) * F.col("users")
+    return joined.select("channel", "year", "users", near.alias("within_bound"))
 
 
 def _rounded(df: DataFrame, column: str) -> DataFrame:
@@ -102,7 +116,7 @@ _RAW: dict[str, Query] = {
     "orders_per_user_month": lambda s, b: _rounded(ops.orders_per_user(_orders(s, b), by="month"), "average_orders"),
     "churned_users": lambda s, b: ops.churned_users(_orders(s, b), P.CHURN_YEAR),
     "churned_user_count": lambda s, b: ops.churned_user_count(_orders(s, b), P.CHURN_YEAR),
-    "most_active_users": lambda s, b: ops.most_active_users(_orders(s, b), k=10),
+    "most_active_users": lambda s, b: ops.most_active_users(_orders(s, b), k=P.TOP_USERS),
     "seasonality": lambda s, b: ops.seasonality(_orders(s, b)),
     # RF behaviour groups
     "rf_segments": lambda s, b: ops.rf_segments(_orders(s, b), P.RF_CUTOFF, RF_BASIC),
@@ -115,14 +129,17 @@ _RAW: dict[str, Query] = {
     "active_users_before": _recent_before,
     "frequent_recent_buyers": _frequent_buyers,
     # RFM
-    "rfm_market": lambda s, b: ops.rfm_table(_orders(s, b), None, MARKET),
-    "rfm_journey": lambda s, b: ops.rfm_table(_orders(s, b), P.RFM_CUTOFF, JOURNEY),
+    "rfm_market": lambda s, b: ops.rfm_table(_orders(s, b), None, P.MARKET),
+    "rfm_journey": lambda s, b: ops.rfm_table(_orders(s, b), P.RFM_CUTOFF, P.JOURNEY),
     "rfm_journey_scaled": lambda s, b: ops.rfm_table(_orders(s, b), P.RFM_CUTOFF, P.JOURNEY_SCALED),
     "rfm_code_counts": lambda s, b: ops.rfm_code_counts(_rfm_scaled_scores(s, b)),
     "rfm_group_rollup": lambda s, b: ops.rfm_group_counts(_rfm_scaled_scores(s, b), rollup=True),
     "paying_users": lambda s, b: ops.paying_users(_orders(s, b)),
     "rfm_snapshots": _snapshots,
     "segment_sizes": lambda s, b: ops.segment_sizes(_snapshot_scores(s, b)),
+    "segment_sizes_monthly": lambda s, b: ops.segment_sizes(
+        ops.snapshot_scores(_orders(s, b), P.MONTHLY_CUTOFFS, P.JOURNEY_SCALED)
+    ),
     "segment_sizes_subset": lambda s, b: ops.segment_sizes(_snapshot_scores(s, b), P.SNAPSHOT_GROUPS),
     # clients and transactions
     "transaction_totals": lambda s, b: _rounded(
@@ -151,10 +168,11 @@ _RAW: dict[str, Query] = {
     "peak_traffic_day": lambda s, b: ops.peak_traffic_days(_daily(s, b)),
     "traffic_by_weekday": lambda s, b: ops.traffic_by_weekday(_daily(s, b)),
     "top_channels_traffic": lambda s, b: ops.top_channels(
-        T.channel_visits(T.load_table(s, b, "events"), [P.TRAFFIC_YEAR]), k=3, year=P.TRAFFIC_YEAR
+        T.channel_visits(T.load_table(s, b, "events"), [P.TRAFFIC_YEAR]), k=P.TOP_CHANNELS, year=P.TRAFFIC_YEAR
     ),
+    "channel_users_sketched": _channel_users_sketched,
     "top_channels_revenue": lambda s, b: ops.channel_revenue_share(
-        _sales(s, b, (P.CHANNEL_YEAR,)), P.CHANNEL_YEAR, k=3
+        _sales(s, b, (P.CHANNEL_YEAR,)), P.CHANNEL_YEAR, k=P.TOP_CHANNELS
     ),
     "channel_growth": lambda s, b: ops.channel_growth(
         _sales(s, b, (P.CHANNEL_YEAR, P.CHANNEL_PREV_YEAR)), P.CHANNEL_YEAR, P.CHANNEL_PREV_YEAR, k=1

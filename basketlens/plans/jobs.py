@@ -1,9 +1,7 @@
 """Jobs that write their results: lineage cut by a stored table.
 
-A long chain of analyses over 100 TB is cut at stored tables in the shared
-folder the cluster names in ``spark.checkpoint.dir`` (never a machine-local
-folder): after a write, later steps read the files back, so a lost executor
-costs only the current stage, not a recomputation from the raw orders.
+After a write, later steps read the files back, so a lost executor costs only
+the current stage, not a recomputation from the raw orders.
 """
 
 from __future__ import annotations
@@ -16,18 +14,9 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.profiles import JOURNEY, RfmProfile
 from basketlens.operators.journey import rfm_snapshots, segment_sizes
-from basketlens.session import checkpoint_dir
 from basketlens.sources.snapshots import read_snapshot, write_snapshots
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under ``<spark.checkpoint.dir>/tables/<name>``
-    and return the frame read back from there."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def snapshot_report(
     spark: SparkSession,
     orders: DataFrame,
@@ -35,11 +24,12 @@ def snapshot_report(
     path: str,
     profile: RfmProfile = JOURNEY,
     groups: Sequence[str] | None = None,
+    sort: Sequence[str] = (),
 ) -> DataFrame:
     """Compute the RFM snapshots, store them partitioned by ``snapshot`` at
-    ``path`` (only these snapshots are replaced), and return the segment
-    sizes computed from the stored table."""
-    write_snapshots(rfm_snapshots(orders, cutoffs, profile), path)
+    ``path`` (only these snapshots are replaced; in order of ``sort``), and
+    return the segment sizes computed from the stored table."""
+    write_snapshots(rfm_snapshots(orders, cutoffs, profile), path, sort=sort)
     wanted = [F.lit(str(c)).cast("date") for c in cutoffs]
     stored_snaps = read_snapshot(spark, path).where(F.col("snapshot").isin(wanted))
     return segment_sizes(stored_snaps, groups)

@@ -117,6 +117,7 @@ FROM person JOIN turnover ON turnover.cut IS NOT DISTINCT FROM person.cut"""
 
 
 SCALED = (JOURNEY_R + SCALED_F + SCALED_M, JOURNEY_CODES)
+MONTHLY = [f"{y}-{m:02d}-01" for y in (1998, 1999, 2000) for m in range(1, 13)]
 SNAPSHOTS = ("2000-01-01", "2000-02-01", "2000-03-01")
 
 
@@ -207,6 +208,7 @@ SELECT segment, count(*) AS users FROM person GROUP BY ALL UNION ALL SELECT 'TOT
     "paying_users": f"WITH {SALE} SELECT count(DISTINCT who) AS paying_users FROM sale WHERE amount > 0",
     "rfm_snapshots": rfm_table(SNAPSHOTS, *SCALED, snapshot=True),
     "segment_sizes": f"WITH {scored_people(SNAPSHOTS, *SCALED)}\nSELECT cut AS snapshot, segment, count(*) AS count_by_group FROM person GROUP BY ALL",
+    "segment_sizes_monthly": f"WITH {scored_people(MONTHLY, *SCALED)}\nSELECT cut AS snapshot, segment, count(*) AS count_by_group FROM person GROUP BY ALL",
     "segment_sizes_subset": f"""WITH {scored_people(SNAPSHOTS, *SCALED)}
 SELECT cut AS snapshot, segment, count(*) AS count_by_group FROM person WHERE segment IN ('VIP', 'undefined_group') GROUP BY ALL""",
     "transaction_totals": f"""SELECT count(*) AS transactions_count, sum(amount)::DOUBLE AS transactions_sum,
@@ -221,6 +223,8 @@ FROM (SELECT o_totalprice::DECIMAL(12,2) AS amount FROM orders)""",
     "top_channels_traffic": """SELECT event_type AS channel, count(DISTINCT user_id) AS users
 FROM events WHERE year(ts) = 2024 AND user_id IS NOT NULL GROUP BY event_type
 QUALIFY row_number() OVER (ORDER BY users DESC, channel) <= 3""",
+    "channel_users_sketched": """SELECT event_type AS channel, year(ts)::INTEGER AS year, count(DISTINCT user_id) AS users, true AS within_bound
+FROM events WHERE ts IS NOT NULL GROUP BY ALL""",
     "top_channels_revenue": f"""WITH {CHANNEL_SALE},
 earned AS (SELECT channel, sum(amount) AS revenue FROM channel_sale WHERE y = 2000 GROUP BY channel)
 SELECT channel, revenue::DOUBLE AS revenue, {two_places(ratio('revenue', 'sum(revenue) OVER ()') + ' * 100')} AS share_pct

@@ -12,11 +12,12 @@ from __future__ import annotations
 import datetime as dt
 
 from basketlens.functions.bands import above, at_most, between, equal
-from basketlens.functions.profiles import JOURNEY, RF_BASIC, rf_with_bands, with_bands
+from basketlens.functions.profiles import JOURNEY, MARKET, RF_BASIC, rf_with_bands, with_bands
 
 # Cutoffs
 RFM_CUTOFF = dt.date(2000, 1, 1)
 SNAPSHOT_CUTOFFS = (dt.date(2000, 1, 1), dt.date(2000, 2, 1), dt.date(2000, 3, 1))
+MONTHLY_CUTOFFS = tuple(dt.date(y, m, 1) for y in (1998, 1999, 2000) for m in range(1, 13))
 RF_CUTOFF = dt.date(2000, 1, 1)
 COHORT_CUTOFF = dt.date(1997, 5, 1)
 RECENT_WINDOW_DAYS = 365
@@ -25,6 +26,8 @@ CHURN_YEAR = 1999
 CHANNEL_YEAR = 2000
 CHANNEL_PREV_YEAR = 1999
 TRAFFIC_YEAR = 2024
+TOP_USERS = 10
+TOP_CHANNELS = 3
 LIMIT_THRESHOLD = 70
 LIMIT_THRESHOLD_HIGH = 20000
 SNAPSHOT_GROUPS = ("VIP", "undefined_group")
@@ -50,8 +53,8 @@ RF_SCALED = rf_with_bands(
 )
 
 __all__ = [
-    "CHANNEL_PREV_YEAR", "CHANNEL_YEAR", "CHURN_YEAR", "COHORT_CUTOFF", "JOURNEY_SCALED",
-    "LIMIT_THRESHOLD", "LIMIT_THRESHOLD_HIGH", "RECENT_MIN_ROWS",
+    "CHANNEL_PREV_YEAR", "CHANNEL_YEAR", "CHURN_YEAR", "COHORT_CUTOFF", "JOURNEY", "JOURNEY_SCALED",
+    "LIMIT_THRESHOLD", "LIMIT_THRESHOLD_HIGH", "MARKET", "MONTHLY_CUTOFFS", "RECENT_MIN_ROWS",
     "RECENT_WINDOW_DAYS", "RF_CUTOFF", "RF_SCALED", "RFM_CUTOFF", "SNAPSHOT_CUTOFFS",
-    "SNAPSHOT_GROUPS", "TRAFFIC_YEAR",
+    "SNAPSHOT_GROUPS", "TOP_CHANNELS", "TOP_USERS", "TRAFFIC_YEAR",
 ]

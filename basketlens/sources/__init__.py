@@ -12,6 +12,7 @@ from basketlens.sources.tables import (
 )
 from basketlens.sources.ingest import (
     ParseResult,
+    drop_load,
     ingest_daily_traffic_table,
     ingest_orders_table,
     load_daily_traffic,
@@ -20,7 +21,9 @@ from basketlens.sources.ingest import (
     parse_orders,
     store_parsed,
 )
+from basketlens.sources.order_store import read_order_log, write_order_log
 from basketlens.sources.snapshots import read_snapshot, write_snapshots
+from basketlens.sources.sorting import in_order
 
 __all__ = [
     "ParseResult",
@@ -28,7 +31,9 @@ __all__ = [
     "channel_visits",
     "clients_frame",
     "daily_traffic",
+    "drop_load",
     "event_transactions",
+    "in_order",
     "ingest_daily_traffic_table",
     "ingest_orders_table",
     "load_daily_traffic",
@@ -38,7 +43,9 @@ __all__ = [
     "order_transactions",
     "parse_daily_traffic",
     "parse_orders",
+    "read_order_log",
     "read_snapshot",
     "store_parsed",
+    "write_order_log",
     "write_snapshots",
 ]

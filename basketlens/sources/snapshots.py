@@ -10,16 +10,21 @@ snapshot by date is a partition filter: only that folder is listed and read.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketlens.sources.sorting import in_order
 
-def write_snapshots(df: DataFrame, path: str, partition_col: str = "snapshot") -> None:
+
+def write_snapshots(df: DataFrame, path: str, partition_col: str = "snapshot", sort: Sequence[str] = ()) -> None:
     """Write ``df`` partitioned by ``partition_col``; replace only the
-    partitions present in ``df``."""
+    partitions present in ``df``.  With ``sort`` (``-name``: falling) the
+    files of a partition, taken by name, are in that order."""
+    ordered = in_order(df, partition_col, *sort) if sort else df
     (
-        df.write.mode("overwrite")
+        ordered.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_col)
         .parquet(path)

@@ -46,45 +46,46 @@ def load_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
 
 
-def order_log(orders: DataFrame) -> DataFrame:
+def order_log(orders: DataFrame, money: str = MONEY) -> DataFrame:
     """Order log ``O`` from an ``orders`` table.
 
-    Money becomes ``decimal(12,2)`` so sums are exact and independent of
-    summation order; the order timestamp becomes a ``date``.
+    Money becomes ``money`` (``decimal(12,2)``; a wider type for larger
+    amounts) so sums are exact and independent of summation order; the order
+    timestamp becomes a ``date``.
     """
     return orders.select(
         F.col("o_orderkey").alias("id_o"),
         F.col("o_custkey").alias("user_id"),
-        F.col("o_totalprice").cast(MONEY).alias("price"),
+        F.col("o_totalprice").cast(money).alias("price"),
         F.col("o_orderdate").cast("date").alias("o_date"),
     )
 
 
-def clients_frame(customer: DataFrame) -> DataFrame:
+def clients_frame(customer: DataFrame, money: str = MONEY) -> DataFrame:
     """Clients with a credit limit: ``(id_client, limit_sum)``."""
     return customer.select(
         F.col("c_custkey").alias("id_client"),
-        F.col("c_acctbal").cast(MONEY).alias("limit_sum"),
+        F.col("c_acctbal").cast(money).alias("limit_sum"),
     )
 
 
-def order_transactions(orders: DataFrame) -> DataFrame:
+def order_transactions(orders: DataFrame, money: str = MONEY) -> DataFrame:
     """Transactions from orders: one per order, amount = order total."""
     return orders.select(
         F.col("o_custkey").alias("id_client"),
         F.col("o_orderdate").cast("date").alias("transaction_date"),
         F.date_format("o_orderdate", "HH:mm:ss").alias("transaction_time"),
-        F.col("o_totalprice").cast(MONEY).alias("transaction_sum"),
+        F.col("o_totalprice").cast(money).alias("transaction_sum"),
     )
 
 
-def event_transactions(events: DataFrame) -> DataFrame:
+def event_transactions(events: DataFrame, money: str = MONEY) -> DataFrame:
     """Transactions from an event log: date and ``HH:mm:ss`` time of each event."""
     return events.select(
         F.col("user_id").alias("id_client"),
         F.col("ts").cast("date").alias("transaction_date"),
         F.date_format("ts", "HH:mm:ss").alias("transaction_time"),
-        F.col("value").cast(MONEY).alias("transaction_sum"),
+        F.col("value").cast(money).alias("transaction_sum"),
     )
 
 
@@ -115,7 +116,9 @@ def channel_visits(events: DataFrame, years: Iterable[int] | None = None) -> Dat
     )
 
 
-def channel_sales(orders: DataFrame, customer: DataFrame, years: Iterable[int] | None = None) -> DataFrame:
+def channel_sales(
+    orders: DataFrame, customer: DataFrame, years: Iterable[int] | None = None, money: str = MONEY
+) -> DataFrame:
     """Sales per client and year with the client's channel (market segment):
     ``(channel, year, user_id, revenue)``.
 
@@ -131,7 +134,7 @@ def channel_sales(orders: DataFrame, customer: DataFrame, years: Iterable[int] |
         orders.select(
             F.col("o_custkey").alias("user_id"),
             F.year("o_orderdate").alias("year"),
-            F.col("o_totalprice").cast(MONEY).alias("price"),
+            F.col("o_totalprice").cast(money).alias("price"),
         )
         .groupBy("user_id", "year")
         .agg(F.sum("price").alias("revenue"))

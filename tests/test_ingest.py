@@ -3,15 +3,22 @@
 import datetime as dt
 import decimal
 import os
+import re
 
 import pytest
 
 from basketlens.operators import peak_traffic_days, traffic_by_weekday
 from basketlens.plans.round_trip import format_orders_text
+from basketlens.sources import order_log
 from basketlens.sources.ingest import (
+    ORDERS_TYPED,
+    drop_load,
+    ingest_orders_table,
     load_daily_traffic,
     load_orders,
     parse_daily_traffic,
+    parse_decimal_comma,
+    parse_grouped_int,
     parse_orders,
 )
 
@@ -195,3 +202,67 @@ def test_loading_again_replaces_everything(spark, scratch):
         res = ingest_orders_table(spark, _orders_file(scratch, f"load{i}.csv", head, *lines), dest)
         counts.append((res.good.count(), res.rejected.count()))
     assert counts == [(1, 1), (1, 0), (0, 1)]
+
+
+def test_compatibility_digits_are_read_as_nfkd(spark):
+    import unicodedata
+
+    from basketlens.functions.numeric import compatibility_digits
+
+    chars, plain = compatibility_digits()
+    assert all(unicodedata.normalize("NFKD", c) == p for c, p in zip(chars, plain)) and len(chars) > 100
+    texts = ["\uff11\uff12\uff0c\uff15", "\u00b2\u2075", "\U0001d7d9\U0001d7ec,\U0001d7ff", f"3{NBSP}715", "\u2460\u00b9", "1\u2009000", "x\u00b2"]
+    raw = spark.createDataFrame([(t, t) for t in texts], "price string, users string")
+    got = raw.select(parse_decimal_comma(raw.price, "decimal(20,2)"), parse_grouped_int(raw.users)).collect()
+    for text, (price, users) in zip(texts, got):
+        form = unicodedata.normalize("NFKD", text)
+        number = form.replace(",", ".").strip()
+        assert price == (decimal.Decimal(number) if re.fullmatch(r"[\d.]+", number) else None), text
+        whole = form.replace(" ", "")
+        assert users == (int(whole) if whole.isdigit() else None), text
+
+
+def test_rejected_rows_name_their_file(spark, scratch):
+    os.makedirs(f"{scratch}/in")
+    for name, bad in (("a", "x"), ("b", "y")):
+        with open(f"{scratch}/in/{name}.csv", "w") as f:
+            f.write(f"id_o;user_id;price;o_date\n1;10;1,5;01.02.2016\n{name};11;{bad};01.02.2016\n2;3\n")
+    for found in (load_orders(spark, f"{scratch}/in"), ingest_orders_table(spark, f"{scratch}/in", f"{scratch}/t", load="one")):
+        rejected = found.rejected.collect()
+        assert sorted((os.path.basename(r.source_file), r.price) for r in rejected if r.price) == [("a.csv", "x"), ("b.csv", "y")]
+        assert sorted((os.path.basename(r.source_file), r.raw_line) for r in rejected if not r.price) == [("a.csv", "2;3"), ("b.csv", "2;3")]
+        assert all(r.block_start == 0 for r in rejected)
+        assert found.good.columns == ["id_o", "user_id", "price", "o_date"] and found.good.count() == 2
+
+
+def test_loads_are_replaced_and_taken_back(spark, scratch):
+    def export(name, *prices):
+        with open(f"{scratch}/{name}.csv", "w") as f:
+            f.write("id_o;user_id;price;o_date\n" + "".join(f"{i};10;{p};01.02.2016\n" for i, p in enumerate(prices)))
+        return f"{scratch}/{name}.csv"
+
+    def state(found):
+        return sorted(float(r.price) for r in found.good.collect()), sorted(r.price for r in found.rejected.collect())
+
+    table = f"{scratch}/table"
+    first, second = export("one", "1,0", "2,0", "x"), export("two", "3,0")
+    assert state(ingest_orders_table(spark, first, table, load="2016-02")) == ([1.0, 2.0], ["x"])
+    for _ in range(2):
+        assert state(ingest_orders_table(spark, second, table, load="2016-03")) == ([1.0, 2.0, 3.0], ["x"])
+    # a corrected export: its rows and its rejected rows replace the first ones
+    assert state(ingest_orders_table(spark, export("corrected", "1,0", "2,5"), table, load="2016-02")) == ([1.0, 2.5, 3.0], [])
+    drop_load(spark, table, "2016-03", ORDERS_TYPED)
+    again = ingest_orders_table(spark, first, table, load="2016-02")
+    assert state(again) == ([1.0, 2.0], ["x"])
+    with pytest.raises(ValueError):
+        ingest_orders_table(spark, first, table, load="../x")
+
+
+def test_price_type_of_the_jobs(spark, scratch):
+    with open(f"{scratch}/o.csv", "w") as f:
+        f.write("id_o;user_id;price;o_date\n1;10;12345678901,55;01.02.2016\n")
+    for found in (load_orders(spark, f"{scratch}/o.csv", price_type="decimal(14,2)"), ingest_orders_table(spark, f"{scratch}/o.csv", f"{scratch}/t", price_type="decimal(14,2)")):
+        assert [r.price for r in found.good.collect()] == [decimal.Decimal("12345678901.55")]
+    assert load_orders(spark, f"{scratch}/o.csv").rejected.first().reject_reason == "price out of range"
+    wide = spark.createDataFrame([(1, 2, 12345678901.5, dt.datetime(2020, 1, 1))], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz")
+    assert order_log(wide, "decimal(14,2)").first().price == decimal.Decimal("12345678901.50")

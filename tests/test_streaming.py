@@ -1,5 +1,9 @@
 """Incremental daily traffic equals the batch table for every closed day."""
 
+import csv
+import decimal
+import glob
+
 import pytest
 
 from basketlens.sources.tables import daily_traffic
@@ -33,7 +37,7 @@ def test_stream_without_a_shared_folder_needs_a_path(spark, scratch, monkeypatch
 def test_snapshot_report_reads_back_stored_table(spark, scratch):
     import datetime as dt
 
-    from basketlens.plans.jobs import snapshot_report, stored
+    from basketlens.plans.jobs import snapshot_report
     from basketlens.sources.tables import load_table, order_log
 
     orders = order_log(load_table(spark, SMALL, "orders"))
@@ -45,8 +49,6 @@ def test_snapshot_report_reads_back_stored_table(spark, scratch):
                     .withColumnRenamed("sum(count_by_group)", "n").collect()}
     assert set(per_snapshot) == set(cutoffs)
     assert per_snapshot[cutoffs[0]] <= per_snapshot[cutoffs[1]]
-    back = stored(spark, sizes, "sizes")
-    assert back.count() == sizes.count()
 
 
 def test_command_line(spark, scratch, capsys):
@@ -61,6 +63,30 @@ def test_command_line(spark, scratch, capsys):
     out = f"{scratch}/weekday"
     assert main(["run", "traffic_by_weekday", "--data", SMALL, "--out", out, "--master", "local[2]"]) == 0
     assert spark.read.parquet(out).count() == 7
+    out = f"{scratch}/rfm"
+    assert main(["run", "rfm_journey", "--data", SMALL, "--out", out, "--format", "csv", "--profile", "market", "--sort", "segment", "-sum_price"]) == 0
+    rows = [r for part in sorted(glob.glob(f"{out}/part-*")) for r in csv.DictReader(open(part))]
+    assert rows == sorted(rows, key=lambda r: (r["segment"], -float(r["sum_price"]))) and len(rows) > 10
+    out = f"{scratch}/use"
+    assert main(["run", "limit_utilisation", "--data", SMALL, "--out", out, "--threshold", "1000000000"]) == 0
+    assert spark.read.parquet(out).count() == 0
+    assert main(["run", "most_active_users", "--data", SMALL, "--out", out, "--top", "3"]) == 0
+    assert spark.read.parquet(out).count() == 3
+
+
+def test_command_line_jobs(spark, scratch):
+    from basketlens.__main__ import main
+
+    with open(f"{scratch}/orders.csv", "w") as f:
+        f.write("id_o;user_id;price;o_date\n1;10;12345678901,5;01.02.2016\n2;11;x;01.02.2016\n3;11;2,5;01.03.2016\n")
+    table = f"{scratch}/table"
+    for _ in range(2):  # a repeated load changes nothing
+        assert main(["ingest", "orders", f"{scratch}/orders.csv", table, "--load", "2016", "--price-type", "decimal(12,1)"]) == 0
+    good = spark.read.parquet(table).where("status = 'good'")
+    assert sorted(r.price for r in good.collect()) == [2.5, decimal.Decimal("12345678901.5")]
+    snaps = f"{scratch}/snaps"
+    assert main(["snapshots", "--data", SMALL, "--out", snaps, "--snapshots", "2000-01-01", "2000-02-01", "--sort", "user_id"]) == 0
+    assert spark.read.parquet(snaps).select("snapshot").distinct().count() == 2
 
 
 def test_stream_days_in_another_session_zone(scratch):
