@@ -124,6 +124,6 @@ def combined(parts: DataFrame, partitions: int, join: Callable[[list[bytes]], by
     rows = parts.select(F.spark_partition_id().cast("long").alias("key"), "part")
     while partitions > FAN:
         partitions = -(-partitions // FAN)
-        rows = rows.groupBy((F.col("key") % partitions).alias("key")).applyInArrow(lean_group(level), "key long, part binary")
+        rows = rows.withColumn("key", F.col("key") % partitions).groupBy("key").applyInArrow(lean_group(level), "key long, part binary")
     found = [bytes(r.part) for r in rows.select("part").collect()]
     return join(found) if found else None

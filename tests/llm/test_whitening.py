@@ -92,7 +92,13 @@ def test_hot_vector_and_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(wh, "BLOCK_ENTRIES", 64)
     rng = np.random.default_rng(8)
     rows = [(i, [float(c) for c in (rng.normal(size=6) if i % 3 else np.ones(6))]) for i in range(200)]
-    agree(wh.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9)).collect(), rows, 6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        agree(wh.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), rows, 6)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_query_on_the_whole_table(spark):
