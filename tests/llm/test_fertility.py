@@ -7,6 +7,9 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from pyspark.sql import functions as F
+
+from basketlens.llm import fertility
 from basketlens.llm.fertility import judge
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -54,6 +57,91 @@ def test_whole_table(spark):
     assert found(df) == brute_force([tuple(r) for r in df.collect()])
 
 
+def plain_band(pairs, slack, quartiles):
+    """pairs: (value, weight). Shortest interval with half of the weight, its core, fences of the core's quartiles."""
+    pairs = sorted(pairs)
+    total = sum(w for _, w in pairs)
+    best = None
+    for i in range(len(pairs)):
+        got = 0.0
+        for k in range(i, len(pairs)):
+            got += pairs[k][1]
+            if got >= total / 2 - 1e-9 * total:
+                if best is None or pairs[k][0] - pairs[i][0] < best[0] - 1e-15:
+                    best = (pairs[k][0] - pairs[i][0], (pairs[k][0] + pairs[i][0]) / 2)
+                break
+    core = [(v, w) for v, w in pairs if abs(v - best[1]) <= 4 * best[0] / 2 + slack]
+    total, got, cut = sum(w for _, w in core), 0.0, []
+    for share in (0.25, 0.75):
+        got = 0.0
+        for v, w in core:
+            got += w
+            if got >= share * total - 1e-9 * total:
+                cut.append(v)
+                break
+    reach = quartiles * (cut[1] - cut[0]) + slack
+    return cut[0] - reach, cut[1] + reach
+
+
+def verdicts(rows):
+    """kept of each row (doc_id, lang, script, sources, n_tokens, base_failed, measures), by plain loops."""
+    langs = Counter(r["lang"] for r in rows)
+    for r in rows:
+        r["lang"] = r["lang"] if r["lang"] and langs[r["lang"]] * 1000 >= len(rows) else ""
+        r["size"] = int(math.log2(max(r["n_tokens"], 1)))
+    cells = {}
+    for r in rows:
+        if not r["failed"]:
+            cells.setdefault((r["lang"], r["script"], r["size"], r["sources"]), []).append(r)
+    weight = {}
+    for key in cells:
+        sizes = sorted(len(v) for k, v in cells.items() if k[:3] == key[:3])
+        weight[key] = min(len(cells[key]), max(sizes[len(sizes) // 2], 20))
+    grid = lambda key, m: [sorted(r[m] for r in cells[key])[max(0, math.ceil((i + 0.5) / 41 * len(cells[key])) - 1)] for i in range(41)]
+    edges = {}
+    for lang, script, size, _ in cells:
+        tiers = [[k for k in cells if k[:2] == (lang, script)], [k for k in cells if k[1] == script], [k for k in cells if k[1] != "none"] or list(cells)]
+        own = next((t for t in (tiers if script != "none" else tiers[2:]) if sum(weight[k] for k in t) >= 40), tiers[2])
+        for d in range(100):
+            near = [k for k in own if abs(k[2] - size) <= d]
+            if sum(weight[k] for k in near) >= 40 or len(near) == len(own):
+                break
+        alone = lang and own is tiers[0] and script != "none"
+        for m, slack, mixed in (("chars_per_token", 0.02, 0.5), ("byte_share", 0.02, 0.05), ("entropy", 0.05, 1.0)):
+            total = sum(weight[k] for k in near)
+            cx, cy = sum(weight[k] * k[2] for k in near) / total, sum(weight[k] * grid(k, m)[20] for k in near) / total
+            square = sum(weight[k] * (k[2] - cx) ** 2 for k in near)
+            slope = sum(weight[k] * (k[2] - cx) * (grid(k, m)[20] - cy) for k in near) / square if square > 1e-12 else 0.0
+            found = [plain_band([(v + s * (size - k[2]), weight[k] / 41) for k in near for v in grid(k, m)], slack if alone else mixed, 2.65 if alone else 4.0) for s in {0.0, slope}]
+            edges[lang, script, size, m] = min(f[0] for f in found), max(f[1] for f in found)
+    out = {}
+    for r in rows:
+        inside = True
+        for m in ("chars_per_token", "byte_share", "entropy"):
+            low, high = edges.get((r["lang"], r["script"], r["size"], m), (-math.inf, math.inf))
+            inside = inside and low - 1e-9 <= r[m] <= high + 1e-9
+        out[r["doc_id"]] = inside and not r["failed"]
+    return out
+
+
+def test_bands_and_kept_by_plain_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {r.doc_id: r for r in judge(docs, MODEL).collect()}
+    source = docs.selectExpr("doc_id", "lang", "cast(pmod(xxhash64(source), 32) as int) as sources").collect()
+    rows = [{"doc_id": r.doc_id, "lang": r.lang, "sources": r.sources, "failed": found[r.doc_id].base_failed, **{c: found[r.doc_id][c] for c in ("script", "n_tokens", "chars_per_token", "byte_share", "entropy")}} for r in source]
+    want = verdicts(rows)
+    assert {i: r.kept for i, r in found.items()} == want
+    assert 0 < sum(not k and not found[i].base_failed for i, k in want.items()) < 0.2 * len(want)
+
+
+def test_junk_goes_and_clean_documents_stay(spark):
+    """By the labels: most junk that passes the base rules is rejected, of clean documents no more than stated."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    share = {r.quality: r.kept for r in judge(docs, MODEL).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert share[0] < 0.25 and 1 - share[1] < fertility.FALSE_REJECTED / 2
+
+
 @pytest.mark.parametrize("odd", ["".join(chr(0x1F300 + i % 200) for i in range(8)), "x"])
 def test_bands_reject_what_is_unlike_the_rest(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
@@ -69,11 +157,11 @@ def test_bands_reject_what_is_unlike_the_rest(spark, odd):
 
 def test_bands_hold_against_a_bad_third(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
-    kinds = Counter(int(math.log(r.n_tokens, 4)) for r in judge(docs, MODEL).collect() if not r.base_failed)
+    kinds = Counter(int(math.log2(r.n_tokens)) for r in judge(docs, MODEL).collect() if not r.base_failed)
     emoji = lambda i: " ".join("".join(chr(0x1F300 + (7 * k + 13 * i + 31 * j) % 200) for j in range(3)) for k in range(30 + i % 7))
     few = lambda i: " ".join(random.Random(i).choices(["x", "xx", "xq", "qx", "q", "xqx", "qxq"], k=90 + i % 20))
     for junk in (emoji, few):
-        size = int(math.log(judge(spark.createDataFrame([(0, "a normal text " + junk(0))], "doc_id long, text string"), MODEL).first().n_tokens, 4))
+        size = int(math.log2(judge(spark.createDataFrame([(0, "a normal text " + junk(0))], "doc_id long, text string"), MODEL).first().n_tokens))
         # a third of the kind without sources; most of it, from one source
         for share, columns in ((0.34, ["doc_id", "text"]), (0.7, ["doc_id", "text", "source"])):
             n = int(kinds[size] * share / (1 - share))
