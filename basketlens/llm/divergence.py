@@ -43,7 +43,7 @@ MIN_DOCUMENTS = 3
 TOP_TERMS = 200
 SCALE_STEPS, STEP = 3, 1000  # shares are whole 10^-9 parts: three steps of three digits
 HELD_ROWS = 200_000
-SHARD_ROWS = 500_000
+SHARD_ROWS = 100_000
 BLOCK_CELLS = 1 << 20
 _BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _COUNTS = "lang string, source string, term string, n long, docs long"
