@@ -64,7 +64,7 @@ CORE = 4.0
 LEAST_KIND = 40
 COMMON = 1000  # a language has at least one in so many documents
 FALSE_REJECTED = 0.02  # of clean documents, at most
-SOURCES = 32
+SOURCES = 8
 GRID = 41
 SLACK = {"chars_per_token": 0.02, "byte_share": 0.02, "entropy": 0.05}
 MIXED_REACH = 4.0
@@ -221,7 +221,8 @@ def judge(documents: DataFrame, model: str) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = checkpoint(measured.withColumns({"base_failed": failed, "size_class": F.floor(F.log(2.0, F.greatest("n_tokens", F.lit(1)))).cast("int")}))
     # at most COMMON languages
-    share = measured.groupBy("lang").count().withColumn("all", F.lit(measured.count()))
+    share = measured.groupBy("lang").count()
+    share = share.withColumn("all", share.agg(F.sum("count")).scalar())
     common = share.where((F.col("lang") != "") & (F.col("count") * COMMON >= F.col("all"))).select("lang", F.col("lang").alias("common"))
     measured = measured.join(F.broadcast(common), "lang", "left").withColumn("lang", F.coalesce("common", F.lit(""))).drop("common")
     grid = [(i + 0.5) / GRID for i in range(GRID)]
