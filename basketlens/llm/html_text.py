@@ -9,7 +9,10 @@ marginal; text of nodes whose marginal is at least one half is the main text.
 
 The tables of the potentials are counted on labelled pages: HTML in which
 content elements carry ``data-content``.  ``labelled_pages`` makes a bounded
-set of them (``LABELLED_PAGES``) in many layouts; own pages may be given.
+set of them (``LABELLED_PAGES``) in many layouts, also those whose article is
+in bare boxes, paragraphs or table cells without a telling tag or name; own
+pages may be given.  A ``noscript`` between blocks is a block of its own,
+judged as any other; in a paragraph it is part of the paragraph.
 
 Scripts, styles, templates, head (with its title) and comments never give
 text; all else may.  A head without its end tag ends where something starts
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.llm.runtime import lean_map, pick, ship
 
-LABELLED_PAGES = 600
+LABELLED_PAGES = 1200
 MARK = "data-content"
 
 # Fixed values of HTML: elements without an end, without text, and blocks.
@@ -48,7 +51,7 @@ FOREIGN = frozenset("svg math".split())  # "/>" ends any element in these
 EMBEDS = FOREIGN | frozenset("noscript iframe object canvas audio video".split())  # may hold text and blocks
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
-    "legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul button select textarea label option".split()
+    "legend li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul button select textarea label option".split()
 )
 # A start of the key ends an open element of the value, unless one of its bounds is nearer.
 ENDS = {
@@ -56,7 +59,9 @@ ENDS = {
     "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"),
 }
 BOUNDS = frozenset("ul ol dl table select article section div aside body html".split())
-ENDS_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot button select option label legend caption".split())
+ENDS_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot button select option label legend caption noscript".split())
+
+HOLD_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre summary legend figcaption label".split())
 
 # Kinds of words in class, id and role, the first that fits.
 KEYWORDS = [
@@ -132,9 +137,10 @@ class Tree(HTMLParser):
         self.links += tag == "a"
         self.foreign += tag in FOREIGN
         kind = keyword(attrs)
+        block = tag in BLOCKS and (tag != "noscript" or self.nodes[self.at].tag not in HOLD_TEXT)
         node = -1
         # an inline element that is called an advert or the like is a block of its own
-        if not self.silent and (tag in BLOCKS or (kind not in ("none", "content", "meta", "head") and not self.foreign)) and tag not in ("html", "body", "a"):
+        if not self.silent and (block or (kind not in ("none", "content", "meta", "head") and not self.foreign)) and tag not in ("html", "body", "a"):
             node = len(self.nodes)
             self.nodes.append(Node(tag, kind, self.at, any(a == MARK for a, _ in attrs)))
             self.nodes[self.at].parts.append(node)
@@ -194,12 +200,13 @@ def parse(html: str | None) -> list[Node]:
     return nodes
 
 
-TAGS = ("html", "p", "heading", "li", "list", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "table", "quote", "figure", "other")
+TAGS = ("html", "p", "heading", "li", "list", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "table", "quote", "figure", "noscript", "other")
 _TAG = {f"h{k}": "heading" for k in range(1, 7)} | {"ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "menu": "nav", "blockquote": "quote", "pre": "quote", "figcaption": "figure"}
 _TAG |= dict.fromkeys("table tbody thead tfoot tr td th".split(), "table") | dict.fromkeys("button select textarea label option fieldset legend search input".split(), "form")
 KINDS = ("none", *(name for name, _ in KEYWORDS))
-FEATURES = {"tag_links": 4 * len(TAGS), "kind": len(KINDS), "size": 5, "place": 4}
+FEATURES = {"tag_links": 8 * len(TAGS), "kind": len(KINDS), "size": 5, "place": 4}
 TAG_LINKS = 0  # the feature of the tag, by which a child's label depends on its parent's
+TELLING = frozenset(KINDS) - {"none", "content", "meta"}  # names that boilerplate has
 
 
 def seen(nodes: list[Node]) -> np.ndarray:
@@ -210,7 +217,7 @@ def seen(nodes: list[Node]) -> np.ndarray:
         tag = _TAG.get(n.tag, n.tag)
         share = n.total_linked / n.total if n.total else 0.0
         out[i] = (
-            4 * (TAGS.index(tag) if tag in TAGS else len(TAGS) - 1) + (0 if share < 0.05 else 1 if share < 0.3 else 2 if share < 0.8 else 3),
+            8 * (TAGS.index(tag) if tag in TAGS else len(TAGS) - 1) + 4 * (n.kind in TELLING) + (0 if share < 0.05 else 1 if share < 0.3 else 2 if share < 0.8 else 3),
             KINDS.index(n.kind),
             0 if not n.total else 1 if n.total < 25 else 2 if n.total < 100 else 3 if n.total < 400 else 4,
             min(3, 4 * before // whole),
@@ -221,7 +228,7 @@ def seen(nodes: list[Node]) -> np.ndarray:
 
 @dataclass
 class Potentials:
-    """Log potentials: of a label with each value seen, of a child's label (by its tag and the parent's label), of the root's."""
+    """Log potentials: of a label with each value seen, of a child's label (by its tag, whether its name is telling, and the parent's label), of the root's."""
 
     seen: list[np.ndarray]
     child: np.ndarray
@@ -259,7 +266,7 @@ def train(pages: DataFrame) -> Potentials:
     """Potentials from labelled pages (html), as counts plus one half."""
     ship(pages.sparkSession)
     counted = pick(pages, "html").mapInArrow(lean_map(_count_labels), "t int, value int, parent int, label int")
-    root, child = np.full(2, 0.5), np.full((len(TAGS), 2, 2), 0.5)
+    root, child = np.full(2, 0.5), np.full((2 * len(TAGS), 2, 2), 0.5)
     tables = [np.full((2, n), 0.5) for n in FEATURES.values()]
     for t, value, parent, label, n in counted.groupBy("t", "value", "parent", "label").count().collect():
         if t == 0:
@@ -321,6 +328,8 @@ def main_text(html: str | None, p: Potentials) -> str:
             end()
             stack.pop()
         elif isinstance(part, int):
+            if nodes[part].tag == "noscript" and not nodes[part].total:
+                continue  # an image for lack of scripts: the text goes on
             end()
             stack.append((part, iter(nodes[part].parts)))
         elif content[i]:
@@ -402,13 +411,33 @@ def made_page(r: random.Random, marked: bool) -> str:
                 inside.append(advert())
         body = "".join(inside)
         kind = r.random()
-        if kind < 0.55:
+        if kind < 0.35:
             return f"<article{mark}>{body}</article>"
-        if kind < 0.65:
+        if kind < 0.42:
             return f"<main{mark}>{body}</main>"
-        if kind < 0.75:
+        if kind < 0.5:
             return f"<main><article{mark}>{body}</article></main>"
-        return f'<div class="{r.choice(["content", "post", "entry-content", "article-body", "main-text", "story"])}"{mark}>{body}</div>'
+        if kind < 0.65:
+            return f'<div class="{r.choice(["content", "post", "entry-content", "article-body", "main-text", "story"])}"{mark}>{body}</div>'
+        return unnamed(inside, body)
+
+    def unnamed(inside: list[str], body: str) -> str:
+        """The article in elements that do not tell what they are."""
+        t, outer = r.choice(["div", "div", "section"]), r.choice(["", "", "<div>", "<div><div>"])
+        close = "</div>" * outer.count("<div>")
+        own = lambda block: re.sub(r"^<(p|h1|h2|ul|blockquote|pre|table)>", rf"<\1{mark}>", block)
+        kind = r.random()
+        if kind < 0.3:
+            return f"{outer}<{t}{mark}>{body}</{t}>{close}"
+        if kind < 0.55:  # a box for each part
+            parts = [f"<{t}{mark}>" + f"<h2>{words(2, 6).capitalize()}</h2>" * r.randint(0, 1) + f"<p>{text()}</p>" * r.randint(1, 2) + f"</{t}>" for _ in range(r.randint(1, 7))]
+            return outer + "".join(parts) + close
+        if kind < 0.75:  # boxes of plain text
+            return outer + "".join(f"<div{mark}>{text()}</div>" for _ in range(r.randint(1, 8))) + close
+        if kind < 0.9:
+            return outer + "".join(map(own, inside)) + close
+        cells = [f"<td>{items(2, 6, link)}</td>" * r.randint(0, 1), f"<td{mark}>{body}</td>"]
+        return f"{outer}<table><tr>{''.join(cells)}</tr></table>{close}"
 
     def advert() -> str:
         return div(["ad", "ads", "advert", "advertisement", "sponsored", "ad-slot", "promo", "banner-ad"], r.choice([line(), f"<p>{text()}</p>", text(), link(2, 6)]))
@@ -438,11 +467,16 @@ def made_page(r: random.Random, marked: bool) -> str:
     def share() -> str:
         return div(["share", "social", "share-buttons"], r.choice([items(2, 4, link), link() + link()]))
 
-    before = [f() for f, p in ((header, 0.6), (notice, 0.3), (menu, 0.7), (form, 0.15), (advert, 0.5), (side, 0.2)) if r.random() < p]
+    def without_scripts() -> str:
+        return f"<noscript>{r.choice([line(), f'<p>{line()}</p>', f'<div>{line()}</div>'])}</noscript>"
+
+    before = [f() for f, p in ((without_scripts, 0.15), (header, 0.6), (notice, 0.3), (menu, 0.7), (form, 0.15), (advert, 0.5), (side, 0.2)) if r.random() < p]
     after = [f() for f, p in ((share, 0.2), (form, 0.2), (side, 0.4), (advert, 0.2), (comments, 0.4), (notice, 0.2), (footer, 0.85)) if r.random() < p]
     if r.random() < 0.3:
         r.shuffle(before)
+    if r.random() < 0.15:  # nothing around it
+        before, after = before[: r.randint(0, 1)], []
     body = "".join([*before, article(), *after])
     if r.random() < 0.4:
-        body = f'<div {r.choice(["class", "id"])}="{r.choice(["page", "wrapper", "container", "site"])}">{body}</div>'
+        body = f'<div {r.choice(["class", "id"])}="{r.choice(["page", "wrapper", "container", "site", "root", "app", "__next", "layout"])}">{body}</div>'
     return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{margin:0}}</style></head><body>{body}<script>var t = '{word()}</p>';</script></body></html>"

@@ -30,7 +30,7 @@ def test_page(potentials):
 def test_marginals_are_exact():
     rng = np.random.default_rng(3)
     normal = lambda *shape: rng.normal(size=shape)
-    p = Potentials([normal(2, n) for n in FEATURES.values()], normal(len(TAGS), 2, 2), normal(2))
+    p = Potentials([normal(2, n) for n in FEATURES.values()], normal(2 * len(TAGS), 2, 2), normal(2))
     parents = [-1, 0, 0, 1, 1, 4, 2]
     values = np.stack([rng.integers(0, n, len(parents)) for n in FEATURES.values()], axis=1)
     total, content = 0.0, np.zeros(len(parents))
@@ -58,6 +58,32 @@ def test_new_layouts(potentials):
     assert hits / wanted > 0.97 and hits / got > 0.97
 
 
+SENTENCES = "The quick brown fox went over the hill and down to the river. It was a long day for all of them. "
+SECTIONS = "".join(f"<section><h2>Part {i}</h2><p>{SENTENCES * 2}</p></section>" for i in range(6))
+NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About us</a></li></ul></nav>'
+FOOT = "<footer>&copy; 2020 Somebody. All rights reserved.</footer>"
+UNNAMED = {
+    "sections in an app root": f'<div id="root">{SECTIONS}</div>',
+    "a whole page in an app root": f'<div id="root">{NAV}{SECTIONS}{FOOT}</div>',
+    "bare boxes": "".join(f"<div>{SENTENCES * 3}</div>" for _ in range(6)),
+    "bare boxes between menu and footer": NAV + "".join(f"<div>{SENTENCES * 3}</div>" for _ in range(6)) + FOOT,
+    "bare paragraphs": f"{NAV}<h1>Title</h1><p>{SENTENCES}</p><p>{SENTENCES}</p>{FOOT}",
+    "a table": f"<table><tr><td>{NAV}</td><td><h1>Title</h1><p>{SENTENCES}</p><p>{SENTENCES}</p></td></tr></table>",
+    "boxes in boxes": f"<div><div>{NAV}</div><div><div><h1>Title</h1><p>{SENTENCES}</p><p>{SENTENCES}</p></div></div><div>{FOOT}</div></div>",
+    "names that say nothing": f'{NAV}<div class="x7f"><div class="css-1a2b"><p>{SENTENCES}</p><p>{SENTENCES}</p></div></div>{FOOT}',
+    "a notice for lack of scripts": f'<noscript>You need to enable JavaScript to run this app.</noscript><div id="root">{SECTIONS}</div>',
+    "the same before an article": f"<noscript><div>Please enable JavaScript.</div></noscript><article><h1>Title</h1><p>{SENTENCES}</p></article>",
+}
+
+
+@pytest.mark.parametrize("layout", UNNAMED)
+def test_layouts_without_telling_names(potentials, layout):
+    body = UNNAMED[layout]
+    text = main_text(f"<html><body>{body}</body></html>", potentials)
+    assert text.count("quick brown") == body.count("quick brown") and text.count("Part ") == body.count("Part ") and text.count("Title") == body.count("Title")
+    assert not any(word in text for word in ("Home", "About", "Somebody", "JavaScript"))
+
+
 def test_edge_cases(spark, potentials):
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
     pages = [
