@@ -5,8 +5,8 @@ its words; a text without words has none and joins nothing.  Two documents
 are linked if the Jaccard similarity of their shingle sets is at least
 ``threshold``.
 
-1. Documents with the same shingle set are one class, represented by its
-   smallest doc_id; only representatives are compared.
+1. Documents with the same shingle set are one class, known by a hash of the
+   set; one document of it is compared.
 2. Each has ``HASHES`` MinHash values, in bands of as many as keep the chance
    that a pair at the threshold shares no band below ``MISS`` (at 0.8: 32
    bands of 5, 3e-6; a pair at 0.9: 1e-12).  Those that share all values of
@@ -25,9 +25,13 @@ number of links and its root.  A bucket or group of more than ``BLOCK``
 members is split into blocks, and each pair of blocks is a task's work, so
 memory stays bounded while no link is lost.
 
-Nulls: a null text has no shingles.  Documents with a null doc_id are
-represented by a negative number made from their shingles.  Repeated rows are
-copies of one another; rows of one doc_id with different texts share a class.  An empty table gives no rows.
+Nulls: a null text has no shingles.  A null doc_id counts as a negative number
+made from the document's shingles.  Repeated rows are copies of one another;
+rows of one doc_id with different texts are documents of their own, which share
+a class only if links join them.  Ties: of documents with equal ids the smaller
+hash of id and text comes first.  An empty table gives no rows.  Extra columns
+and columns whose names differ in case only are left out (``one_of_each``
+returns them).
 """
 
 from __future__ import annotations
@@ -261,13 +265,14 @@ def _blocked(members: DataFrame, size: str, key: str) -> DataFrame:
 
 
 def similar_documents(documents: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: (doc_id, same_id, class_id, n_links, n_linked_texts, row_key).
+    """One row per document: (doc_id, same_id, class_id, n_links, n_linked_texts, row_key, class_key).
 
     ``same_id``: smallest doc_id with the same shingle set.  ``class_id``: the
     smallest doc_id that can be reached over links.  ``n_links``: other
     documents at the threshold or above, copies counted;
     ``n_linked_texts``: those of other shingle sets, each set once.
-    ``row_key``: hash of doc_id and text.
+    ``row_key``: hash of doc_id and text; ``class_key``: of the class, also
+    where ids repeat.
     """
     ship(documents.sparkSession)
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
@@ -275,7 +280,7 @@ def similar_documents(documents: DataFrame, n: int = SHINGLE, threshold: float =
     signed = signed.withColumn("own", F.coalesce("doc_id", -F.abs(F.shiftright("s1", 1)) - 1))
     least = F.min(F.struct("own", "key", "doc_id"))
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(least.alias("of"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    classes = checkpoint(classes.select("s1", "s2", "copies", "sig", F.col("of.own").alias("node"), F.col("of.key").alias("key"), F.col("of.doc_id").alias("doc_id")))
+    classes = checkpoint(classes.select("s1", "s2", "copies", "sig", F.xxhash64("s1", "s2").alias("node"), F.col("of.own").alias("least_id"), F.col("of.key").alias("key"), F.col("of.doc_id").alias("doc_id")))
 
     rows = rows_a_band(threshold)
     band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // rows - 1)))
@@ -300,23 +305,26 @@ def similar_documents(documents: DataFrame, n: int = SHINGLE, threshold: float =
     linked = verified.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(verified.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
-    found = classes.select("s1", "s2", "node", "copies").join(linked, "node", "left").join(roots, "node", "left")
+    named_roots = roots.join(classes.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("root_id"))
+    roots = roots.join(named_roots, "root")
+    found = classes.select("s1", "s2", "node", "copies", "least_id").join(linked, "node", "left").join(roots, "node", "left")
     out = signed.join(found, ["s1", "s2"], "left")
     zero = F.lit(0).cast("long")
     return out.select(
         "doc_id",
-        F.coalesce("node", "own").alias("same_id"),
-        F.coalesce("root", "node", "own").alias("class_id"),
+        F.coalesce("least_id", "own").alias("same_id"),
+        F.coalesce("root_id", "least_id", "own").alias("class_id"),
         (F.coalesce(F.col("copies") - 1, zero) + F.coalesce("docs", zero)).alias("n_links"),
         F.coalesce("texts", zero).alias("n_linked_texts"),
         signed["key"].alias("row_key"),
+        F.coalesce("root", "node", signed["key"]).alias("class_key"),
     )
 
 
 def one_of_each(documents: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns: of each class that of the smallest doc_id."""
     found = similar_documents(documents, n, threshold)
-    first = found.groupBy("class_id").agg(F.min(F.struct(F.coalesce("doc_id", "same_id"), "row_key"))["row_key"].alias("row_key"))
+    first = found.groupBy("class_key").agg(F.min(F.struct(F.coalesce("doc_id", "same_id"), "row_key"))["row_key"].alias("row_key"))
     names = [f"c{i}" for i in range(len(documents.columns))]
     docs = documents.toDF(*names)
     doc_id, text = (names[documents.columns.index(c)] for c in ("doc_id", "text"))

@@ -53,7 +53,7 @@ def brute_force(rows, threshold=0.8):
 
 
 def found(df, **k):
-    return sorted(tuple(r) for r in similar_documents(df, **k).drop("row_key").collect())
+    return sorted(tuple(r) for r in similar_documents(df, **k).drop("row_key", "class_key").collect())
 
 
 def test_pruning_table_keeps_pairs_at_the_threshold():
@@ -96,6 +96,20 @@ def test_edge_cases(spark, monkeypatch):
     assert sorted((r.doc_id is None, r.n_links) for r in unnamed) == [(False, 0), (True, 1), (True, 1)]
 
 
+def test_repeated_ids(spark):
+    """Texts of one id are documents of their own: each keeps its links and its copy in the result."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, f"{a} x"), (3, f"{b} y"), (4, "apart"), (4, "from it"), (4, "apart"), (None, f"{b} y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_links): r.class_id for r in similar_documents(df).collect()}
+    assert len(got) == 7 and got[1, 1] == got[2, 1] == 1 and got[4, 1] == got[4, 0] == 4
+    assert got[1, 2] == got[3, 2] == got[None, 2] < 0  # a null id counts as a negative number
+    known = rows[:7]
+    assert found(spark.createDataFrame(known, "doc_id long, text string")) == brute_force(known)
+    kept = sorted(tuple(r) for r in jaccard_join.one_of_each(df.where("doc_id is not null")).collect())
+    assert kept == sorted([(1, a), (1, b), (4, "apart"), (4, "from it")])
+
+
 def test_against_brute_force(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in df.collect()]
