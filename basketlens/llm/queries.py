@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).drop("row_key")
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).drop("row_key", "class_key")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
