@@ -1,8 +1,9 @@
 """Benchmark decontamination: documents that contain a benchmark item.
 
 An item is contained in a document if at least ``threshold`` of its distinct
-``n``-word shingles are among the document's (an item of fewer words has one
-shingle, all its words, and so has a document of fewer words).
+``n``-word shingles are among the document's.  An item of k < n words has one
+shingle, all its words, and is contained where these stand in a row: it is
+looked up among the document's runs of k words, for each such k there is.
 
 Items are partitioned by size.  An item of m shingles may miss
 floor((1 - threshold) m) of them, so of any floor((1 - threshold) m) + 1 at
@@ -19,9 +20,11 @@ Items are a query set: they are broadcast in blocks of at most
 so a benchmark of any size fits.
 
 Nulls: a null or empty item contains nothing and is in no document; a null
-or empty document contains no item.  Repeated items count as one each time
-(by item_id); repeated documents are reported each time.  Empty tables give
-no rows.
+or empty document contains no item; null ids stay.  Repeated items count as one
+each time (by item_id); repeated documents are reported each time.  Ties do not
+occur: every item a document contains is reported.  Empty tables give no rows.
+Extra columns and columns whose names differ in case only are left out
+(``without_items`` returns them).
 """
 
 from __future__ import annotations
@@ -58,6 +61,7 @@ class Items:
     needed: np.ndarray
     sketch: np.ndarray
     owner: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: sorted shingles of shorter items, and whose
 
     @property
     def sizes(self) -> np.ndarray:
@@ -71,11 +75,19 @@ def sketch_size(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def make_items(rows: list, threshold: float) -> Items:
-    """rows: (item_id, distinct shingle hashes as bytes)."""
+    """rows: (item_id, distinct shingle hashes as bytes, words if fewer than a shingle's, else 0)."""
     sets = [np.frombuffer(r[1], U) for r in rows]
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    sketch, owner = [], []
+    words = np.array([r[2] for r in rows])
+    short = {}
+    for k in sorted(set(words[words > 0].tolist())):
+        own = np.flatnonzero(words == k)
+        one = np.concatenate([sets[i] for i in own])
+        short[k] = np.sort(one), own[np.argsort(one)]
+    sketch, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for i, k in enumerate(sketch_size(size, threshold)):
+        if words[i]:
+            continue
         low = np.argsort(mix(sets[i], 0x31), kind="stable")[:k]
         sketch.append(sets[i][low])
         owner.append(np.full(len(low), i))
@@ -83,7 +95,7 @@ def make_items(rows: list, threshold: float) -> Items:
     order = np.argsort(sketch, kind="stable")
     needed = np.ceil(threshold * size - 1e-9).astype(np.int64)
     ids = np.array([0 if r[0] is None else r[0] for r in rows], dtype=np.int64)
-    return Items(ids, np.array([r[0] is None for r in rows]), np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), needed, sketch[order], owner[order])
+    return Items(ids, np.array([r[0] is None for r in rows]), np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), needed, sketch[order], owner[order], short)
 
 
 def _filter(values: np.ndarray) -> np.ndarray:
@@ -94,7 +106,8 @@ def _filter(values: np.ndarray) -> np.ndarray:
 
 def find(items: Items, maybe: np.ndarray, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, shared shingles) of each text and each item that it contains."""
-    hashes, _, first = grams(words_of(texts), n, short_as_one=True)
+    words = words_of(texts)
+    hashes, _, first = grams(words, n, short_as_one=False)
     size = items.sizes
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     hit = np.flatnonzero(maybe[hashes >> U(64 - _FILTER_BITS)])
@@ -113,6 +126,14 @@ def find(items: Items, maybe: np.ndarray, texts: pa.Array, n: int) -> tuple[np.n
         shared = int((own[spot] == shingles).sum())
         if shared >= items.needed[i]:
             rows.append((d, i, shared))
+    for k, (shingles, owner) in items.short.items():
+        runs, _, first = grams(words, k, short_as_one=False)
+        left, right = (np.searchsorted(shingles, runs, side) for side in ("left", "right"))
+        hit = np.flatnonzero(right > left)
+        text = np.repeat(np.arange(len(texts)), np.diff(first))[hit]
+        count = (right - left)[hit]
+        pairs = np.unique(np.repeat(text, count) * len(size) + owner[spread(left[hit], count)])
+        rows += [(*divmod(p, len(size)), 1) for p in pairs.tolist()]
     return tuple(np.array(rows, dtype=np.int64).reshape(-1, 3).T)
 
 
@@ -147,9 +168,11 @@ def _without(items_of, n: int, at: int):
 def _item_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, _, first = grams(words_of(batch["text"]), n, short_as_one=True)
+            words = words_of(batch["text"])
+            hashes, _, first = grams(words, n, short_as_one=True)
             sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["item_id"], pa.array(sets, pa.binary())], names=["item_id", "shingles"])
+            few = np.where(words.counts < n, words.counts, 0)
+            yield pa.RecordBatch.from_arrays([batch["item_id"], pa.array(sets, pa.binary()), pa.array(few, pa.int32())], names=["item_id", "shingles", "words"])
 
     return run
 
@@ -159,12 +182,12 @@ def item_blocks(benchmark: DataFrame, n: int, threshold: float) -> Iterator:
     spark = benchmark.sparkSession
     ship(spark)
     items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    sets = checkpoint(items.mapInArrow(lean_map(_item_sets(n)), "item_id long, shingles binary").where("length(shingles) > 0"))
+    sets = checkpoint(items.mapInArrow(lean_map(_item_sets(n)), "item_id long, shingles binary, words int").where("length(shingles) > 0"))
     total = sets.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0
     blocks = int(-(-total // BLOCK_SHINGLES))
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("item_id", "shingles"), F.lit(max(1, blocks))))
+    sets = sets.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, blocks))))
     for b in range(blocks):
-        rows = sets.where(F.col("block") == b).select("item_id", "shingles").collect()
+        rows = sets.where(F.col("block") == b).select("item_id", "shingles", "words").collect()
         if rows:
             yield spark.sparkContext.broadcast(make_items([tuple(r) for r in rows], threshold))
 

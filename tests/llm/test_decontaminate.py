@@ -15,13 +15,17 @@ def shingles(text, n=5):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)}
 
 
-def brute_force(docs, items, threshold=0.8):
+def brute_force(docs, items, threshold=0.8, n=5):
+    """By the definition: shorter items stand in a row, others share enough of their shingles."""
     out = []
-    sets = [(i, shingles(t)) for i, t in items]
+    sets = [(i, WORD.findall(t or ""), shingles(t)) for i, t in items]
     for d, t in docs:
-        own = shingles(t)
-        for i, s in sets:
-            if s and len(s & own) >= threshold * len(s) - 1e-9:
+        words, own = WORD.findall(t or ""), shingles(t)
+        for i, w, s in sets:
+            if 0 < len(w) < n:
+                if any(words[k : k + len(w)] == w for k in range(len(words) - len(w) + 1)):
+                    out.append((d, i, 1, 1))
+            elif s and len(s & own) >= threshold * len(s) - 1e-9:
                 out.append((d, i, len(s & own), len(s)))
     return sorted(out, key=str)
 
@@ -52,6 +56,22 @@ def test_edge_cases(spark, monkeypatch):
     assert found(d, b.limit(0)) == [] == found(d.limit(0), b)
 
 
+def test_short_items(spark, monkeypatch):
+    docs = [
+        (1, "one two three alpha beta gamma delta four five six seven eight nine ten"), (2, "alpha beta gamma delta"), (3, "alpha beta gamma"), (4, "gamma delta alpha beta"),
+        (5, "x alpha"), (6, "beta"), (7, "q alpha beta gamma delta"), (8, None), (9, "alpha beta gamma x delta " * 300 + "beta alpha"),
+    ]
+    items = [(1, "alpha beta gamma delta"), (2, "beta  gamma"), (3, "beta"), (4, "beta alpha"), (5, "alpha beta gamma delta four"), (6, "beta gamma"), (None, "x\nalpha")]
+    want = brute_force(docs, items)
+    assert (1, 1, 1, 1) in want and (1, 5, 1, 1) in want and (4, 1, 1, 1) not in want and (9, 4, 1, 1) in want
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert found(d, b) == want
+    kept = {r.doc_id for r in decontaminate.without_items(d, b).collect()}
+    assert kept == {i for i, _ in docs} - {r[0] for r in want}
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 2)
+    assert found(d, b) == want
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.5])
 def test_against_brute_force(spark, threshold):
     sf = "/root/testdata/sf0.01"
