@@ -134,9 +134,9 @@ def test_headers_in_comments(spark):
                     lines = ["/*"] * (mark == " * ") + [(mark + x).rstrip() for x in head.split("\n") if x or not dense] + [" */"] * (mark == " * ") + ["int x;"]
                     want[len(rows)] = (licence, mark, end, dense)
                     rows.append((len(rows), end.join(lines)))
-    found = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {k: v for k, v in want.items() if found[k].licenses != v[0] or found[k].n_unruled} == {}
-    assert len({r.sentence_ids for r in found.values()}) == len(heads)
+    found = compare(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {k: v for k, v in want.items() if found[k][1] != v[0] or found[k][4]} == {}
+    assert len({r[2] for r in found.values()}) == len(heads)
 
 
 def test_notice_after_copyright_line(spark):
@@ -145,5 +145,26 @@ def test_notice_after_copyright_line(spark):
         "x y.\nLicensed under the\nMIT License\nhttps://opensource.org/licenses/MIT\nx": "MIT", "Copyright 2020 Foo. Licensed under the\nMIT License.": "MIT", "Copyrighted work\nx": "",
         "This work is licensed under the GNU General Public License, version\n3. More": "GPL-3.0-only",
     }
-    found = {r.doc_id: r.licenses for r in scan(spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")).collect()}
-    assert found == dict(enumerate(notices.values()))
+    found = compare(spark, spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string"))
+    assert {k: r[1] for k, r in found.items()} == dict(enumerate(notices.values()))
+
+
+def test_variable_parts_families_and_identifiers(spark):
+    lgpl = GPL3.replace("This program is free", "libfoo is free").replace("version 3", "version 2.1").replace("GNU General", "GNU Lesser General").replace("This program is", "This library is")
+    agpl = GPL3.replace("GNU General", "GNU Affero General")
+    only = GPL3.split("either")[0].replace("License as published by\nthe", "License version 2 as published by the").rstrip(", \n") + "."
+    named = BSD.replace("Neither the name of the\n   copyright holder nor", "Neither the name of Foo, Bar and Co nor")
+    texts = {
+        named: "BSD-3-Clause", BSD.replace("copyright holder nor", "University nor").replace("its contributors", "its\n   contributors"): "BSD-3-Clause", BSD.split("3. Neither")[0]: "BSD-2-Clause",
+        lgpl: "LGPL-2.1-or-later", agpl: "AGPL-3.0-or-later", only: "GPL-2.0-only",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "Released under the MIT License, see LICENSE.": "MIT", "This project is licensed under the terms of the MIT license - see the LICENSE.md file for details": "MIT",
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "Licensed under LGPLv2.1 or later": "LGPL-2.1-or-later", "released under the GPLv3": "GPL-3.0-only",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "Published under CC BY-NC-SA 3.0": "CC-BY-NC-SA-3.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0", "Licensed under the Eclipse Public License 2.0": "EPL-2.0",
+        "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later", "// SPDX-License-Identifier: GPL-3.0-only\nint x;": "GPL-3.0-only", "/* SPDX-License-Identifier: BSD-2-Clause */": "BSD-2-Clause",
+        "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0-only", "; SPDX-License-Identifier: (MIT OR Apache-2.0)\n": "Apache-2.0,MIT", "SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: MIT AND ISC AND (Zlib OR 0BSD)": "0BSD,ISC,MIT,Zlib", "SPDX-License-Identifier: LicenseRef-own": "", "MIT is under the sun. Apache 2 helicopters": "",
+    }
+    found = compare(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {list(texts)[k][:60]: r[1] for k, r in found.items() if r[1] != texts[list(texts)[k]]} == {}
