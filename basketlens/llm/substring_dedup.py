@@ -10,17 +10,25 @@ document at an earlier word).  Windows are judged on the input.
 2. Sketches are merged cell range by cell range.  A merged count never falls
    below the true one, so a window whose cell was seen once is unique.  Each
    chunk gets back the cells that were seen again.
-3. Only windows in such cells are grouped, by 96 bits of hash, and the first
-   start of each group is kept; each chunk gets back the starts that go.
+3. Only windows in such cells are grouped, by 96 bits of hash.  A chunk sends
+   its first start of each, once however often it has the window, and is told
+   those of which another chunk has an earlier start: all of its own go.  Of
+   the others, and of windows that only this chunk repeats, all but its first
+   start go.
 
 Shuffled: texts once, about two bytes a window for the sketches, then the
-windows estimated repeated.  Cells and windows are dealt by hash and a window
-that is in a third of all documents sends one cell a chunk, so no group grows
-with a hot passage.
+distinct windows of a chunk that are estimated repeated.  Cells and windows are
+dealt by hash, and a window that is in a third of all documents sends one cell
+and one start a chunk, so no group grows with a hot passage.  Chunks and ranges
+grow together with the corpus, up to ``MOST_CHUNK`` and ``MOST_RANGE``, so that
+a chunk has ``SHARED`` windows for each range as long as these hold.
 
 Nulls: a null text has no words; a null doc_id orders after all others.
 Repeated rows (same id and text) are judged alike: neither starts earlier.
-Empty and short texts keep all words; an empty table gives no rows.
+Ties: starts at one word of rows with one id are the same start.
+Empty and short texts keep all words; an empty table gives no rows.  Extra
+columns and columns whose names differ in case only are left out
+(``without_repeats`` returns them).
 """
 
 from __future__ import annotations
@@ -39,14 +47,18 @@ from basketlens.llm.runtime import lean_cogroup, lean_group, pick, ship
 from basketlens.llm.words import U, Words, grams, mix, words_of
 
 WINDOW = 20
-CHUNK_BYTES = 4 << 20  # of text a chunk
-RANGE_WINDOWS = 1 << 20  # windows a cell range, about
+CHUNK_BYTES = 4 << 20  # of text a chunk, at least
+RANGE_WINDOWS = 1 << 20  # windows a cell range, about, at least
+MOST_CHUNK = 48 << 20
+MOST_RANGE = 1 << 26
+SHARED = 32
+WORD_BYTES = 6  # about, to tell windows from bytes
 CELLS_PER_WINDOW = 32  # width of the sketch against the windows of the corpus
 _LAST = 2**63 - 1
 
 _TOLD = "chunk int, rng int, cells binary"
-_FOUND = "chunk int, rng int, doc binary, hash binary, more binary"
-_GOES = "chunk int, rng int, starts binary"
+_FOUND = "chunk int, rng int, first binary"
+_GOES = "chunk int, rng int, windows binary"
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -88,13 +100,17 @@ def _cell(hashes: np.ndarray, ranges: int, cells: int) -> tuple[np.ndarray, np.n
     return (mix(hashes, 0x77) % U(ranges)).astype(np.int64), mix(hashes, 0x99) % U(cells)
 
 
-def _by_range(rng: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each range with the positions of its entries, in order."""
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of each run of equal values (none is negative)."""
+    cuts = np.append(np.flatnonzero(np.diff(values, prepend=-1)), len(values))
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def _by_range(rng: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range that has entries, with their positions in order."""
     order = np.argsort(rng, kind="stable")
-    cuts = np.searchsorted(rng[order], np.arange(ranges + 1))
-    for r in range(ranges):
-        if cuts[r] < cuts[r + 1]:
-            yield r, order[cuts[r] : cuts[r + 1]]
+    for a, b in _runs(rng[order]):
+        yield int(rng[order[a]]), order[a:b]
 
 
 def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
@@ -103,8 +119,10 @@ def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
 
 
 _TOLD_ARROW = [("chunk", pa.int32()), ("rng", pa.int32()), ("cells", pa.binary())]
-_FOUND_ARROW = [("chunk", pa.int32()), ("rng", pa.int32()), ("doc", pa.binary()), ("hash", pa.binary()), ("more", pa.binary())]
-_GOES_ARROW = [("chunk", pa.int32()), ("rng", pa.int32()), ("starts", pa.binary())]
+_FOUND_ARROW = [("chunk", pa.int32()), ("rng", pa.int32()), ("first", pa.binary())]
+_GOES_ARROW = [("chunk", pa.int32()), ("rng", pa.int32()), ("windows", pa.binary())]
+_WINDOW = np.dtype([("hash", "<u8"), ("more", "<u4")])
+_FIRST = np.dtype([("hash", "<u8"), ("more", "<u4"), ("id", "<i8"), ("at", "<i4")])
 
 
 def _sketch(window: int, ranges: int, cells: int):
@@ -113,7 +131,7 @@ def _sketch(window: int, ranges: int, cells: int):
         _, hashes, _, _ = _windows(table, window)
         rng, cell = _cell(hashes, ranges, cells)
         rows = []
-        for r, at in _by_range(rng, ranges):
+        for r, at in _by_range(rng):
             distinct, counts = np.unique(cell[at], return_counts=True)
             # a cell that this chunk alone saw twice is told as seen twice
             value = (distinct << U(1)) | (counts > 1).astype(U)
@@ -140,12 +158,17 @@ def _merge(table: pa.Table) -> pa.Table:
     return _rows(_TOLD_ARROW, rows)
 
 
-def _doc_keys(table: pa.Table) -> np.ndarray:
-    """(doc_id, key) of each row; a null id orders last."""
-    out = np.empty(table.num_rows, dtype=[("id", "<i8"), ("key", "<i8")])
-    out["id"] = table["doc_id"].combine_chunks().fill_null(_LAST).to_numpy()
-    out["key"] = table["key"].to_numpy()
-    return out
+def _doc_ids(table: pa.Table) -> np.ndarray:
+    """doc_id of each row; a null id orders last."""
+    return table["doc_id"].combine_chunks().fill_null(_LAST).to_numpy()
+
+
+def _starts(hashes: np.ndarray, more: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by window, document and word; place in it of each window's first entry)."""
+    order = np.lexsort((at, doc, more, hashes))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (more[order][1:] != more[order][:-1])
+    return order, np.flatnonzero(new)
 
 
 def _candidates(window: int, ranges: int, cells: int):
@@ -153,24 +176,26 @@ def _candidates(window: int, ranges: int, cells: int):
         if table.num_rows == 0 or told.num_rows == 0:
             return _rows(_FOUND_ARROW, [])
         chunk = table["chunk"][0].as_py()
-        docs = _doc_keys(table)
+        docs = _doc_ids(table)
         words, hashes, at, first = _windows(table, window)
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         rng, cell = _cell(hashes, ranges, cells)
         again = {r: unpack_sorted(c) for r, c in zip(told["rng"].to_pylist(), told["cells"].to_pylist(), strict=True)}
         more = more_bits(words, window)
         rows = []
-        for r, i in _by_range(rng, ranges):
+        for r, i in _by_range(rng):
             if r not in again:
                 continue
             seen = again[r]
             p = np.searchsorted(seen, cell[i])
             i = i[(p < len(seen)) & (seen[np.minimum(p, len(seen) - 1)] == cell[i])]
             # a second, independent hash of the same words: 64 + 32 bits decide equality
-            own = np.unique(text[i])
-            spot = np.empty(len(i), dtype=[("doc", "<i4"), ("at", "<i4")])
-            spot["doc"], spot["at"] = np.searchsorted(own, text[i]), at[i]
-            rows.append((chunk, r, docs[own].tobytes() + spot.tobytes() + np.int64(len(own)).tobytes(), hashes[i].tobytes(), more[words.first[text[i]] + at[i]].tobytes()))
+            second = more[words.first[text[i]] + at[i]]
+            order, lead = _starts(hashes[i], second, docs[text[i]], at[i])
+            own = order[lead]
+            out = np.empty(len(own), dtype=_FIRST)
+            out["hash"], out["more"], out["id"], out["at"] = hashes[i][own], second[own], docs[text[i]][own], at[i][own]
+            rows.append((chunk, r, out.tobytes()))
         return _rows(_FOUND_ARROW, rows)
 
     return run
@@ -187,45 +212,50 @@ def more_bits(words: Words, window: int) -> np.ndarray:
 
 
 def _exact(table: pa.Table) -> pa.Table:
-    """Of one range: to each chunk, the starts of windows that also start earlier."""
+    """Of one range: to each chunk, the windows that start earlier in another chunk."""
     r = table["rng"][0].as_py()
-    parts = []
-    for chunk, doc, h, m in zip(table["chunk"].to_pylist(), table["doc"].to_pylist(), table["hash"].to_pylist(), table["more"].to_pylist(), strict=True):
-        n_docs = int(np.frombuffer(doc, "<i8", 1, len(doc) - 8)[0])
-        docs = np.frombuffer(doc, [("id", "<i8"), ("key", "<i8")], n_docs)
-        hashes = np.frombuffer(h, "<u8")
-        spot = np.frombuffer(doc, [("doc", "<i4"), ("at", "<i4")], len(hashes), 16 * n_docs)
-        parts.append((np.full(len(hashes), chunk), docs["id"][spot["doc"]], docs["key"][spot["doc"]], spot["at"], hashes, np.frombuffer(m, "<u4")))
-    chunk, doc, key, at, hashes, more = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((at, doc, more, hashes))
-    chunk, doc, key, at, hashes, more = (x[order] for x in (chunk, doc, key, at, hashes, more))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (doc != doc[lead]) | (at != at[lead])
-    rows = []
-    out = np.empty(int(later.sum()), dtype=[("key", "<i8"), ("at", "<i4")])
-    out["key"], out["at"], chunk = key[later], at[later], chunk[later]
-    order = np.argsort(chunk, kind="stable")
-    cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
-    for part in np.split(order, cuts[1:]):
-        if len(part):
-            rows.append((int(chunk[part[0]]), r, out[part].tobytes()))
-    return _rows(_GOES_ARROW, rows)
-
-
-def _covered(words: Words, keys: np.ndarray, goes: np.ndarray, window: int) -> np.ndarray:
-    """Which words a window that goes covers."""
+    parts = [np.frombuffer(x, _FIRST) for x in table["first"].to_pylist()]
+    chunk = np.repeat(table["chunk"].to_numpy(), [len(p) for p in parts])
+    every = np.concatenate(parts)
+    order, lead = _starts(every["hash"], every["more"], every["id"], every["at"])
+    least = order[np.repeat(lead, np.diff(np.append(lead, len(order))))]
+    later = (every["id"][order] != every["id"][least]) | (every["at"][order] != every["at"][least])
+    late = np.sort(order[later])  # chunk by chunk
+    out = np.empty(len(late), dtype=_WINDOW)
+    out["hash"], out["more"], chunk = every["hash"][late], every["more"][late], chunk[late]
+    return _rows(_GOES_ARROW, [(int(chunk[a]), r, out[a:b].tobytes()) for a, b in _runs(chunk)])
+
+
+def _covered(words: Words, docs: np.ndarray, late: np.ndarray, window: int) -> np.ndarray:
+    """Which words a window that goes covers; ``late``: windows that start earlier in another chunk."""
     n = len(words.starts)
-    if len(goes) == 0 or n == 0:
+    hashes, at, first = grams(words, window, short_as_one=False)
+    if not len(hashes):
         return np.zeros(n, dtype=bool)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    start = words.first[text] + at
+    more = more_bits(words, window)[start]
+    doc = docs[text]
+    order, lead = _starts(hashes, more, doc, at)
+    size = np.diff(np.append(lead, len(order)))
+    least = order[np.repeat(lead, size)]
+    goes = (doc[order] != doc[least]) | (at[order] != at[least])
+    if len(late):
+        late = np.sort(late, order=["hash", "more"])
+        own = np.empty(len(lead), dtype=_WINDOW)
+        own["hash"], own["more"] = hashes[order[lead]], more[order[lead]]
+        # windows are in order of hash and more; a pair of both is looked up by its hash, then by more
+        spot = np.searchsorted(late["hash"], own["hash"], "left")
+        end = np.searchsorted(late["hash"], own["hash"], "right")
+        told = np.zeros(len(own), dtype=bool)
+        for step in range(int((end - spot).max(initial=0))):
+            k = np.minimum(spot + step, len(late) - 1)
+            told |= (spot + step < end) & (late["more"][k] == own["more"])
+        goes |= np.repeat(told, size)
     step = np.zeros(n + 1, dtype=np.int64)
-    goes = goes[np.argsort(goes["key"], kind="stable")]
-    left, right = np.searchsorted(goes["key"], keys, "left"), np.searchsorted(goes["key"], keys, "right")
-    for i in np.flatnonzero(right > left):
-        at = words.first[i] + np.unique(goes["at"][left[i] : right[i]]).astype(np.int64)
-        step[at] += 1
-        step[at + window] -= 1
+    gone = start[order[goes]]  # each start once
+    step[gone] += 1
+    step[gone + window] -= 1
     return np.cumsum(step)[:-1] > 0
 
 
@@ -275,8 +305,8 @@ def _rewrite(table: pa.Table, words: Words, covered: np.ndarray, removed: np.nda
 def _apply(window: int, output):
     def run(table: pa.Table, goes: pa.Table) -> pa.Table:
         words = words_of(table["text"])
-        cut = np.frombuffer(b"".join(goes["starts"].to_pylist()), [("key", "<i8"), ("at", "<i4")])
-        covered = _covered(words, table["key"].to_numpy(), cut, window)
+        late = np.frombuffer(b"".join(goes["windows"].to_pylist()), _WINDOW)
+        covered = _covered(words, _doc_ids(table), late, window)
         gone = np.concatenate([[0], np.cumsum(covered)])
         return output(table, words, covered, gone[words.first[1:]] - gone[words.first[:-1]])
 
@@ -286,9 +316,11 @@ def _apply(window: int, output):
 def _dedup(docs: DataFrame, window: int, output, schema: str | StructType) -> DataFrame:
     ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(64, math.ceil(total / CHUNK_BYTES))
-    ranges = max(64, math.ceil(total / 6 / RANGE_WINDOWS))
-    cells = CELLS_PER_WINDOW * max(1, math.ceil(total / 6 / ranges))
+    windows = total / WORD_BYTES
+    side = math.sqrt(windows * SHARED)
+    chunks = max(64, math.ceil(total / min(max(CHUNK_BYTES, side * WORD_BYTES), MOST_CHUNK)))
+    ranges = max(64, math.ceil(windows / min(max(RANGE_WINDOWS, side), MOST_RANGE)))
+    cells = CELLS_PER_WINDOW * max(1, math.ceil(windows / ranges))
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     # by id and text, so that rows without an id are spread too
     by_chunk = keyed.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(chunks)).cast("int")).groupBy("chunk")

@@ -2,10 +2,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from basketlens.llm import substring_dedup as sd
 from basketlens.llm.substring_dedup import dedup_substrings, pack_sorted, unpack_sorted, without_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,6 +61,23 @@ def test_edge_cases(spark):
     assert {r[1] for r in cut if r[0] == 9} == {rows[6][1]}  # a text that loses nothing keeps its white space
 
 
+def test_a_hot_passage_sends_one_start_a_chunk():
+    """A passage in every document: what a chunk sends of it does not grow with its documents."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    sizes = []
+    for n in (20, 200):
+        texts = [f"own{i} {passage} tail{i} {passage}" for i in range(n)]
+        table = pa.table({"chunk": pa.array([3] * n, pa.int32()), "doc_id": pa.array(range(n), pa.int64()), "text": texts})
+        told = sd._sketch(20, 1, 1 << 40)(table)
+        found = sd._candidates(20, 1, 1 << 40)(table, sd._merge(told))
+        sizes.append(sum(map(len, found["first"].to_pylist())) // sd._FIRST.itemsize)
+        assert sd._exact(found).num_rows == 0  # no other chunk has it
+    assert sizes == [21, 21]
+    other = pa.table({**{c: found[c] for c in ("rng", "first")}, "chunk": pa.array([9], pa.int32())})
+    late = sd._exact(pa.concat_tables([found.select(["chunk", "rng", "first"]), other.select(["chunk", "rng", "first"])]))
+    assert late.num_rows == 0  # the same starts: neither is earlier
+
+
 @pytest.mark.parametrize("window", [20, 5])
 def test_against_brute_force(spark, window):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
