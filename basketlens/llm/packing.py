@@ -155,5 +155,6 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
     shards = max(1, math.ceil(total / SHARD_BYTES))
     schema = _PIECE + ", ids array<long>" * with_ids
     pieces = docs.mapInArrow(lean_map(_cut(tokenizer, capacity, with_ids)), schema)
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
+    # with the input partition, so that equal rows without an id are spread too
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(shards)).cast("int")
     return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(lean_group(_place(capacity)), schema + ", sequence_id long, offset long")
