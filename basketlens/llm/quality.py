@@ -3,9 +3,10 @@
 Each whole text becomes a few statistics of its words, characters and lines.
 Standardised, they are mapped to ``FEATURES`` random Fourier features, whose
 inner products approximate a Gaussian kernel.  Each partition of labelled rows
-sums its part of the normal equations; the sums are small, are added by row
-of the matrix and solved on the driver.  Scores of other labelled rows, in
-bins, give an isotonic curve that turns a score into the share of label 1.
+sums its part of the normal equations; the sums are small, are added some at a
+time in a tree and solved on the driver.  Scores of other labelled rows, in
+bins, give an isotonic curve that turns a score into the share of label 1 (with
+half a row of each label more): it rises from block to block.
 
 All labelled rows whose crc32 of the id leaves 0 or 1 when divided by 4 fit
 the ridge, those that leave 3 the curve; the rest are held out.  Statistics
@@ -13,7 +14,8 @@ are made once and checkpointed; texts are not shuffled.
 
 Nulls: a null text is empty; a null quality is no label; a null doc_id is in
 the split as the empty text and has no label.  Repeated rows and labels count
-each time.  Empty texts have statistics too (zeros).  With no label of one
+each time.  Ties: rows of one raw score have one score.  Extra columns and
+columns whose names differ in case only are left out.  Empty texts have statistics too (zeros).  With no label of one
 of the two kinds, every score is the share of label 1 (0.5 without labels).
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.language_id import held_out
-from basketlens.llm.runtime import checkpoint, lean_group, lean_map, pick, ship
+from basketlens.llm.runtime import checkpoint, combined, lean_map, pick, ship
 from basketlens.llm.words import U, Words, mix, slices, words_of
 
 FEATURES = 256
@@ -144,7 +146,7 @@ class Scorer:
 
 
 def _part_sums(scorer: Scorer | None):
-    """Rows (i, vector) whose sums are the normal equations; without a scorer the sums of x and x**2."""
+    """One row, the sums of the normal equations; without a scorer the sums of x and x**2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -159,31 +161,34 @@ def _part_sums(scorer: Scorer | None):
                 own = np.concatenate([z.T @ z, (z.T @ y)[None, :]])
             total = own if total is None else total + own
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array([r.tobytes() for r in total], pa.binary())], names=["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     return run
 
 
-def _add(table: pa.Table) -> pa.Table:
-    v = _matrix(table["v"].combine_chunks()).sum(axis=0)
-    return pa.table({"i": table["i"].slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
+def _added(parts: list[bytes]) -> bytes:
+    return np.sum([np.frombuffer(p) for p in parts], axis=0).tobytes()
 
 
 def _summed(rows: DataFrame, scorer: Scorer | None) -> np.ndarray | None:
-    parts = rows.mapInArrow(lean_map(_part_sums(scorer)), "i long, v binary").groupBy("i").applyInArrow(lean_group(_add), "i long, v binary").orderBy("i").collect()
-    return np.stack([np.frombuffer(r["v"]) for r in parts]) if parts else None
+    total = combined(rows.mapInArrow(lean_map(_part_sums(scorer)), "part binary"), rows.rdd.getNumPartitions(), _added)
+    return None if total is None else np.frombuffer(total).reshape(-1, len(STATISTICS) + 1 if scorer is None else FEATURES + 1)
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising means of y (sums over n) by x: centres and values of the blocks."""
+    """Rising shares of y (sums over n) by x: centres of the blocks and their shares.
+
+    Shares are those of the block with half a row of each label more; blocks
+    are joined until these rise, so a small block at the end cannot fall.
+    """
     blocks: list[list[float]] = []
+    share = lambda block: (block[1] + 0.5) / (block[2] + 1)
     for a, b, c in zip(x, y, n, strict=True):
         blocks.append([a * c, b, c])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
+        while len(blocks) > 1 and share(blocks[-2]) >= share(blocks[-1]):
             last = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
-    total = np.array(blocks)
-    return total[:, 0] / total[:, 2], (total[:, 1] + 0.5) / (total[:, 2] + 1)
+    return np.array([b[0] / b[2] for b in blocks]), np.array([share(b) for b in blocks])
 
 
 def _raw_scores(scorer: Scorer):
