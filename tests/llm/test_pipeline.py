@@ -53,5 +53,13 @@ def test_odd_documents(spark):
     assert empty.count() == 0
 
 
+def test_names_that_differ_in_case(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).selectExpr("doc_id", "text", "lang", "source", "n_chars", "'x' as Text", "1 as N_CHARS")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "Text", "N_CHARS"]
+    assert all(r[4] == len(r[1]) for r in docs.collect())
+
+
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
