@@ -204,20 +204,22 @@ TAGS = ("html", "p", "heading", "li", "list", "div", "article", "main", "section
 _TAG = {f"h{k}": "heading" for k in range(1, 7)} | {"ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "menu": "nav", "blockquote": "quote", "pre": "quote", "figcaption": "figure"}
 _TAG |= dict.fromkeys("table tbody thead tfoot tr td th".split(), "table") | dict.fromkeys("button select textarea label option fieldset legend search input".split(), "form")
 KINDS = ("none", *(name for name, _ in KEYWORDS))
-FEATURES = {"tag_links": 8 * len(TAGS), "kind": len(KINDS), "size": 5, "place": 4}
+FEATURES = {"tag_links": 16 * len(TAGS), "kind": len(KINDS), "size": 5, "place": 4}
 TAG_LINKS = 0  # the feature of the tag, by which a child's label depends on its parent's
 TELLING = frozenset(KINDS) - {"none", "content", "meta"}  # names that boilerplate has
+AROUND = frozenset("nav header footer aside form noscript".split())  # tags that it has
 
 
 def seen(nodes: list[Node]) -> np.ndarray:
     """What is seen of each node: a value for each of FEATURES."""
     out = np.zeros((len(nodes), len(FEATURES)), dtype=np.int64)
     whole, before = max(1, nodes[0].total), 0
+    around = [n.kind in TELLING or _TAG.get(n.tag, n.tag) in AROUND for n in nodes]
     for i, n in enumerate(nodes):
         tag = _TAG.get(n.tag, n.tag)
         share = n.total_linked / n.total if n.total else 0.0
         out[i] = (
-            8 * (TAGS.index(tag) if tag in TAGS else len(TAGS) - 1) + 4 * (n.kind in TELLING) + (0 if share < 0.05 else 1 if share < 0.3 else 2 if share < 0.8 else 3),
+            16 * (TAGS.index(tag) if tag in TAGS else len(TAGS) - 1) + 8 * (n.kind in TELLING) + 4 * (n.parent >= 0 and around[n.parent]) + (0 if share < 0.05 else 1 if share < 0.3 else 2 if share < 0.8 else 3),
             KINDS.index(n.kind),
             0 if not n.total else 1 if n.total < 25 else 2 if n.total < 100 else 3 if n.total < 400 else 4,
             min(3, 4 * before // whole),
@@ -228,7 +230,7 @@ def seen(nodes: list[Node]) -> np.ndarray:
 
 @dataclass
 class Potentials:
-    """Log potentials: of a label with each value seen, of a child's label (by its tag, whether its name is telling, and the parent's label), of the root's."""
+    """Log potentials: of a label with each value seen, of a child's label (by its tag, whether its own name is telling or its parent's name or tag is, and the parent's label), of the root's."""
 
     seen: list[np.ndarray]
     child: np.ndarray
@@ -266,7 +268,7 @@ def train(pages: DataFrame) -> Potentials:
     """Potentials from labelled pages (html), as counts plus one half."""
     ship(pages.sparkSession)
     counted = pick(pages, "html").mapInArrow(lean_map(_count_labels), "t int, value int, parent int, label int")
-    root, child = np.full(2, 0.5), np.full((2 * len(TAGS), 2, 2), 0.5)
+    root, child = np.full(2, 0.5), np.full((4 * len(TAGS), 2, 2), 0.5)
     tables = [np.full((2, n), 0.5) for n in FEATURES.values()]
     for t, value, parent, label, n in counted.groupBy("t", "value", "parent", "label").count().collect():
         if t == 0:

@@ -30,7 +30,7 @@ def test_page(potentials):
 def test_marginals_are_exact():
     rng = np.random.default_rng(3)
     normal = lambda *shape: rng.normal(size=shape)
-    p = Potentials([normal(2, n) for n in FEATURES.values()], normal(2 * len(TAGS), 2, 2), normal(2))
+    p = Potentials([normal(2, n) for n in FEATURES.values()], normal(4 * len(TAGS), 2, 2), normal(2))
     parents = [-1, 0, 0, 1, 1, 4, 2]
     values = np.stack([rng.integers(0, n, len(parents)) for n in FEATURES.values()], axis=1)
     total, content = 0.0, np.zeros(len(parents))
