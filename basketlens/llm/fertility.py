@@ -37,7 +37,10 @@ unmoved documents too.  Distributions are ``GRID`` quantiles by kind and group o
 Spark's, to a rank error of 1/1000.
 
 Nulls: a null text has no words (base_failed); a null doc_id stays.  Repeated
-rows are judged each.  An empty table gives no rows.
+rows are judged each.  An empty table gives no rows.  Ties: a measure at the
+edge of its band is inside; a text with equally many letters of two scripts has
+the first in name order.  Extra columns and columns whose names differ in case
+only are left out.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ are decoded; white space inside a block becomes one space; blocks are joined
 by newlines in page order.
 
 Nulls: a null html is empty, and an empty page has empty text; other nulls
-stay.  Repeated rows are extracted each.  An empty table gives no rows.
+stay.  Repeated rows are extracted each.  An empty table gives no rows.  Ties: a
+marginal of exactly one half is content.  Extra columns and columns whose names
+differ in case only are left out.
 """
 
 from __future__ import annotations

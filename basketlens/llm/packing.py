@@ -11,7 +11,9 @@ given back for the two unpacked pieces that fit the widened gap most tightly,
 if they fill more of it.
 
 Nulls: a null text is empty, one token long; a null doc_id stays.  Repeated
-rows are packed each.  An empty table gives no rows.
+rows are packed each.  An empty table gives no rows.  Ties: pieces of one length
+are taken in order of doc_id and piece.  Extra columns and columns whose names
+differ in case only are left out.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ array column ``sections`` of (start, end) character spans, in order and not
 overlapping, of which what is outside is section null.
 
 Nulls: a null text is one empty line; a null doc_id stays.  Repeated rows are
-counted each.  An empty table gives no rows.
+counted each.  An empty table gives no rows.  Ties: of sections with equally
+many characters of a token the earlier one gets it.  Extra columns and columns
+whose names differ in case only are left out.
 """
 
 from __future__ import annotations
