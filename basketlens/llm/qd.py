@@ -17,6 +17,8 @@ import numpy as np
 
 EPS = np.finfo(float).eps
 CLOSE = 1e-3
+NOTHING = 1e-290  # against a largest entry of 1
+MOST_STEPS = 200  # for each value
 
 
 def bidiagonalise(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +56,7 @@ def _transform(q: list[float], e: list[float], tau: float) -> tuple[list[float],
             return None
         top = d + off
         new_q.append(top)
-        if top == 0:
+        if top <= NOTHING:
             new_e.append(0.0)
             d = q[i + 1] - tau
         else:
@@ -83,17 +85,21 @@ def dqds(diagonal: np.ndarray, above: np.ndarray) -> np.ndarray:
         return np.zeros(len(diagonal))
     found: list[float] = []
     todo = [(((diagonal / scale) ** 2).tolist(), ((above / scale) ** 2).tolist(), 0.0)]
+    steps = 0
     while todo:
         q, e, shift = todo.pop()
         while q:
+            steps += 1
+            if steps > MOST_STEPS * len(diagonal):
+                raise ArithmeticError("singular values do not converge")
             if len(q) == 1:
                 found.append(q[0] + shift)
                 break
-            if e[-1] <= EPS * EPS * (shift + q[-1]):
+            if e[-1] <= max(EPS * EPS * (shift + q[-1]), NOTHING):
                 found.append(q.pop() + shift)
                 e.pop()
                 continue
-            cut = next((i for i in range(len(e)) if e[i] <= EPS * EPS * (shift + min(q[i], q[i + 1]))), None)
+            cut = next((i for i in range(len(e)) if e[i] <= max(EPS * EPS * (shift + min(q[i], q[i + 1])), NOTHING)), None)
             if cut is not None:
                 todo.append((q[: cut + 1], e[:cut], shift))
                 q, e = q[cut + 1 :], e[cut + 1 :]

@@ -133,6 +133,16 @@ def test_singular_values_and_directions(name):
     solved(MATRICES[name])
 
 
+def test_any_whole_numbers_converge():
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        m, d = rng.integers(1, 14, 2)
+        a = rng.integers(-2, 3, (m, d)) * rng.choice([0.0, 1.0, 1.0, 1e6, 1e-9], d)
+        if rng.random() < 0.3:
+            a[:, rng.integers(d)] = a[:, 0]
+        solved(a.astype(float))
+
+
 def test_small_values_are_relatively_accurate():
     diagonal = 10.0 ** -np.arange(0.0, 120, 10)
     values = qd.dqds(diagonal, np.zeros(11))
