@@ -121,19 +121,21 @@ def frequent_recent_buyers(
         )
         .where(F.col("order_rows") > min_rows)
     )
-    bit = F.pmod(F.xxhash64("user_id"), F.lit(FILTER_BITS))
+    # bit operations are never NULL, so no test for it is pushed into one of the branches
+    bit = F.xxhash64("user_id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    word, place = F.shiftright(bit, 6), bit.bitwiseAND(F.lit(63).cast("long")).cast("int")
     # reads all that per_user has, so that both branches share its aggregate
     unknown = (F.col("first_date") >= last) & (F.col("window_orders") >= 0) & (F.size("days") > 0)
     words = (
         per_user.where(unknown)
-        .groupBy(F.floor(bit / 64).alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
+        .groupBy(word.alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
     )
     earlier = (
         known.where(within(known, before=F.date_add(from_day, 1)))
-        .select("user_id", F.floor(bit / 64).alias("word"))
+        .select("user_id", word.alias("word"))
         .join(bounded_broadcast(words, FILTER_BITS // 64), "word")
-        .where(F.bit_get("bits", (bit % 64).cast("int")) == 1)
+        .where(F.bit_get("bits", place) == 1)
         .select("user_id", F.lit(True).alias("earlier"))
         .distinct()
     )

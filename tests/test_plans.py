@@ -6,8 +6,9 @@ import re
 
 import pytest
 
+from basketlens.operators import frequent_recent_buyers, last_order_date
 from tests.compare import compare, duck_connect
-from tests.conftest import SMALL
+from tests.conftest import SMALL, orders_df
 from tools.plan_stats import plan_text
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -52,6 +53,39 @@ def test_rfm_reads_orders_once_for_user_measures(plans):
         assert "ReusedExchange" in text, name
 
 
+def test_revenue_by_group_and_month_reads_orders_once(plans):
+    text = plans["rf_segment_month"]
+    assert text.count("Scan parquet") == 2 and "Join" not in text  # the orders, and the date column for the last date
+
+
+def test_frequent_buyers_aggregate_the_window_once(spark, scratch):
+    """Open users (all window rows on the last day) make a filter; the history is read through it."""
+    days = [("1", "2017-04-10"), ("2", "2017-04-30"), ("3", "2017-04-30"), ("4", "2016-01-05"), ("5", "2016-02-05")]
+    rows = []
+    for u in range(300):
+        # 0: open with a history, 1: open without one, 2: not open, 3: history only
+        kind = u % 4
+        rows += [(f"{u}-{i}", str(u), "1", d) for i, d in days if (kind == 0 and i != "1") or (kind == 1 and i in "23") or (kind == 2 and i in "12") or (kind == 3 and i in "45")]
+    orders_df(spark, rows).repartition(3).write.parquet(f"{scratch}/orders")
+    stored = spark.read.parquet(f"{scratch}/orders")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = frequent_recent_buyers(stored, last_order_date(stored, "2017-05-01"), 30, 1, cutoff="2017-05-01")
+        text = plan_text(df)
+        found = {int(r.user_id) for r in df.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == {u for u in range(300) if u % 4 in (0, 2)}
+    # window rows, history, date of the last order; the window aggregate is used twice
+    assert text.count("Scan parquet") == 3 and "ReusedExchange" in text and "Expand" not in text
+    full = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert full.count("LessThan(o_date,2017-05-01)") >= 3  # the literal bound reaches every scan
+
+
 def test_windows_are_partitioned_by_a_high_cardinality_key(spark):
     """Every Window node is partitioned, and only by the user (never by a
     segment, a year or nothing, which would put whole groups in one task)."""
