@@ -5,6 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from basketlens.llm import language_id
 from basketlens.llm.queries import QUERIES
 from tests.llm.test_decontaminate import brute_force as contained
 from tests.llm.test_jaccard_join import brute_force as linked
@@ -61,5 +62,23 @@ def test_names_that_differ_in_case(spark):
     assert all(r[4] == len(r[1]) for r in docs.collect())
 
 
+def test_first_stage_learns_from_all_its_documents(spark, monkeypatch):
+    """Every character of the documents that are not held out is counted, and all of them make the limits."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(list("abcde"), rng.integers(5, 40))), "p", "s", 0) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    trained, used, train, accepted = [], [], language_id.train, language_id.accepted
+    monkeypatch.setattr(language_id, "train", lambda grams, counts: trained.append((int(counts.sum()), train(grams, counts))) or trained[-1][1])
+    monkeypatch.setattr(language_id, "accepted", lambda d, models: used.append(models) or accepted(d, models))
+    kept = corpus_pipeline.known_language(spark, docs, SF)
+    texts = [[t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2 and half[i] == k] for half in [dict(docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, text, 23), {1 << 29}) % 2").collect())] for k in (0, 1)]
+    sizes = [np.array([len(t) for t in own]) for own in texts]
+    assert trained[0][0] == sizes[0].sum() + sizes[1].sum()
+    assert [n for n, _ in trained[1:]] == [sizes[1].sum(), sizes[0].sum()]  # without the first half, without the second
+    h = [language_id.cross_entropies([model], own)[0][:, 0] for (_, model), own in zip(trained[1:], texts, strict=True)]
+    assert np.isclose(used[0].mean[0], np.average(np.concatenate(h), weights=np.concatenate(sizes)))
+    assert kept.count() >= 1999
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
